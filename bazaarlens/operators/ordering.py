@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import HASH_SPACE, hash60
 
-__all__ = ["value_ranges", "place", "ordered_totals", "midranks", "ranked", "ntile"]
+__all__ = ["value_ranges", "place", "ordered_totals", "midranks", "ranked", "ntile",
+           "quantiles"]
 
 MAX_RANGES = 1000
 
@@ -115,3 +116,28 @@ def ntile(df: DataFrame, value: str, tie: str, n: int = 5, out: str = "tile") ->
     tile = F.when(zero < wide, F.floor(zero / (small + 1))).otherwise(
         extra + F.floor((zero - wide) / F.greatest(small, F.lit(1))))
     return r.withColumn(out, (tile + 1).cast("int")).drop("_rank")
+
+
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation per key, for groups too large for one task.
+
+    Works on counts per distinct value and picks the two order statistics around each position.
+    """
+    keys = keys or []
+    v = df.where(F.col(value).isNotNull()).withColumn("_x", F.col(value).cast("double")).where(~F.isnan("_x"))
+    counts = v.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    r = ordered_totals(counts, "_x", {"_c": F.col("_n")}, keys)
+    if keys:
+        r = r.join(counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
+    else:
+        r = r.withColumn("_total", counts.agg(F.sum("_n")).scalar())
+    first, last = F.col("_c_before"), F.col("_c_before") + F.col("_n") - 1
+    picks, out = [], []
+    for name, p in probs.items():
+        at = (F.col("_total") - 1) * F.lit(float(p))
+        for tag, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.max(F.when((first <= pos) & (pos <= last), F.col("_x"))).alias(f"_{name}_{tag}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"_{name}_w"))
+        lo, hi, w = (F.col(f"_{name}_{t}") for t in ("lo", "hi", "w"))
+        out.append((lo + (hi - lo) * w).alias(name))
+    return r.groupBy(*keys).agg(*picks).select(*keys, *out)
