@@ -181,8 +181,8 @@ def match_nearest(scored: DataFrame, unit: str = "customer_unique_id", caliper:
         rank, lg = ct["rank"].to_numpy(), ct["at"].to_numpy()
         out = [_candidates(p, x, rank, lg, k, caliper) for p, x in zip(tr["pos"], tr["logit"])] if len(rank) else \
             [np.array([], dtype=np.int64)] * len(tr)
-        return pd.DataFrame({"uid": tr["uid"].tolist(), "prio": tr["prio"].to_numpy(), "pos": tr["pos"].to_numpy(),
-                             "cand": out})
+        return pd.DataFrame({"uid": pd.Series(tr["uid"].tolist(), dtype=object), "prio": tr["prio"].to_numpy(), "pos": tr["pos"].to_numpy(),
+                             "cand": pd.Series(out, dtype=object)})
 
     ct_blocks = controls.select("rank", F.col("logit").alias("at"), near(F.col("rank"), k + 1, 0).alias("b"))
     # units of a crowded block are spread over several groups; each gets the block's few controls
@@ -213,8 +213,8 @@ def match_nearest(scored: DataFrame, unit: str = "customer_unique_id", caliper:
             units = [(u, list(c), lo <= p < hi) for u, c, p in zip(tr["uid"], tr["cand"], tr["pos"])]
             low = lo if lo > 0 else -1
             done, left = _settle(units, low, hi, set(tk["rank"]))
-            return pd.DataFrame({"uid": [u for u, _ in done] + left,
-                                 "rank": pd.array([c for _, c in done] + [None] * len(left), dtype="Int64")})
+            return pd.DataFrame({"uid": pd.Series([u for u, _ in done] + left, dtype=object),
+                                 "rank": pd.Series([int(c) for _, c in done] + [None] * len(left), dtype=object)})
 
         spread = todo.withColumn("b", near(F.col("pos"), halo, shift))
         gone = (taken.select("rank", near(F.col("rank"), halo, shift).alias("tb")) if taken is not None

@@ -224,7 +224,7 @@ def bootstrap_contrib(daily_dim: DataFrame, pairs: DataFrame, b: int = B_STRUCTU
                     pp = (now @ w1[ok].T - was @ w0[ok].T) / t0[ok] * 100
                     lo, hi = np.quantile(pp, [alpha / 2, 1 - alpha / 2], axis=1) if ok.any() else \
                         np.full((2, len(part)), np.nan)
-                    yield pd.DataFrame({"stat_month": [m1] * len(part), "dim_value": part["dim_value"].to_numpy(),
+                    yield pd.DataFrame({"stat_month": [m1] * len(part), "dim_value": pd.Series(part["dim_value"].tolist(), dtype=object),
                                         "ci_low": lo, "ci_high": hi})
 
     out = rows.mapInPandas(run, f"stat_month date, dim_value {value_type}, ci_low double, ci_high double")
