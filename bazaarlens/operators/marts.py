@@ -11,7 +11,7 @@ from .compare import valid_deliveries, with_delay
 from .history import prior_rates
 
 __all__ = ["daily_revenue", "seller_table", "state_month", "fulfilment_monthly", "delay_profile",
-           "bottleneck_base", "order_features", "intervention_pool", "strategy_month"]
+           "bottleneck_base", "order_features", "intervention_pool", "strategy_month", "measured_params"]
 
 
 def daily_revenue(orders: DataFrame) -> DataFrame:
@@ -109,3 +109,18 @@ def strategy_month(long_pool: DataFrame) -> DataFrame:
     return long_pool.groupBy("strategy", "stat_month").agg(
         F.count(F.lit(1)).alias("covered_orders"), F.countDistinct("customer_unique_id").alias("covered_customers"),
         F.sum("order_amount").alias("covered_gmv"), F.sum("is_bad").alias("bad_orders"))
+
+
+def measured_params(pool: DataFrame, assumed: dict[str, float]) -> DataFrame:
+    """Strategy parameter table: late and on-time bad rates and order values are measured on the
+    pool, the rest is assumed and passed in. Returns (param_key, param_value, is_measured)."""
+    late, on_time = F.col("is_late") == 1, F.col("is_late") == 0
+    amount = F.col("order_amount").cast("double")
+    m = pool.agg(F.avg(F.when(late, amount)).alias("aov_delayed"), F.avg(F.when(on_time, amount)).alias("aov_ontime"),
+                 (F.avg(F.when(late, F.col("is_bad"))) * 100).alias("baseline_bad_late"),
+                 (F.avg(F.when(on_time, F.col("is_bad"))) * 100).alias("baseline_bad_ontime"))
+    rows = [F.struct(F.lit(k).alias("param_key"), F.col(k).alias("param_value"), F.lit(1).alias("is_measured"))
+            for k in m.columns]
+    rows += [F.struct(F.lit(k).alias("param_key"), F.lit(float(v)).alias("param_value"), F.lit(0).alias("is_measured"))
+             for k, v in assumed.items()]
+    return m.select(F.inline(F.array(*rows)))

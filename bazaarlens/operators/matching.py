@@ -158,7 +158,8 @@ def match_nearest(scored: DataFrame, unit: str = "customer_unique_id", caliper:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     # one global order of treated and controls gives control ranks and treated positions together
     placed = cut_lineage(
-        ordered_totals(scored.select(F.col(unit).cast("string").alias("uid"), "treat", "y", "logit"), "logit",
+        ordered_totals(scored.select(F.col(unit).cast("string").alias("uid"), "treat", "y",
+                                     (F.col("logit") + 0.0).alias("logit")), "logit",  # -0.0 sorts apart from 0.0
                        {"c": (F.col("treat") == 0).cast("long")}, tie="uid").withColumnRenamed("c_before", "pos"))
     controls = placed.where("treat = 0").select("uid", F.col("pos").alias("rank"), "logit", "y")
     prio = hash60(seed, F.col("uid"))
