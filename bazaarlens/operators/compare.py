@@ -9,6 +9,7 @@ from ..functions import (bh_fdr, hours_between, interval_bucket, prop_z, ratio,
                          z_quantile)
 from ..params import (ALPHA, B_DELIVERY, DELAY_BUCKETS, DELAY_CONTROL, MIN_CUSTOMERS_DIM,
                       MIN_ORDERS_DIM, SEED, STAGES)
+from ..sources.recovery import cut_lineage
 from .ordering import midranks
 from .resample import block_group_means, block_mean_diff_ci
 
@@ -60,9 +61,9 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks on (x, y) counts. p is the normal approximation of the
     t statistic, meant for thousands of rows."""
-    pairs = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-             .groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-             .agg(F.count(F.lit(1)).alias("n")))
+    pairs = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+                        .groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+                        .agg(F.count(F.lit(1)).alias("n")))
     rx = midranks(pairs.groupBy("x").agg(F.sum("n").alias("nx")), "x", "nx", "rx").select("x", "rx")
     ry = midranks(pairs.groupBy("y").agg(F.sum("n").alias("ny")), "y", "ny", "ry").select("y", "ry")
     n = F.col("n").cast("double")

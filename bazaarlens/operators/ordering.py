@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import HASH_SPACE, hash60
+from ..sources.recovery import cut_lineage
 
 __all__ = ["value_ranges", "place", "ordered_totals", "midranks", "ranked", "ntile",
            "quantiles"]
@@ -74,6 +75,7 @@ def ordered_totals(df: DataFrame, value: str, sums: dict[str, Column], keys: lis
     Rows must be unique in (keys, value) unless ``tie`` names an id column.
     """
     keys = keys or []
+    df = cut_lineage(df)  # bounds, offsets and the window read the same stored rows
     bounds = value_ranges(df, value, ranges)
     placed = place(df, value, bounds, hash60(F.col(tie)) if tie else None)
     placed = placed.withColumns({f"_s_{n}": c for n, c in sums.items()})

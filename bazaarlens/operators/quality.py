@@ -66,7 +66,8 @@ def parse_mismatches(df: DataFrame, stored: str, raw: str, fmt: str) -> DataFram
 
 
 def zero_date_count(df: DataFrame, *cols: str) -> DataFrame:
-    return df.agg(*[F.count_if(zero_date(F.col(c))).alias(c) for c in cols])
+    cells = [F.struct(F.lit(c).alias("column_name"), F.count_if(zero_date(F.col(c))).alias("zero_dates")) for c in cols]
+    return df.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,7 +115,8 @@ def category_gap(cat_month: DataFrame, totals: DataFrame, panel: DataFrame) -> D
 
 def unmatched_orders(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Delivered orders without any item row; a warning, not a failure."""
-    return orders.where("is_delivered = 1").join(items.select("order_id"), "order_id", "left_anti")
+    return orders.where("is_delivered = 1").join(items.select("order_id").distinct(), "order_id",
+                                                "left_anti")
 
 
 def tail_diagnostic(panel: DataFrame, last: int = 3, tolerance: float = 0.98) -> DataFrame:

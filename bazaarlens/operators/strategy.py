@@ -52,8 +52,8 @@ def roi(coverage: DataFrame, params: DataFrame, scenarios=((RESCUE_RATE, BAD_VAL
     View A counts rescued bad reviews only; view B adds repeat purchases, for strategies that
     remove the delay itself. Nothing is rounded here.
     """
-    wide = strategy_params(params)
-    one = {k: wide.select(k).scalar() for k in STRATEGY_PARAM_KEYS}
+    row = strategy_params(params).first()  # twelve numbers
+    one = {k: F.lit(row[k]).cast("double") for k in STRATEGY_PARAM_KEYS}
     grid = F.array(*[F.struct(F.lit(float(p)).alias("rescue_rate"), F.lit(float(v)).alias("bad_value")) for p, v in scenarios])
     c = coverage.withColumns(one).select("*", F.inline(grid))
     orders, p, v = F.col("covered_orders").cast("double"), F.col("rescue_rate"), F.col("bad_value")
@@ -127,7 +127,7 @@ def invariants(coverage: DataFrame, params: DataFrame) -> DataFrame:
     p1, p2, p3 = (s.select(x).scalar() for x in STRATEGIES)
     wide = strategy_params(params)
     r = roi(coverage, params)
-    star = roi(coverage, params).where(F.col("breakeven_p_b").between(0, 1))
+    star = r.where(F.col("breakeven_p_b").between(0, 1))
     k = F.col("net_benefit_b") + F.col("total_cost")
     back = F.abs(k / F.col("rescue_rate") * F.col("breakeven_p_b") - F.col("total_cost")) <= 1e-6 * F.col("total_cost")
     checks = {

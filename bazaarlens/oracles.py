@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from .params import (BAD_VALUE, BAD_VALUES, BUDGET_LEVELS, B_DELIVERY, B_REVENUE, B_STRUCTURE, DELAY_BUCKETS,
+from .params import (BAD_VALUE, BAD_VALUES, BUDGET_LEVELS, B_DELIVERY, B_REVENUE, B_STRUCTURE, DELAY_BUCKETS, MAX_BREAKS,
                      RESCUE_RATE, RESCUE_RATES, RISK_FEATURES, SEED, TOP_PCTS)
 from .queries import ASSUMED, MIN_RATIO, TEST_MONTH
 
@@ -367,6 +367,23 @@ def logrank(src: str, key: str) -> list[str]:
             f"lr AS (SELECT *, CASE WHEN variance > 0 THEN pow(observed - expected, 2) / variance END AS chi2, {p2('sqrt(CASE WHEN variance > 0 THEN pow(observed - expected, 2) / variance END)')} AS p_value FROM l3)"]
 
 
+def breaks() -> list[str]:
+    """Binary segmentation of ``series`` (key, stat_month, y), one round after the other."""
+    out = ["n0 AS (SELECT *, n >= 6 AND var > 0 AND rng > 1e-12 * greatest(1.0, abs(mu)) AS live, 0 AS seg, 0 AS bp FROM ("
+           "SELECT *, avg(c * c) OVER (PARTITION BY key) AS var FROM (SELECT key, stat_month, row_number() OVER (PARTITION BY key ORDER BY stat_month) - 1 AS idx, "
+           "y - avg(y) OVER w AS c, avg(y) OVER w AS mu, max(y) OVER w - min(y) OVER w AS rng, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY key))))"]
+    for k in range(1, MAX_BREAKS + 1):
+        prev = f"n{k - 1}"
+        out += [f"p{k} AS (SELECT *, count(*) OVER a AS kk, coalesce(sum(c) OVER a, 0) AS s, count(*) OVER b AS m, sum(c) OVER b AS tot FROM {prev} "
+                "WINDOW a AS (PARTITION BY key, seg ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY key, seg))",
+                f"g{k} AS (SELECT *, CASE WHEN live AND kk >= 3 AND m - kk >= 3 THEN s * s / kk + (tot - s) * (tot - s) / (m - kk) - tot * tot / m END AS gain FROM p{k})",
+                f"b{k} AS (SELECT key, gain AS bg, seg AS bs, idx AS bi FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY gain DESC NULLS LAST, seg, idx) AS rk FROM g{k}) WHERE rk = 1)",
+                f"n{k} AS (SELECT key, stat_month, idx, c, var, n, coalesce(bg > 0 AND bg > var * ln(n), false) AS live, "
+                f"CASE WHEN coalesce(bg > 0 AND bg > var * ln(n), false) AND seg = bs THEN CASE WHEN idx < bi THEN {2 * k} ELSE {2 * k + 1} END ELSE seg END AS seg, "
+                f"CASE WHEN coalesce(bg > 0 AND bg > var * ln(n), false) AND seg = bs AND idx = bi THEN 1 ELSE bp END AS bp FROM {prev} JOIN b{k} USING (key))"]
+    return out
+
+
 def naive(hz: int) -> str:
     return q(f"""SELECT {i('nt')} AS n_treat, {i('nc')} AS n_control, {r('mt')} AS treat_value, {r('mc')} AS control_value, {r('mt - mc')} AS diff,
       {r(f'mt - mc - {Z} * se')} AS ci_low, {r(f'mt - mc + {Z} * se')} AS ci_high, {r(p2('(mt - mc) / se'))} AS p_value,
@@ -450,18 +467,18 @@ def build() -> dict[str, str]:
     o: dict[str, str] = {}
     m = d("stat_month") + " AS stat_month"
     o["month_panel"] = q(f"SELECT {m}, order_cnt, {i('delivered_cnt')} AS delivered_cnt, buyers, {r('gmv')} AS gmv, {r('gmv_all')} AS gmv_all, "
-                         f"{r('orders_per_buyer', 8)} AS orders_per_buyer, {r('aov', 4)} AS aov, {i('is_complete_month')} AS is_complete_month FROM panel2")
+                         f"{r('orders_per_buyer', 8)} AS orders_per_buyer, {r('aov', 8)} AS aov, {i('is_complete_month')} AS is_complete_month FROM panel2")
     o["complete_window"] = q(f"SELECT {d('s')} AS start_month, {d('e')} AS end_month FROM win")
     o["month_pairs"] = q(f"SELECT {m}, {d('prev_month')} AS prev_month FROM pairs")
     o["daily_customer_panel"] = q(f"SELECT {d('d')} AS d, {m}, customer_unique_id, {i('delivered_cnt')} AS delivered_cnt, {r('gmv', 4)} AS gmv FROM daily")
-    o["month_states"] = q(f"SELECT {m}, buyers, {i('delivered_cnt')} AS delivered_cnt, {r('gmv', 4)} AS gmv, {r('orders_per_buyer', 8)} AS orders_per_buyer, {r('aov', 4)} AS aov FROM states")
+    o["month_states"] = q(f"SELECT {m}, buyers, {i('delivered_cnt')} AS delivered_cnt, {r('gmv', 4)} AS gmv, {r('orders_per_buyer', 8)} AS orders_per_buyer, {r('aov', 8)} AS aov FROM states")
     o["category_month_revenue"] = q(f"SELECT {m}, dim_value, {r('gmv', 4)} AS gmv FROM cat_month")
     o["state_month_revenue"] = q(f"SELECT {m}, dim_value, {r('gmv', 4)} AS gmv FROM state_month_rev")
     o["category_month_items"] = q(f"SELECT {m}, category_en, item_cnt, {r('item_amount', 2)} AS item_amount, {r('freight_amount', 4)} AS freight_amount FROM cat_items")
     o["month_totals"] = q(f"SELECT {m}, {i('delivered_orders')} AS delivered_orders, {i('item_cnt')} AS item_cnt, {r('item_amount', 2)} AS item_amount, "
                           f"{r('freight_amount', 4)} AS freight_amount, {i('delivered_no_item')} AS delivered_no_item FROM tot")
     pct = "CASE WHEN delta_gmv <> 0 THEN contribution_amount / delta_gmv END"
-    o["revenue_factors"] = q(f"SELECT {m}, factor, {r('factor_prev', 4)} AS factor_prev, {r('factor_curr', 4)} AS factor_curr, {r('delta_gmv', 3)} AS delta_gmv, "
+    o["revenue_factors"] = q(f"SELECT {m}, factor, {r('factor_prev', 8)} AS factor_prev, {r('factor_curr', 8)} AS factor_curr, {r('delta_gmv', 3)} AS delta_gmv, "
                              f"{r('contribution_amount', 3)} AS contribution_amount, {r(pct, 5)} AS contribution_pct FROM factors")
     o["revenue_factor_intervals"] = q(
         f"SELECT {m}, factor, {r('q[1]', 2)} AS ci_low, {r('q[2]', 2)} AS ci_high, {i('CASE WHEN q[1] > 0 OR q[2] < 0 THEN 1 ELSE 0 END')} AS is_significant "
@@ -490,11 +507,11 @@ def build() -> dict[str, str]:
         f"SELECT dim_value, {r('pp', 5)}, 'top', hi FROM ranked WHERE hi <= 6", structure_cte("cat_month"),
         "ranked AS (SELECT dim_value, pp, row_number() OVER (ORDER BY pp, dim_value) AS lo, row_number() OVER (ORDER BY pp DESC, dim_value DESC) AS hi FROM "
         "(SELECT dim_value, (g1 - g0) / t0 * 100 AS pp FROM st WHERE t0 > 0 AND t1 > 0 AND (round(g0, 2) <> 0 OR round(g1, 2) <> 0) AND stat_month = (SELECT max(stat_month) FROM pairs)))")
-    o["aov_effects"] = q(f"SELECT {m}, {r('aov_prev', 4)} AS aov_prev, {r('aov_curr', 4)} AS aov_curr, {r('delta_aov', 4)} AS delta_aov, factor, "
-                         f"{r('contribution_amount', 4)} AS contribution_amount, {r('contribution_amount / delta_aov', 4)} AS contribution_pct FROM aov_long")
+    o["aov_effects"] = q(f"SELECT {m}, {r('aov_prev')} AS aov_prev, {r('aov_curr')} AS aov_curr, {r('delta_aov')} AS delta_aov, factor, "
+                         f"{r('contribution_amount')} AS contribution_amount, {r('contribution_amount / delta_aov', 5)} AS contribution_pct FROM aov_long")
     o["aov_detail"] = q(f"SELECT {m}, category_en, {i('n0')} AS item_cnt_prev, {i('n1')} AS item_cnt_curr, {r('s0')} AS share_prev, {r('s1')} AS share_curr, "
                         f"{r('CASE WHEN n0 > 0 THEN m0 / n0 ELSE 0 END', 8)} AS price_prev, {r('CASE WHEN n1 > 0 THEN m1 / n1 ELSE 0 END', 8)} AS price_curr, "
-                        f"{r('big_n0 * s0 * (p1 - p0)', 4)} AS price_contrib, {r('big_n0 * p0 * (s1 - s0)', 4)} AS mix_contrib FROM aov_in WHERE n0 <> 0 OR n1 <> 0")
+                        f"{r('big_n0 * s0 * (p1 - p0)')} AS price_contrib, {r('big_n0 * p0 * (s1 - s0)')} AS mix_contrib FROM aov_in WHERE n0 <> 0 OR n1 <> 0")
     sign_p = ("least(1.0, 2 * list_sum(list_transform(range(0, CAST(least(neg, pos) AS BIGINT) + 1), lambda k: exp(lgamma(neg + pos + 1) - lgamma(k + 1) "
               "- lgamma(neg + pos - k + 1) - (neg + pos) * ln(2)))))")
     o["aov_effect_window"] = q(
@@ -512,6 +529,9 @@ def build() -> dict[str, str]:
     o["trend_by_state"] = q(f"SELECT dim_value, {MK_COLS} FROM mk", "series AS (SELECT dim_value, stat_month AS t, gmv AS y FROM state_month_rev)", *mann_kendall("series", "dim_value"))
     o["log_slope_by_category"] = q(f"SELECT dim_value, {r('CASE WHEN count(*) >= 3 THEN regr_slope(ly, x) END', 7)} AS slope_log FROM "
                                    "(SELECT dim_value, ln(CAST(gmv AS DOUBLE)) AS ly, row_number() OVER (PARTITION BY dim_value ORDER BY stat_month) AS x FROM cat_month WHERE gmv > 0) GROUP BY dim_value")
+    o["change_points_by_category"] = q(f"SELECT key AS dim_value, {m}, {i('idx')} AS idx, {i('bp')} AS breakpoint_flag, "
+                                       f"{i('sum(bp) OVER (PARTITION BY key ORDER BY idx)')} AS segment_id FROM n{MAX_BREAKS}",
+                                       "series AS (SELECT dim_value AS key, stat_month, ln(CAST(gmv AS DOUBLE)) AS y FROM cat_month)", *breaks())
     o["tail_diagnostic"] = q(
         f"SELECT {m}, {r('gmv', 2)} AS gmv, {r('gmv_all', 2)} AS gmv_all, {r('s', 5)} AS delivered_share, {r('med', 5)} AS median_share, {i('CASE WHEN s < med * 0.98 THEN 1 ELSE 0 END')} AS is_truncated FROM "
         "(SELECT *, median(s) OVER () AS med FROM (SELECT panel.*, CAST(gmv AS DOUBLE) / CAST(gmv_all AS DOUBLE) AS s FROM panel, win WHERE stat_month BETWEEN win.s AND win.e)) ORDER BY stat_month DESC LIMIT 3")
@@ -641,6 +661,16 @@ def build() -> dict[str, str]:
         roi_sql([(RESCUE_RATE, BAD_VALUE)]),
         "al AS (SELECT *, CASE WHEN net > 0 THEN greatest(0, least(cycle, budget - coalesce(sum(cycle) OVER (PARTITION BY budget, net > 0 ORDER BY net / cycle DESC, strategy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END AS alloc "
         f"FROM (SELECT strategy, covered_orders, total_cost AS cycle, revenue_total - total_cost AS net FROM roi), (SELECT unnest([{', '.join(str(float(x)) for x in BUDGET_LEVELS)}])::DOUBLE AS budget))")
+    one = "(SELECT covered_orders FROM coverage WHERE strategy = '{}')"
+    p1, p2_, p3 = (one.format(x) for x in ("p1_expedite", "p2_intercept", "p3_voucher"))
+    rules = {"coverage_grows": f"SELECT {p1} < {p2_} AND {p2_} < {p3}",
+             "late_is_worse": "SELECT baseline_bad_late > baseline_bad_ontime FROM measured",
+             "costs_positive": "SELECT bool_and(cost_per_order > 0) FROM costed",
+             "roi_identity": "SELECT bool_and(abs(revenue_total / total_cost - (revenue_review + revenue_repeat) / total_cost) < 1e-9) FROM roi",
+             "net_identity": "SELECT bool_and(abs((revenue_total - total_cost) + total_cost - revenue_total) < 1e-6) FROM roi",
+             "breakeven_returns_zero": "SELECT coalesce(bool_and(abs(db * (total_cost / db) - total_cost) <= 1e-6 * total_cost), true) FROM roi WHERE total_cost / db <= 1"}
+    o["strategy_invariants"] = q(" UNION ALL ".join(f"SELECT '{n}' AS rule, {i(f'({s})')} AS holds" for n, s in rules.items()),
+                                 roi_sql([(RESCUE_RATE, BAD_VALUE)]))
     # quality and storage
     o["shape_report"] = " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS row_cnt, count(*) - count({c}) AS null_cnt, {i(f'''sum(CASE WHEN NOT regexp_matches(CAST({c} AS VARCHAR), '{p}') THEN 1 ELSE 0 END)''')} AS misfit_cnt FROM orders"
@@ -655,8 +685,9 @@ def build() -> dict[str, str]:
     o["domain_violations"] = q(f"SELECT 'score_1_to_5' AS rule, {i('sum(CASE WHEN review_score IS NULL OR review_score BETWEEN 1 AND 5 THEN 0 ELSE 1 END)')} AS violations FROM ow UNION ALL "
                                f"SELECT 'late_is_flag', {i('sum(CASE WHEN is_late IN (0, 1) THEN 0 ELSE 1 END)')} FROM ow UNION ALL SELECT 'amount_positive', {i('sum(CASE WHEN order_amount > 0 THEN 0 ELSE 1 END)')} FROM ow")
     o["timestamp_audit"] = "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS raw_text FROM orders WHERE o_orderkey % 1000 = 7"
-    o["zero_dates"] = (f"SELECT {i('coalesce(sum(CASE WHEN o_orderdate < TIMESTAMP ' + chr(39) + '1000-01-01' + chr(39) + ' THEN 1 ELSE 0 END), 0)')} AS o_orderdate, "
-                       f"{i('coalesce(sum(CASE WHEN l_shipdate < TIMESTAMP ' + chr(39) + '1000-01-01' + chr(39) + ' THEN 1 ELSE 0 END), 0)')} AS l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+    o["zero_dates"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {i(f'coalesce(sum(CASE WHEN {c} < {chr(39)}1000-01-01{chr(39)}::TIMESTAMP THEN 1 ELSE 0 END), 0)')} AS zero_dates FROM {t}"
+        for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")))
     o["cross_section_tie_out"] = q(f"SELECT {r('c', 4)} AS by_category, {r('s', 4)} AS by_state, {r('a', 4)} AS overall, {r('c - a', 4)} AS category_gap, {r('s - a', 4)} AS state_gap FROM (SELECT (SELECT sum(gmv) FROM cat_month) AS c, (SELECT sum(gmv) FROM state_month_rev) AS s, "
                                    "(SELECT sum(order_amount) FROM inside WHERE is_delivered = 1) AS a)")
     o["factor_gap"] = q(f"SELECT {r('max(greatest(abs(p.buyers - s.buyers), abs(p.delivered_cnt - s.delivered_cnt), abs(CAST(p.gmv AS DOUBLE) - CAST(s.gmv AS DOUBLE))))')} AS max_gap, count(*) AS months FROM panel p JOIN states s USING (stat_month)")

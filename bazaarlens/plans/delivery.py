@@ -12,6 +12,7 @@ from ..operators import panels as P
 from ..operators import quality as Q
 from ..operators import trend as E
 from ..params import B_DELIVERY, MIN_ORDERS_COMPLETE_MONTH, MIN_ORDERS_DIM, SEED
+from ..sources.recovery import cut_lineage
 from .revenue import analysis_window
 
 __all__ = ["scored_deliveries", "delay_impact", "late_rate_trend", "bottlenecks", "stage_report"]
@@ -20,7 +21,8 @@ __all__ = ["scored_deliveries", "delay_impact", "late_rate_trend", "bottlenecks"
 def scored_deliveries(orders: DataFrame, min_orders=MIN_ORDERS_COMPLETE_MONTH) -> DataFrame:
     _, window = analysis_window(orders, min_orders)
     v = C.valid_deliveries(P.within(orders, window)).where(F.col("review_score").isNotNull())
-    return C.with_delay(v).withColumn("d", day_of("purchase_ts"))
+    keep = ["order_id", day_of("purchase_ts").alias("d"), "is_late", "review_score", "delay_hours", "bucket_code"]
+    return cut_lineage(C.with_delay(v).select(*keep))  # joined once, read by every statistic
 
 
 def delay_impact(orders: DataFrame, min_orders=MIN_ORDERS_COMPLETE_MONTH, b: int = B_DELIVERY, seed: int = SEED,

@@ -91,10 +91,12 @@ class Tables:
         return D.aov_inputs(P.category_month(self.inside, self.items), P.month_totals(self.inside), self.pairs)
     def make_scored(self):
         v = C.valid_deliveries(self.inside).where(F.col("review_score").isNotNull())
-        return C.with_delay(v).withColumn("d", day_of("purchase_ts"))
-    def make_first(self): return customers.survival_input(self.detail)
-    def make_profile(self): return S.user_profile(self.orders)
-    def make_pool(self): return M.intervention_pool(self.orders)
+        # several statistics read these few columns: join once, store, read back
+        return cut_lineage(C.with_delay(v).select("order_id", day_of("purchase_ts").alias("d"), "is_late",
+                                                  "review_score", "delay_hours", "bucket_code"))
+    def make_first(self): return cut_lineage(customers.survival_input(self.detail))
+    def make_profile(self): return cut_lineage(S.user_profile(self.orders))
+    def make_pool(self): return cut_lineage(M.intervention_pool(self.orders))
     def make_params(self): return M.measured_params(self.pool, ASSUMED)
     def make_features(self): return M.order_features(self.detail, self.c.order_sellers(), self.items)
     def make_base(self): return M.bottleneck_base(self.inside_detail, self.items)
@@ -102,9 +104,9 @@ class Tables:
         """A fixed score with many ties on every reviewed delivery."""
         v = C.with_delay(C.valid_deliveries(self.orders)).where(F.col("review_score").isNotNull())
         tick = F.pmod(F.col("order_id") * 37, F.lit(101)).cast("double") / 101
-        return v.select("order_id", month_start("purchase_ts").alias("stat_month"),
-                        (F.col("review_score") <= 2).cast("int").alias("is_bad"),
-                        F.round((tick + F.col("is_late")) / 2, 3).alias("score"))
+        return cut_lineage(v.select("order_id", month_start("purchase_ts").alias("stat_month"),
+                                    (F.col("review_score") <= 2).cast("int").alias("is_bad"),
+                                    F.round((tick + F.col("is_late")) / 2, 3).alias("score")))
 
 
 def register(name: str | None = None, **digits):
@@ -119,7 +121,7 @@ def register(name: str | None = None, **digits):
 
 
 # ---------------------------------------------------------------- panels
-@register(orders_per_buyer=8, aov=4)
+@register(orders_per_buyer=8, aov=8)
 def month_panel(t): return t.panel
 
 
@@ -137,7 +139,7 @@ def month_pairs(t): return t.pairs
 def daily_customer_panel(t): return t.daily
 
 
-@register(gmv=4, aov=4, orders_per_buyer=8)
+@register(gmv=4, aov=8, orders_per_buyer=8)
 def month_states(t): return t.states
 
 
@@ -158,7 +160,7 @@ def month_totals(t): return P.month_totals(t.inside)
 
 
 # ---------------------------------------------------------------- revenue
-FACTOR_DIGITS = dict(factor_prev=4, factor_curr=4, delta_gmv=3, contribution_amount=3, contribution_pct=5)
+FACTOR_DIGITS = dict(factor_prev=8, factor_curr=8, delta_gmv=3, contribution_amount=3, contribution_pct=5)
 
 
 @register(**FACTOR_DIGITS)
@@ -209,14 +211,14 @@ def structure_latest_ends(t):
     return D.ends(rows, ["dim_type"], ["contrib_pp", "dim_value"], 6).select("dim_value", "contrib_pp", "side", "position")
 
 
-AOV_DIGITS = dict(aov_prev=4, aov_curr=4, delta_aov=4, contribution_amount=4, contribution_pct=4)
+AOV_DIGITS = dict(contribution_pct=5)
 
 
 @register(**AOV_DIGITS)
 def aov_effects(t): return D.aov_effects(t.aov)
 
 
-@register(price_prev=8, price_curr=8, price_contrib=4, mix_contrib=4)
+@register(price_prev=8, price_curr=8)
 def aov_detail(t): return D.aov_detail(t.aov)
 
 
@@ -380,13 +382,13 @@ def naive_effect_365(t): return PM.naive_effect(PM.horizon_outcome(t.first, 365)
 
 @register()
 def covariate_balance(t):
-    sub = cut_lineage(PM.horizon_outcome(t.first, 365))
+    sub = PM.horizon_outcome(t.first, 365)
     x, names = PM.propensity_features(sub, PM.top_values(sub, "first_state"))
     return PM.balance(x, names)
 
 
 @register()
-def matched_effects(t): return PM.experience_effects(cut_lineage(t.first), balance_limit=None)
+def matched_effects(t): return PM.experience_effects(t.first, balance_limit=None)
 
 
 @register(monetary=4)
@@ -556,8 +558,7 @@ def timestamp_audit(t):
 
 @register()
 def zero_dates(t):
-    return Q.zero_date_count(t.c.raw("orders").join(t.c.raw("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")),
-                             "o_orderdate", "l_shipdate")
+    return Q.zero_date_count(t.c.raw("orders"), "o_orderdate").unionByName(Q.zero_date_count(t.c.raw("lineitem"), "l_shipdate"))
 
 
 @register(by_category=4, by_state=4, overall=4, category_gap=4, state_gap=4)
