@@ -150,6 +150,7 @@ def proportion_tests(rows: DataFrame, k: str, n: str, family: list[str], overall
 
 def bottleneck_table(base: DataFrame, min_orders: int = MIN_ORDERS_DIM, alpha: float = ALPHA) -> DataFrame:
     """Late rate per dimension value over the window, tested against the rate of its dimension."""
+    base = cut_lineage(base)  # dimension x month rows, read for the rates and for the overall rate
     g = base.groupBy("dim_type", "dim_value").agg(
         F.sum("delivered_cnt").alias("delivered_cnt"), F.sum("late_cnt").alias("late_cnt"),
         F.sum("gmv").alias("gmv"), *[weighted_rollup(c, "delivered_cnt").alias(c) for c in
@@ -162,6 +163,7 @@ def bottleneck_table(base: DataFrame, min_orders: int = MIN_ORDERS_DIM, alpha: f
 def repeat_rate_table(base: DataFrame, overall_dim: str = "first_is_late",
                       min_customers: int = MIN_CUSTOMERS_DIM, alpha: float = ALPHA) -> DataFrame:
     """Repeat rate per experience value, tested against the overall rate, q per dimension."""
+    base = cut_lineage(base)
     overall = (base.where(F.col("dim_type") == overall_dim)
                .agg(ratio(F.sum("repeat_customers"), F.sum("customers")).alias("p0")))
     fam = base.select("dim_type").distinct().withColumn("p0", overall.scalar())

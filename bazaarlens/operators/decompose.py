@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import binomial_p, log_mean, ratio
+from ..sources.recovery import cut_lineage
 
 __all__ = ["lmdi", "revenue_factors", "paired_dims", "structure_contribution", "aov_inputs",
            "aov_effects", "aov_detail", "effect_window", "waterfall", "AOV_EFFECTS",
@@ -51,16 +52,14 @@ def paired_dims(dim_months: DataFrame, pairs: DataFrame, dim: str, values: list[
     """Both periods of every month pair side by side, zero where a dimension is missing.
 
     Each month row goes out at most twice, as the current and as the previous period, and
-    the two meet in one grouping; no month x dimension grid is built.
+    the two meet in one grouping: the input is read once and no month x dimension grid is built.
     """
-    cur = (dim_months.join(pairs.select("stat_month"), "stat_month")
-           .select("stat_month", dim, *[F.col(v).cast("double").alias(f"{v}_1") for v in values],
-                   *[F.lit(0.0).alias(f"{v}_0") for v in values]))
-    prev = (dim_months.withColumnRenamed("stat_month", "prev_month").join(pairs, "prev_month")
-            .select("stat_month", dim, *[F.lit(0.0).alias(f"{v}_1") for v in values],
-                    *[F.col(v).cast("double").alias(f"{v}_0") for v in values]))
-    return (cur.unionByName(prev).groupBy("stat_month", dim)
-            .agg(*[F.sum(f"{v}_{t}").alias(f"{v}_{t}") for v in values for t in (0, 1)]))
+    roles = pairs.select(F.col("stat_month").alias("_m"), F.lit(1).alias("_now"), F.col("stat_month").alias("_pair")).unionByName(
+        pairs.select(F.col("prev_month").alias("_m"), F.lit(0).alias("_now"), F.col("stat_month").alias("_pair")))
+    j = dim_months.join(roles, F.col("stat_month") == F.col("_m"))
+    return j.groupBy(F.col("_pair").alias("stat_month"), dim).agg(*[
+        F.sum(F.when(F.col("_now") == t, F.col(v).cast("double")).otherwise(0.0)).alias(f"{v}_{t}")
+        for v in values for t in (0, 1)])
 
 
 def structure_contribution(dim_months: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def structure_contribution(dim_months: DataFrame, pairs: DataFrame) -> DataFrame
     The contributions of a pair add up to its total growth. Pairs with a total that is not
     positive are skipped, and values that are zero to the cent in both periods are left out.
     """
-    p = paired_dims(dim_months.where(F.col("dim_value").isNotNull()), pairs, "dim_value", ["gmv"])
+    p = cut_lineage(paired_dims(dim_months.where(F.col("dim_value").isNotNull()), pairs, "dim_value", ["gmv"]))
     totals = p.groupBy("stat_month").agg(F.sum("gmv_0").alias("_t0"), F.sum("gmv_1").alias("_t1"))
     g0, g1 = F.col("gmv_0"), F.col("gmv_1")
     return (p.join(totals, "stat_month").where("_t0 > 0 AND _t1 > 0")
@@ -85,6 +84,7 @@ def aov_inputs(cat_month: DataFrame, totals: DataFrame, pairs: DataFrame) -> Dat
     """Category rows of each month pair with the shares, prices and order-level ratios of both
     periods. A category unsold in one period takes the other period's price, so entry and exit
     land in the mix effect."""
+    totals = cut_lineage(totals)  # one row per month, read as current and as previous
     cats = paired_dims(cat_month, pairs, "category_en", ["item_cnt", "item_amount"])
     t = totals.select("stat_month", *[F.col(c).cast("double").alias(c) for c in
                                       ("delivered_orders", "item_cnt", "item_amount", "freight_amount")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import day_of, hours_between, month_start, ratio, weekday_index
 from ..params import RISK_FEATURES
+from ..sources.recovery import cut_lineage
 from .compare import valid_deliveries, with_delay
 from .history import prior_rates
 
@@ -61,7 +62,7 @@ def delay_profile(orders: DataFrame) -> DataFrame:
 def bottleneck_base(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Dimension x month base of valid deliveries. An order counts once in each category it has."""
     cols = ["order_id", "purchase_ts", "is_late", "lastmile_hours", "avg_distance_km", "review_score"]
-    v = valid_deliveries(orders)
+    v = cut_lineage(valid_deliveries(orders).select(*cols, "customer_state", "order_amount"))  # read for both dimensions
     state = v.where(F.col("customer_state").isNotNull()).select(
         *cols, F.lit("state").alias("dim_type"), F.col("customer_state").alias("dim_value"), F.col("order_amount").alias("_v"))
     per = (items.where(F.col("category_en").isNotNull()).groupBy("order_id", "category_en")
@@ -79,9 +80,11 @@ def order_features(detail: DataFrame, order_sellers: DataFrame, items: DataFrame
     """26 features per reviewed delivery, with seller and category history before the purchase."""
     base = (valid_deliveries(detail).where(F.col("review_score").isNotNull())
             .withColumn("is_bad", (F.col("review_score") <= 2).cast("int")))
+    base = cut_lineage(base)  # the wide rows are read for the features and for both histories
     when = base.select("order_id", "purchase_ts", "is_bad")
-    sellers = order_sellers.join(when, "order_id")
-    cats = items.where(F.col("category_en").isNotNull()).select("order_id", "category_en").distinct().join(when, "order_id")
+    sellers = cut_lineage(order_sellers.join(when, "order_id"))
+    cats = items.where(F.col("category_en").isNotNull()).select("order_id", "category_en").distinct()
+    cats = cut_lineage(cats.join(when, "order_id"))
     f = (base.join(prior_rates(sellers, "seller_id", "order_id", "purchase_ts", "is_bad", "seller"), "order_id", "left")
          .join(prior_rates(cats, "category_en", "order_id", "purchase_ts", "is_bad", "cat"), "order_id", "left")
          .withColumns({

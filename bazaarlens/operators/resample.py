@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import ratio, two_sided_p
 from ..params import ALPHA, B_DELIVERY, B_MATCHED, B_REVENUE, B_STRUCTURE, SEED
+from ..sources.recovery import cut_lineage
 from .decompose import REVENUE_FACTORS, lmdi
 
 __all__ = ["percentile_ci", "excludes_zero", "replicate_sums", "bootstrap_states", "bootstrap_lmdi",
@@ -111,6 +112,7 @@ def bootstrap_states(daily: DataFrame, b: int = B_REVENUE, seed: int = SEED) ->
     drawn once per replicate and serves as the current month of one pair and the previous month
     of the next, so the two months of a pair are always independent.
     """
+    daily = cut_lineage(daily)
     slots = _day_slots(daily)
     per = daily.groupBy("stat_month", "d").agg(F.sum("delivered_cnt").alias("delivered_cnt"),
                                                F.sum("gmv").alias("gmv"))
@@ -179,7 +181,7 @@ def bootstrap_contrib(daily_dim: DataFrame, pairs: DataFrame, b: int = B_STRUCTU
     A (month, value) row carries its day sums; the replicates of a row are two small matrix
     products, and only its interval leaves the task.
     """
-    panel = daily_dim.where(F.col("dim_value").isNotNull()).withColumn("gmv", F.col("gmv").cast("double"))
+    panel = cut_lineage(daily_dim.where(F.col("dim_value").isNotNull()).withColumn("gmv", F.col("gmv").cast("double")))
     slots = _day_slots(panel)
     keyed = panel.join(slots, ["stat_month", "d"])
     pack = F.array_sort(F.collect_list(F.struct("slot", "gmv")))
@@ -254,6 +256,7 @@ def block_group_means(df: DataFrame, keys: list[str], block: str, value: str, b:
     independently."""
     per = (df.where(F.col(value).isNotNull()).groupBy(*keys, block)
            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("double")).alias("s")))
+    per = cut_lineage(per)  # read for the means and for the replicates
     reps = replicate_sums(per, keys, block, ["n", "s"], b, seed, label).withColumn("m", ratio(F.col("s"), F.col("n")))
     point = per.groupBy(*keys).agg(F.sum("n").alias("n_orders"), (F.sum("s") / F.sum("n")).alias("mean_value"))
     return point.join(percentile_ci(reps, "m", keys, alpha), keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chi2_1_tail, day_of, month_start, ratio, z_quantile
 from ..params import ALPHA, MIN_CURVE_GROUP, SURVIVAL_CAP_DAYS
+from ..sources.recovery import cut_lineage
 from .ordering import quantiles
 
 __all__ = ["first_orders", "censor_at", "kaplan_meier", "logrank", "median_time", "group_membership",
@@ -114,6 +115,7 @@ def survival_curves(first: DataFrame, cap: int = SURVIVAL_CAP_DAYS, min_group: i
     counterpart. Groups under ``min_group`` have no curve but still serve as counterpart."""
     m = (group_membership(censor_at(first, cap)).groupBy("group_code", "obs_days", "obs_event")
          .agg(F.count(F.lit(1)).alias("n")))
+    m = cut_lineage(m)
     # counts per (group, day, event): the rest of the work is on at most 2 x cap rows per group
     sizes = m.groupBy("group_code").agg(F.sum("n").alias("n_total"),
                                         F.sum(F.col("n") * F.col("obs_event")).alias("n_event"))

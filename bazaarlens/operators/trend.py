@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mk_min_p, two_sided_p
 from ..params import ALPHA, MAX_BREAKS, MIN_SEGMENT
+from ..sources.recovery import cut_lineage
 
 __all__ = ["mann_kendall", "log_slope", "change_points", "segment_report"]
 
@@ -106,6 +107,7 @@ def change_points(df: DataFrame, keys: list[str], t: str, y: str, min_size: int
 def segment_report(points: DataFrame, keys: list[str], t: str, y: str, alpha: float = ALPHA) -> DataFrame:
     """Trend test, slope, growth and a power warning per segment."""
     by = keys + ["segment_id"]
+    points = cut_lineage(points)  # short series, read three times
     span = points.groupBy(*by).agg(F.min(t).alias("from_t"), F.max(t).alias("to_t"),
                                    F.min_by(y, t).alias("first_value"), F.max_by(y, t).alias("last_value"),
                                    F.count(F.lit(1)).alias("points"))

@@ -39,6 +39,7 @@ def late_rate_trend(orders: DataFrame, min_orders=MIN_ORDERS_COMPLETE_MONTH, min
     """Trend of the monthly late rate without truncated months, with first, last and mean rate."""
     _, window = analysis_window(orders, min_orders)
     m = P.within(M.fulfilment_monthly(orders), window, ts=None)
+    m = cut_lineage(m)
     kept = (Q.drop_truncated(m) if min_ratio is None else Q.drop_truncated(m, floor=min_ratio)).withColumn("series", F.lit("late_rate"))
     ends = kept.groupBy("series").agg(F.min_by("late_rate", "stat_month").alias("first_rate"),
                                       F.max_by("late_rate", "stat_month").alias("last_rate"),

@@ -11,6 +11,7 @@ from ..operators import panels as P
 from ..operators import quality as Q
 from ..operators import resample as B
 from ..operators import trend as E
+from ..sources.recovery import cut_lineage
 from ..params import (B_REVENUE, B_STRUCTURE, MAX_BREAKS, MIN_ORDERS_COMPLETE_MONTH, MIN_SEGMENT, SEED)
 
 __all__ = ["analysis_window", "revenue_attribution", "revenue_trend", "structure_report", "basket_report"]
@@ -27,8 +28,8 @@ def revenue_attribution(orders: DataFrame, min_orders=MIN_ORDERS_COMPLETE_MONTH,
     """Contribution of buyers, frequency and basket value to each monthly change, with intervals."""
     panel, window = analysis_window(orders, min_orders)
     inside = P.within(orders, window)
-    daily = P.daily_customer_panel(inside)
-    states = P.month_states(daily)
+    daily = cut_lineage(P.daily_customer_panel(inside))
+    states = cut_lineage(P.month_states(daily))
     pairs = P.month_pairs(states)
     if last:
         pairs = pairs.orderBy(F.col("stat_month").desc()).limit(last)
@@ -64,6 +65,7 @@ def structure_report(orders: DataFrame, items: DataFrame, dims=("category", "sta
     out = None
     for dim in dims:
         daily = P.daily_dim_panel(inside, items, dim)
+        daily = cut_lineage(daily)
         base = P.dim_month(daily)
         pairs = P.month_pairs(base)
         part = D.structure_contribution(base, pairs)
@@ -85,8 +87,9 @@ def basket_report(orders: DataFrame, items: DataFrame, min_orders=MIN_ORDERS_COM
     panel, window = analysis_window(orders, min_orders)
     cats, totals = P.category_month(orders, items), P.month_totals(orders)
     pairs = P.month_pairs(P.within(panel, window, ts=None))
-    inputs = D.aov_inputs(cats, totals, pairs)
-    effects = D.aov_effects(inputs)
+    cats = cut_lineage(cats)
+    inputs = cut_lineage(D.aov_inputs(cats, totals, pairs))
+    effects = cut_lineage(D.aov_effects(inputs))
     if checks:
         Q.expect(Q.category_gap(cats, totals, panel),
                  (F.col("item_gap") < 0.01) & (F.col("amount_gap") < 0.01) & (F.col("order_gap") < 0.01),

@@ -71,20 +71,21 @@ class Tables:
     def make_items(self): return self.c.order_items()
     def make_detail(self): return self.c.orders_detail(self.orders)
     def make_min_orders(self):
-        return P.suggest_min_orders(self.orders.groupBy(month_start("purchase_ts").alias("stat_month"))
-                                    .agg(F.count(F.lit(1)).alias("order_cnt")))
+        return P.suggest_min_orders(self.month_orders)
+    def make_month_orders(self):
+        # order counts need no item or customer join
+        return (self.c.raw("orders").groupBy(month_start("o_orderdate").alias("stat_month"))
+                .agg(F.count(F.lit(1)).alias("order_cnt")))
     def make_panel(self): return P.month_panel(self.orders, self.min_orders)
     def make_window(self):
-        # the window needs order counts only: no item or customer join
-        n = (self.c.raw("orders").groupBy(month_start("o_orderdate").alias("stat_month"))
-             .agg(F.count(F.lit(1)).alias("order_cnt")))
+        n = self.month_orders
         return P.complete_window(n.withColumn("is_complete_month", (F.col("order_cnt") >= P.suggest_min_orders(n)).cast("int")))
     def make_inside(self): return P.within(self.orders, self.window)
     def make_inside_detail(self): return P.within(self.detail, self.window)
-    def make_daily(self): return P.daily_customer_panel(self.inside)
+    def make_daily(self): return P.daily_customer_panel(self.inside)  # stored where it is read more than once
     def make_states(self): return P.month_states(self.daily)
     def make_pairs(self):
-        return P.month_pairs(self.inside.select(month_start("purchase_ts").alias("stat_month")))
+        return cut_lineage(P.month_pairs(P.within(self.month_orders, self.window, ts=None)))
     def make_category_daily(self): return P.daily_dim_panel(self.inside, self.items, "category")
     def make_state_daily(self): return P.daily_dim_panel(self.inside, self.items, "state")
     def make_aov(self):
@@ -98,7 +99,7 @@ class Tables:
     def make_profile(self): return cut_lineage(S.user_profile(self.orders))
     def make_pool(self): return cut_lineage(M.intervention_pool(self.orders))
     def make_params(self): return M.measured_params(self.pool, ASSUMED)
-    def make_features(self): return M.order_features(self.detail, self.c.order_sellers(), self.items)
+    def make_features(self): return M.order_features(self.c.orders_detail(self.orders, goods=True), self.c.order_sellers(), self.items)
     def make_base(self): return M.bottleneck_base(self.inside_detail, self.items)
     def make_model_scores(self):
         """A fixed score with many ties on every reviewed delivery."""
@@ -224,7 +225,7 @@ def aov_detail(t): return D.aov_detail(t.aov)
 
 @register(total_amount=3, mean_per_month=3, ci_low=3, ci_high=3)
 def aov_effect_window(t):
-    e = D.aov_effects(t.aov)
+    e = cut_lineage(D.aov_effects(t.aov))
     ci = B.bootstrap_means(e, "factor", "stat_month", "contribution_amount", label="month").drop("is_significant")
     return D.effect_window(e).join(ci, "factor")
 
@@ -270,7 +271,7 @@ def fulfilment_monthly(t): return M.fulfilment_monthly(t.orders)
 @register(tau=5, z=5)
 def late_rate_trend(t):
     m = Q.drop_truncated(P.within(M.fulfilment_monthly(t.orders), t.window, ts=None), floor=MIN_RATIO)
-    m = m.withColumn("series", F.lit("late_rate"))
+    m = cut_lineage(m.withColumn("series", F.lit("late_rate")))
     e = m.groupBy("series").agg(F.min_by("late_rate", "stat_month").alias("first_rate"),
                                 F.max_by("late_rate", "stat_month").alias("last_rate"), F.avg("late_rate").alias("mean_rate"))
     return e.join(E.mann_kendall(m, ["series"], "stat_month", "late_rate"), "series")

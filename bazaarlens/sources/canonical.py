@@ -107,22 +107,36 @@ class Canonical:
         return (self.raw("lineitem").select(F.col("l_orderkey").alias("order_id"),
                                             F.col("l_suppkey").alias("seller_id")).distinct())
 
-    def orders_detail(self, orders: DataFrame | None = None) -> DataFrame:
-        """``orders_wide`` plus distance, seller and product counts, payments, product attributes.
+    def orders_detail(self, orders: DataFrame | None = None, goods: bool = False) -> DataFrame:
+        """``orders_wide`` plus distance, seller count and payments, and on demand product counts
+        and attributes (one more pass over the items).
 
         Distance is the mean great-circle distance over the distinct sellers of an order.
         """
         orders = self.orders_wide() if orders is None else orders
+        home = (self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+                .select(F.col("o_orderkey").alias("order_id"), F.col("c_nationkey").alias("_buyer_nation")))
         lat1, lng1 = self._centroid(F.col("_buyer_nation"))
         lat2, lng2 = self._centroid(F.col("_seller_nation"))
         legs = (self.order_sellers().join(self.sellers(), "seller_id", "left")
                 .groupBy("order_id", "_seller_nation").agg(F.count(F.lit(1)).alias("_n"))
-                .join(orders.select("order_id", "_buyer_nation"), "order_id")
+                .join(home, "order_id")
                 .withColumn("_km", great_circle_km(lat1, lng1, lat2, lng2))
                 .groupBy("order_id").agg(
                     (F.sum(F.col("_km") * F.col("_n")) / F.sum("_n")).alias("avg_distance_km"),
                     F.sum("_n").alias("seller_cnt")))
-        goods = (self.order_items(attributes=True).groupBy("order_id", "product_id")
+        oid = F.col("order_id")
+        out = (orders.join(legs, "order_id", "left")
+               .withColumns({
+                   "seller_cnt": F.coalesce("seller_cnt", F.lit(0)),
+                   "pay_type_cnt": 1 + (oid % 10 == 0).cast("int"),
+                   "has_credit_card": (oid % 4 != 0).cast("int"),
+                   "max_installments": (1 + oid % 8).cast("int"),
+                   "is_seller_late": (F.col("carrier_hours") > 48).cast("int"),
+               }))
+        if not goods:
+            return out
+        parts = (self.order_items(attributes=True).groupBy("order_id", "product_id")
                  .agg(F.count(F.lit(1)).alias("_c"), F.first("photos_qty").alias("photos_qty"),
                       F.first("description_length").alias("description_length"),
                       F.sum("weight_g").alias("weight_g"), F.sum("volume_cm3").alias("volume_cm3"))
@@ -130,13 +144,4 @@ class Canonical:
                      F.count(F.lit(1)).alias("product_cnt"), F.max("photos_qty").alias("photos_qty"),
                      F.max("description_length").alias("description_length"),
                      F.sum("weight_g").alias("weight_g"), F.sum("volume_cm3").alias("volume_cm3")))
-        oid = F.col("order_id")
-        return (orders.join(legs, "order_id", "left").join(goods, "order_id", "left")
-                .withColumns({
-                    "seller_cnt": F.coalesce("seller_cnt", F.lit(0)),
-                    "product_cnt": F.coalesce("product_cnt", F.lit(0)),
-                    "pay_type_cnt": 1 + (oid % 10 == 0).cast("int"),
-                    "has_credit_card": (oid % 4 != 0).cast("int"),
-                    "max_installments": (1 + oid % 8).cast("int"),
-                    "is_seller_late": (F.col("carrier_hours") > 48).cast("int"),
-                }))
+        return out.join(parts, "order_id", "left").withColumn("product_cnt", F.coalesce("product_cnt", F.lit(0)))
