@@ -67,9 +67,10 @@ class Tables:
             self._memo[name] = getattr(type(self), "make_" + name)(self)
         return self._memo[name]
 
-    def make_orders(self): return self.c.orders_wide()
+    def make_orders(self): return self.c.orders_wide(state=False)
+    def make_state_orders(self): return self.c.orders_wide()
     def make_items(self): return self.c.order_items()
-    def make_detail(self): return self.c.orders_detail(self.orders)
+    def make_detail(self): return self.c.orders_detail(self.state_orders)
     def make_min_orders(self):
         return P.suggest_min_orders(self.month_orders)
     def make_month_orders(self):
@@ -87,7 +88,7 @@ class Tables:
     def make_pairs(self):
         return cut_lineage(P.month_pairs(P.within(self.month_orders, self.window, ts=None)))
     def make_category_daily(self): return P.daily_dim_panel(self.inside, self.items, "category")
-    def make_state_daily(self): return P.daily_dim_panel(self.inside, self.items, "state")
+    def make_state_daily(self): return P.daily_dim_panel(P.within(self.state_orders, self.window), self.items, "state")
     def make_aov(self):
         return D.aov_inputs(P.category_month(self.inside, self.items), P.month_totals(self.inside), self.pairs)
     def make_scored(self):
@@ -327,7 +328,7 @@ def seller_table(t): return M.seller_table(t.orders, t.items)
 
 
 @register(gmv=4)
-def state_month(t): return M.state_month(t.orders)
+def state_month(t): return M.state_month(t.state_orders)
 
 
 @register()

@@ -53,7 +53,8 @@ class Canonical:
                      .cast("decimal(18,4)").alias("freight_amount"),
                      F.max("l_shipdate").alias("_ship")))
 
-    def orders_wide(self) -> DataFrame:
+    def orders_wide(self, state: bool = True) -> DataFrame:
+        """One row per order. Without ``state`` the customer tables are not joined at all."""
         o = self.raw("orders").select(
             F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_unique_id"),
             F.col("o_orderdate").alias("purchase_ts"),
@@ -61,16 +62,17 @@ class Canonical:
         buyers = (self.raw("customer").join(self.raw("nation"),
                                             F.col("c_nationkey") == F.col("n_nationkey"), "left")
                   .select(F.col("c_custkey").alias("customer_unique_id"),
-                          F.col("n_name").alias("customer_state"),
-                          F.col("c_nationkey").alias("_buyer_nation")))
+                          F.col("n_name").alias("customer_state")))
         gap = F.pmod(F.datediff("_ship", "purchase_ts"), F.lit(45))
         delivered = F.when(F.col("is_delivered") == 1,
                            F.col("purchase_ts") + F.make_dt_interval(gap))
         oid = F.col("order_id")
         zero = F.lit(0)
         base_score = 1 + F.pmod(oid * 7 + 3, F.lit(5))
-        return (o.join(self._item_totals(), "order_id", "left")
-                .join(buyers, "customer_unique_id", "left")
+        wide = o.join(self._item_totals(), "order_id", "left")
+        if state:
+            wide = wide.join(buyers, "customer_unique_id", "left")
+        return (wide
                 .withColumns({
                     "estimated_ts": F.col("purchase_ts") + F.make_dt_interval(F.lit(ESTIMATE_DAYS)),
                     "customer_delivered_ts": delivered,
