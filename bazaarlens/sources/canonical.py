@@ -45,13 +45,18 @@ class Canonical:
         return lines.join(part, "product_id", "left")
 
     def _item_totals(self) -> DataFrame:
-        price = F.col("l_extendedprice").cast("decimal(18,2)")
+        """Exact money per order, added up as integers (cents, and 1/10000 for price x tax), which
+        stay in primitive arithmetic over the largest table; decimals appear once per order."""
+        cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+        parts = cents * F.round(F.col("l_tax") * 100).cast("long")
+        def money(total, scale):
+            unit = F.lit(1).cast("decimal(5,4)") / 10 ** scale
+            return (total.cast("decimal(18,0)") * unit.cast(f"decimal(5,{scale})")).cast(f"decimal(18,{scale})")
         return (self.raw("lineitem").groupBy(F.col("l_orderkey").alias("order_id"))
-                .agg(F.count(F.lit(1)).alias("item_cnt"),
-                     F.sum(price).cast("decimal(18,2)").alias("item_amount"),
-                     F.sum((price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(18,4)"))
-                     .cast("decimal(18,4)").alias("freight_amount"),
-                     F.max("l_shipdate").alias("_ship")))
+                .agg(F.count(F.lit(1)).alias("item_cnt"), F.sum(cents).alias("_a"), F.sum(parts).alias("_f"),
+                     F.max("l_shipdate").alias("_ship"))
+                .select("order_id", "item_cnt", money(F.col("_a"), 2).alias("item_amount"),
+                        money(F.col("_f"), 4).alias("freight_amount"), "_ship"))
 
     def orders_wide(self, state: bool = True) -> DataFrame:
         """One row per order. Without ``state`` the customer tables are not joined at all."""
