@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact import exact_dedup
 from .licenses import scan_licenses
+from .pieces import token_digests
 from .sharding import kd_shards
 
 __all__ = ["QUERIES"]
@@ -20,8 +21,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(read(spark, sf_dir))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_kd_shards, op7_exact_dedup, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op4_kd_shards, op7_exact_dedup, op8_sentencepiece, op9_license_scan)}
