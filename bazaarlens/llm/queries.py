@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact import exact_dedup
 from .licenses import scan_licenses
+from .packing import pack_documents
 from .pieces import token_digests
 from .sharding import kd_shards
 
@@ -17,6 +18,10 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(read(spark, sf_dir))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir))
 
@@ -29,4 +34,4 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_kd_shards, op7_exact_dedup, op8_sentencepiece, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op4_kd_shards, op6_best_fit_packing, op7_exact_dedup, op8_sentencepiece, op9_license_scan)}
