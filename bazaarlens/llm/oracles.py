@@ -10,4 +10,17 @@ WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
      g AS (SELECT text_sha256, count(*) AS group_size, first(doc_id ORDER BY chars DESC, doc_id) AS keep_id FROM n GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)"""
 
-ORACLES = {"op7_exact_dedup": EXACT}
+LINES = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS line FROM documents),
+     f AS (SELECT doc_id, unnest(range(len(line))) AS i, unnest(line) AS raw FROM l),
+     t AS (SELECT doc_id, i, raw, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS tidy FROM f),
+     w AS (SELECT doc_id, i, lead(i) OVER o AS i2, lead(i, 2) OVER o AS i3,
+                  tidy || chr(10) || lead(tidy) OVER o || chr(10) || lead(tidy, 2) OVER o AS words
+           FROM t WHERE tidy <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+     k AS (SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS k FROM w WHERE words IS NOT NULL),
+     gone AS (SELECT DISTINCT doc_id, unnest([i, i2, i3]) AS i FROM k WHERE k > 1)
+SELECT t.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+       coalesce(string_agg(t.raw, chr(10) ORDER BY t.i) FILTER (WHERE gone.i IS NULL), '') AS text
+FROM t LEFT JOIN gone USING (doc_id, i) GROUP BY t.doc_id"""
+
+ORACLES = {"op3_line_dedup": LINES, "op7_exact_dedup": EXACT}

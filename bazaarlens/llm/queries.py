@@ -7,13 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact import exact_dedup
 from .licenses import scan_licenses
+from .lines import dedup_lines
 from .packing import pack_documents
+from .passages import removed_passages
 from .pieces import token_digests
 from .sharding import kd_shards
 
 __all__ = ["QUERIES"]
 
 
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_passages(read(spark, sf_dir))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(read(spark, sf_dir))
 
@@ -34,4 +44,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_kd_shards, op6_best_fit_packing, op7_exact_dedup, op8_sentencepiece, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (
+    op2_passage_dedup, op3_line_dedup, op4_kd_shards, op6_best_fit_packing, op7_exact_dedup, op8_sentencepiece, op9_license_scan)}
