@@ -23,4 +23,21 @@ SELECT t.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
        coalesce(string_agg(t.raw, chr(10) ORDER BY t.i) FILTER (WHERE gone.i IS NULL), '') AS text
 FROM t LEFT JOIN gone USING (doc_id, i) GROUP BY t.doc_id"""
 
-ORACLES = {"op3_line_dedup": LINES, "op7_exact_dedup": EXACT}
+NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                             x -> x <> '') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+ n AS (SELECT doc_id, len(s) AS n FROM s),
+ c AS (SELECT min(doc_id) AS doc_id, list(doc_id) AS copies, s FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
+ e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM c),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS t, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2, 3),
+ l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (t - k)),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+ m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+ o AS (SELECT unnest(copies) AS doc_id, component_id FROM c JOIN m ON m.a = c.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(o.component_id, n.doc_id) AS component_id, n.doc_id = coalesce(o.component_id, n.doc_id) AS kept
+FROM n LEFT JOIN o USING (doc_id)"""
+
+ORACLES = {"op1_near_dedup": NEAR, "op3_line_dedup": LINES, "op7_exact_dedup": EXACT}

@@ -8,6 +8,7 @@ from .common import read
 from .exact import exact_dedup
 from .licenses import scan_licenses
 from .lines import dedup_lines
+from .near import near_duplicates
 from .packing import pack_documents
 from .passages import removed_passages
 from .pieces import token_digests
@@ -16,6 +17,10 @@ from .sharding import kd_shards
 __all__ = ["QUERIES"]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir), words=4, percent=80)
+
+
 def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_passages(read(spark, sf_dir))
 
@@ -45,4 +50,4 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_passage_dedup, op3_line_dedup, op4_kd_shards, op6_best_fit_packing, op7_exact_dedup, op8_sentencepiece, op9_license_scan)}
+    op1_near_dedup, op2_passage_dedup, op3_line_dedup, op4_kd_shards, op6_best_fit_packing, op7_exact_dedup, op8_sentencepiece, op9_license_scan)}
