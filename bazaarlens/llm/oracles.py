@@ -26,9 +26,9 @@ FROM t LEFT JOIN gone USING (doc_id, i) GROUP BY t.doc_id"""
 NEAR = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
-                             x -> x <> '') AS w FROM documents),
+                             lambda x: x <> '') AS w FROM documents),
  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-              ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+              ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
  n AS (SELECT doc_id, len(s) AS n FROM s),
  c AS (SELECT min(doc_id) AS doc_id, list(doc_id) AS copies, s FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
  e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM c),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .exact import exact_dedup
+from .html import extract_pages
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .near import near_duplicates
@@ -33,6 +34,10 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(read(spark, sf_dir))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir))
 
@@ -50,4 +55,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_dedup, op2_passage_dedup, op3_line_dedup, op4_kd_shards, op6_best_fit_packing, op7_exact_dedup, op8_sentencepiece, op9_license_scan)}
+    op1_near_dedup, op2_passage_dedup, op3_line_dedup, op4_kd_shards, op5_html_text, op6_best_fit_packing,
+    op7_exact_dedup, op8_sentencepiece, op9_license_scan)}
