@@ -13,6 +13,7 @@ from .near import near_duplicates
 from .packing import pack_documents
 from .passages import removed_passages
 from .pieces import token_digests
+from .quality import quality_report
 from .sharding import kd_shards
 
 __all__ = ["QUERIES"]
@@ -54,6 +55,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(read(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_passage_dedup, op3_line_dedup, op4_kd_shards, op5_html_text, op6_best_fit_packing,
-    op7_exact_dedup, op8_sentencepiece, op9_license_scan)}
+    op7_exact_dedup, op8_sentencepiece, op9_license_scan, op10_quality_rules)}

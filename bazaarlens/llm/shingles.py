@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import xxhash
 
-__all__ = ["SKETCH", "shingle_sets", "sketches", "set_digest"]
+__all__ = ["SKETCH", "Words", "mixed", "word_hashes", "shingle_sets", "sketches", "set_digest"]
 
 SKETCH = 128                     # min-hash values of a sketch
 _RNG = np.random.default_rng(20240229)
@@ -31,39 +34,61 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
+@dataclass
+class Words:
+    """Words of a batch of texts: their bytes raw[first:last], text numbers and hashes; ends of the texts in raw."""
+
+    raw: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    doc: np.ndarray
+    hash: np.ndarray
+    total: np.ndarray
+
+    def span_hash(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash of the bytes raw[first:last], wherever they stand."""
+        h = (self.total[last] - self.total[first]) * _power(_RI, len(self.raw))[first]
+        return mixed(h + (last - first).astype(np.uint64))
+
+
+def word_hashes(texts: list[bytes | None], lower: bool, gap: bytes = b" ") -> Words:
+    """Words between white space, hashed from prefix sums over all texts, which ``gap`` (white space) ends; lower: A-Z as a-z."""
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    raw = np.frombuffer(gap.join(t or b"" for t in texts) + gap, np.uint8)
+    edge = np.diff(np.concatenate(([True], _SPACE[raw])).astype(np.int8))
+    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    letters = (_LETTER if lower else _BYTE)[raw]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * _power(_R, len(raw)))))
+    w = Words(raw, ends, first, last, np.searchsorted(ends, first, side="right"), np.zeros(0, np.uint64), total)
+    w.hash = w.span_hash(first, last)
+    return w
+
+
 def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles of ``words`` lower-cased (A-Z) words.
 
     A text of fewer words is one shingle of all of them; a text without words, or null, has none.
     """
-    lengths = np.array([len(t or b"") + 1 for t in texts])
-    raw = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8)
-    ends = np.cumsum(lengths)
-    space = _SPACE[raw]
-    edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)   # a word is raw[first:last]
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * _power(_R, len(raw)))))
-    h = (total[last] - total[first]) * _power(_RI, len(raw))[first]
-    h = _mix(h + (last - first).astype(np.uint64))
-    doc = np.searchsorted(ends, first, side="right")
-    counts = np.bincount(doc, minlength=len(texts))
+    w = word_hashes(texts, lower=True)
+    h, counts = w.hash, np.bincount(w.doc, minlength=len(texts))
     n = len(h)
     s = np.zeros(max(n - words + 1, 0), np.uint64)
     for j in range(words):
         s += h[j:n - words + 1 + j] * _PLACE[j] if n >= words else s
-    s = _mix(s)
+    s = mixed(s)
     out, at = [], 0
     for c in counts.tolist():
         if c >= words:
             out.append(np.unique(s[at:at + c - words + 1]))
         elif c:
-            out.append(_mix((h[at:at + c] * _PLACE[:c]).sum(keepdims=True, dtype=np.uint64) + np.uint64(c)))
+            out.append(mixed((h[at:at + c] * _PLACE[:c]).sum(keepdims=True, dtype=np.uint64) + np.uint64(c)))
         else:
             out.append(np.zeros(0, np.uint64))
         at += c
@@ -89,7 +114,5 @@ def sketches(sets: list[np.ndarray], block: int = 40_000) -> np.ndarray:
 
 def set_digest(values: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set, as two signed 64-bit integers."""
-    import xxhash
-
     d = xxhash.xxh3_128_digest(values.tobytes())
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
