@@ -28,7 +28,7 @@ from .common import stage
 from .components import connected_components
 from .shingles import SKETCH, set_digest, shingle_sets, sketches
 
-__all__ = ["near_duplicates", "describe_sets", "forest", "tree_neighbours", "search_regions", "confirm"]
+__all__ = ["near_duplicates", "keep_one", "describe_sets", "forest", "tree_neighbours", "search_regions", "confirm"]
 
 LEVELS = [(4, 32), (8, 96), (12, 256)]   # depth and trees; at 0.8 a pair is missed with 5e-8, 2e-8, 1e-8
 ORDER_TREES = 4                          # trees that are sorted whole
@@ -48,8 +48,9 @@ def _least_agreement(similarity: float) -> int:
 
 
 def describe_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (shingles), set_id, set_check (128 bits of the set), sketch of each row."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, text_a, text_b (they name the text), n (shingles), set_id, sketch of each row."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(11), text_col).alias("text_a"), F.xxhash64(F.lit(29), text_col).alias("text_b"),
+                         F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,13 +59,12 @@ def describe_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), words)
                 some = [s for s in sets if len(s)]
                 sketch = iter(sketches(some) if some else [])
-                names = [set_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()),
-                     pa.array([y for _, y in names], pa.int64()), pa.array([next(sketch).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "n", "set_id", "set_check", "sketch"])
+                    [part.column("doc_id"), part.column("text_a"), part.column("text_b"), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([next(sketch).tobytes() if len(s) else None for s in sets], pa.binary())],
+                    names=["doc_id", "text_a", "text_b", "n", "set_id", "sketch"])
 
-    return source.mapInArrow(run, "doc_id long, n long, set_id long, set_check long, sketch binary")
+    return source.mapInArrow(run, "doc_id long, text_a long, text_b long, n long, set_id long, sketch binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -202,7 +202,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), words)
-                own = [set_digest(s)[0] for s in sets]
+                own = [set_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["own", "id", "values"])
 
     # rows may share a doc_id: only the text that makes this set counts, once
@@ -287,6 +287,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     one class. Null doc_ids are never the smallest; a component of nulls only has a null id and is kept. Other columns
     are not carried, so their names cannot clash. An empty table gives an empty result.
     """
+    return _components(docs, words, percent, id_col, text_col).drop("text_a", "text_b")
+
+
+def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates with the names of the texts (text_a, text_b)."""
     rows = stage(describe_sets(docs, words, id_col, text_col))
     classes = stage(rows.where("n > 0").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")))
     labels = _links(classes, lambda met: _full_sets(docs, stage(classes.join(met, "id", "left_semi").select("id", "doc")), words, id_col, text_col), percent)
@@ -297,6 +302,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     else:
         owned = owned.withColumnRenamed("doc", "component_id")
     owned = stage(owned.select(F.col("id").alias("set_id"), "component_id"))
-    some = rows.where("n > 0").select("doc_id", "n", "set_id").join(owned, "set_id").select("doc_id", "n", "component_id")
-    none = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    some = rows.where("n > 0").drop("sketch").join(owned, "set_id").select("doc_id", "n", "component_id", "text_a", "text_b")
+    none = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_a", "text_b")
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_a", "text_b")
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that near_duplicates does not keep."""
+    gone = stage(_components(docs, words, percent, id_col, text_col).where("not kept").select(
+        F.col("doc_id").alias("__id"), F.col("text_a").alias("__a"), F.col("text_b").alias("__b")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.lit(11), text_col) == F.col("__a")) & (F.xxhash64(F.lit(29), text_col) == F.col("__b"))
+    return docs.join(gone, same, "left_anti")

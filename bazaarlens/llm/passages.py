@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import WORD, stage
 
 __all__ = ["MIN_RUN_WORDS", "split_units", "unit_digests", "repeated_units", "repeated_spans", "cut_spans", "dedup_passages", "removed_passages"]
 
@@ -129,18 +129,19 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str
 
 
 def cut_spans(marked: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with their spans taken out of the text."""
+    """The rows with their spans taken out of the text; rows of which nothing but white space is left go."""
     def keep(done, span):
         upto = F.substring(F.col(text_col), (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
         return F.struct(F.concat(done["text"], upto).alias("text"), span["end"].alias("at"))
 
     rest = F.aggregate("spans", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), keep,
                        lambda done: F.concat(done["text"], F.substring(F.col(text_col), (done["at"] + 1).cast("int"), F.length(text_col))))
-    return marked.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(rest)).drop("spans")
+    cut = marked.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(rest))
+    return cut.where(F.col("spans").isNull() | F.col(text_col).rlike(WORD)).drop("spans")
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the later occurrences of repeated passages. Texts made up of repeats become empty."""
+    """docs without the later occurrences of repeated passages; documents made up of nothing else go."""
     return cut_spans(repeated_spans(docs, min_words, id_col, text_col), text_col)
 
 

@@ -87,7 +87,7 @@ def _padded(line_doc: np.ndarray, n: int, most: int | None = None) -> tuple[np.n
     return line_doc, column, length if most is None else np.minimum(length, most)
 
 
-def fit_lines(x: np.ndarray, line_doc: np.ndarray, label: np.ndarray, n: int, rounds: int = 200, rate: float = 0.1, penalty: float = 1e-3) -> LineModel:
+def fit_lines(x: np.ndarray, line_doc: np.ndarray, label: np.ndarray, n: int, rounds: int = 200, rate: float = 0.1, penalty: float = 3e-4) -> LineModel:
     """Maximum likelihood of the chains by gradient steps (Adam); marginals by forward and backward sums over all chains at once."""
     row, col, length = _padded(line_doc, n, TRAIN_LINES)
     use = col < TRAIN_LINES
@@ -154,8 +154,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id
     """A model from at most ``rows`` labelled documents, those with the smallest hash of doc_id; None where none is labelled
     or the labels are all alike.
 
-    Lines of documents of quality 0 count as boilerplate, as do lines that repeat an earlier line of their text; all
-    others are content.
+    Lines of documents of quality 0 count as boilerplate, those of quality 1 as content. Marking single repeated lines of
+    good documents as boilerplate was tried and turned whole good documents, since labels stick from line to line.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
@@ -164,7 +164,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id
     got = sorted({(r["doc_id"], r["text"], r["quality"]) for r in got})
     quality = np.array([q for _, _, q in got], int)
     _, line_doc, _, x = analyse([t.encode() for _, t, _ in got])
-    label = np.where(x[:, 8] > 0, 0, quality[line_doc]) if len(x) else np.zeros(0, int)
+    label = quality[line_doc]
     if len(np.unique(label)) < 2:
         return None
     return fit_lines(x, line_doc, label, len(got))

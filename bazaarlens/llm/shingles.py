@@ -112,7 +112,6 @@ def sketches(sets: list[np.ndarray], block: int = 40_000) -> np.ndarray:
     return out
 
 
-def set_digest(values: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, as two signed 64-bit integers."""
-    d = xxhash.xxh3_128_digest(values.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def set_digest(values: np.ndarray) -> int:
+    """A signed 64-bit integer that names a set."""
+    return int.from_bytes(xxhash.xxh3_64_digest(values.tobytes()), "little", signed=True)
