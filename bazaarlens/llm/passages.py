@@ -93,9 +93,9 @@ def _runs(units: list, min_words: int) -> list[tuple[int, int, int, int | None]]
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """r0..r3 and units: the repeated units of each row that has any. A row's units are no more than its text holds."""
+    """r0..r3 and units: the repeated units of each row that has any. Repeated rows count once, so a row has no more units than its text."""
     units = repeated_units(docs, id_col, text_col)
-    return units.groupBy(NAME).agg(F.collect_list(F.struct("unit", "words", "first")).alias("units"))
+    return units.groupBy(NAME).agg(F.collect_set(F.struct("unit", "words", "first")).alias("units"))
 
 
 SPANS = "array<struct<start:long,end:long,words:long,first:long>>"
