@@ -101,8 +101,8 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 SPANS = "array<struct<start:long,end:long,words:long,first:long>>"
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with ``spans``: [start, end, words, first doc_id] of later occurrences, offsets into the original text; null if
+def repeated_spans(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
+    """docs with ``out``: [start, end, words, first doc_id] of later occurrences, offsets into the original text; null if
     none. A column of that name is replaced.
 
     Units are ordered by doc_id (nulls last) and place; of equal units the first stays. Later ones go in runs of at least
@@ -110,7 +110,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str
     are one occurrence and come out alike. An empty table gives an empty result.
     """
     found = _found(docs, id_col, text_col).withColumnsRenamed({n: f"__{n}" for n in [*NAME, "units"]})
-    keyed = docs.drop("spans").withColumns({f"__o{i}": c for i, c in enumerate(_order(id_col, text_col))})
+    keyed = docs.drop(out).withColumns({f"__o{i}": c for i, c in enumerate(_order(id_col, text_col))})
     same = F.lit(True)
     for i in range(len(NAME)):
         same = same & keyed[f"__o{i}"].eqNullSafe(found[f"__r{i}"])
@@ -125,24 +125,24 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str
     both = keyed.join(found, same, "left")
     # only texts with repeated units go to Python
     text = F.when(F.col("__units").isNotNull(), F.col(text_col))
-    return both.withColumn("spans", spans(text, F.col("__units"))).select(*[c for c in docs.columns if c != "spans"], "spans")
+    return both.withColumn(out, spans(text, F.col("__units"))).select(*[c for c in docs.columns if c != out], out)
 
 
-def cut_spans(marked: DataFrame, text_col: str = "text") -> DataFrame:
+def cut_spans(marked: DataFrame, text_col: str = "text", spans: str = "spans") -> DataFrame:
     """The rows with their spans taken out of the text; rows of which nothing but white space is left go."""
     def keep(done, span):
         upto = F.substring(F.col(text_col), (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
         return F.struct(F.concat(done["text"], upto).alias("text"), span["end"].alias("at"))
 
-    rest = F.aggregate("spans", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), keep,
+    rest = F.aggregate(spans, F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), keep,
                        lambda done: F.concat(done["text"], F.substring(F.col(text_col), (done["at"] + 1).cast("int"), F.length(text_col))))
-    cut = marked.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(rest))
-    return cut.where(F.col("spans").isNull() | F.col(text_col).rlike(WORD)).drop("spans")
+    cut = marked.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(rest))
+    return cut.where(F.col(spans).isNull() | F.col(text_col).rlike(WORD)).drop(spans)
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the later occurrences of repeated passages; documents made up of nothing else go."""
-    return cut_spans(repeated_spans(docs, min_words, id_col, text_col), text_col)
+    return cut_spans(repeated_spans(docs, min_words, id_col, text_col, "__spans"), text_col, "__spans")
 
 
 def removed_passages(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
