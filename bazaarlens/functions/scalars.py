@@ -60,11 +60,11 @@ def interval_bucket(value: Column, bounds) -> Column:
 
 
 def clipped_log1p(x: Column) -> Column:
-    return F.log1p(F.greatest(x.cast("double"), F.lit(0.0)))
+    return F.when(x.isNotNull(), F.log1p(F.greatest(x.cast("double"), F.lit(0.0))))  # greatest skips NULL
 
 
 def logit(p: Column, eps: float = 1e-9) -> Column:
-    q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
+    q = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps)))
     return F.log(q / (F.lit(1.0) - q))
 
 
@@ -77,7 +77,7 @@ def great_circle_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> C
     r = math.pi / 180
     h = (F.pow(F.sin((lat2 - lat1) * r / 2), 2)
          + F.cos(lat1 * r) * F.cos(lat2 * r) * F.pow(F.sin((lng2 - lng1) * r / 2), 2))
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.when(h.isNotNull(), F.least(h, F.lit(1.0)))))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

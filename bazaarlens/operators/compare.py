@@ -40,7 +40,7 @@ def with_delay(orders: DataFrame, buckets=DELAY_BUCKETS) -> DataFrame:
 
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     """Two-sided U test of group 0 against group 1: U of group 0, tie and continuity corrected
-    normal p. Works on counts per distinct value, with average ranks."""
+    normal p; z and p are NULL for an empty group or where all values are tied. Works on counts per distinct value, with average ranks."""
     v = (df.where(F.col(value).isNotNull() & F.col(group).isin(0, 1))
          .groupBy(F.col(value).cast("double").alias("v"))
          .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group) == 0).alias("n0")))
@@ -54,8 +54,8 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     z = (F.greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / F.when(sd > 0, sd)
     return (g.select(n0.cast("long").alias("n_0"), n1.cast("long").alias("n_1"), u.alias("u_statistic"),
                      "tie_term", z.alias("z"))
-            .withColumn("p_value", F.least(F.when(F.col("z") < 0, F.lit(1.0)).otherwise(two_sided_p(F.col("z"))),
-                                           F.lit(1.0))))
+            .withColumn("p_value", F.when(F.col("z").isNotNull(), F.least(
+                F.when(F.col("z") < 0, F.lit(1.0)).otherwise(two_sided_p(F.col("z"))), F.lit(1.0)))))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

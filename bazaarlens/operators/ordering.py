@@ -19,18 +19,19 @@ from ..sources.recovery import cut_lineage
 __all__ = ["value_ranges", "place", "ordered_totals", "midranks", "ranked", "ntile",
            "quantiles"]
 
-MAX_RANGES = 1000
+RANGE_ROWS = 1_000_000  # rows that one window task sorts
 
 
 def _range_count(df: DataFrame) -> int:
-    return max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), MAX_RANGES))
+    """As many ranges as the rows need, and at least one for each shuffle partition."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-df.count() // RANGE_ROWS))
 
 
 def value_ranges(df: DataFrame, value: str, ranges: int | None = None) -> list[float]:
     """Range bounds with repeats: a repeated bound marks a heavy value."""
     n = ranges or _range_count(df)
     row = df.agg(F.percentile_approx(F.col(value).cast("double"),
-                                     [i / n for i in range(1, n)], 10000)).first()
+                                     [i / n for i in range(1, n)], max(10_000, 20 * n))).first()
     return sorted(float(x) for x in (row[0] or []))
 
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clipped_log1p, hash60, ratio
-from ..params import (CLUSTER_KS, CLUSTER_RESTARTS, RECENCY_ACTIVE_DAYS, REPEAT_ORDERS, SEED,
-                      SILHOUETTE_SAMPLE)
+from ..functions import clipped_log1p, ratio
+from ..params import CLUSTER_KS, CLUSTER_RESTARTS, RECENCY_ACTIVE_DAYS, REPEAT_ORDERS, SEED
 from ..sources.recovery import cut_lineage
 from .ordering import ntile, quantiles
 
 __all__ = ["user_profile", "rfm_code", "rfm_cells", "rfm_summary", "rfm_segments", "log_standardise",
-           "kmeans_sweep", "assign", "silhouettes", "crosstab", "adjusted_rand", "cluster_profile",
+           "kmeans_sweep", "assign", "silhouette", "silhouettes", "crosstab", "adjusted_rand", "cluster_profile",
            "RFM_COLUMNS"]
 
 RFM_COLUMNS = ("recency_days", "order_cnt", "monetary")
@@ -46,11 +47,15 @@ def rfm_cells(profile: DataFrame, r_days: int = RECENCY_ACTIVE_DAYS, f_orders: i
 
 
 def rfm_summary(cells: DataFrame) -> DataFrame:
-    """One row per occupied cell with its size, means and the thresholds."""
-    return cells.groupBy("rfm_code").agg(
+    """One row per cell, all eight, with its size, means and the thresholds; an empty cell has zero customers and money and
+    no means."""
+    found = cells.groupBy("rfm_code").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("monetary").alias("monetary"),
-        F.avg("order_cnt").alias("avg_order_cnt"), F.avg("recency_days").alias("avg_recency_days"),
-        F.first("thr_recency_days").alias("thr_recency_days"), F.first("thr_monetary").alias("thr_monetary"))
+        F.avg("order_cnt").alias("avg_order_cnt"), F.avg("recency_days").alias("avg_recency_days"))
+    limits = cells.agg(F.max("thr_recency_days").alias("thr_recency_days"), F.max("thr_monetary").alias("thr_monetary"))
+    every = cells.sparkSession.range(8).select(F.lpad(F.conv(F.col("id").cast("string"), 10, 2), 3, "0").alias("rfm_code"))
+    return every.crossJoin(F.broadcast(limits)).join(found, "rfm_code", "left").withColumns({
+        "customers": F.coalesce("customers", F.lit(0)).cast("long"), "monetary": F.coalesce("monetary", F.lit(0)).cast(found.schema["monetary"].dataType)})
 
 
 def rfm_segments(profile: DataFrame) -> DataFrame:
@@ -73,31 +78,53 @@ def log_standardise(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({f"z_{c}": (x[c] - float(s[f"m_{c}"])) / float(s[f"s_{c}"] or 1.0) for c in cols})
 
 
-def _sample(df: DataFrame, key: str, cols: list[str], size: int, seed: int) -> pd.DataFrame:
-    """The ``size`` rows with the smallest key hash: a repeatable sample of bounded size."""
-    return df.select(hash60(seed, F.col(key)).alias("_h"), *cols).orderBy("_h").limit(size).drop("_h").toPandas()
+def _uniform(rows: np.ndarray, *labels: int) -> np.ndarray:
+    """A draw in (0, 1) for each row hash under the labels; any task makes the same one."""
+    h = rows.astype(np.int64).view(np.uint64)
+    for v in labels:
+        h = (h ^ np.uint64(v + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+
 
+def _spread_starts(data: DataFrame, cols: list[str], models: list[tuple[int, int]], seed: int) -> list[np.ndarray]:
+    """Starting centres over all rows, each with probability proportional to its squared distance from those before.
+
+    A row waits an exponential time divided by its squared distance; the row that comes first is drawn with exactly that
+    probability. So one pass gives the next centre of all models, and each task returns one row per model.
+    """
+    centres: list[list] = [[] for _ in models]
+    for step in range(max(k for k, _ in models)):
+        active = {m: np.array(centres[m]) for m, (k, _) in enumerate(models) if step < k}
+
+        def first_rows(frames, active=active, step=step):
+            best: dict = {}
+            for f in frames:
+                rows, x = f["_row"].to_numpy(), f[cols].to_numpy(dtype=float)
+                for m, c in active.items():
+                    d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).min(axis=1) if step else np.ones(len(x))
+                    wait = np.where(d > 0, -np.log(_uniform(rows, seed, m, step)) / np.maximum(d, 1e-300), 1e300)
+                    i = np.lexsort((rows, wait))[0] if len(x) else None
+                    if i is not None and (m not in best or (wait[i], rows[i]) < best[m][:2]):
+                        best[m] = (wait[i], rows[i], *x[i])
+            yield pd.DataFrame([(m, *r) for m, r in best.items()], columns=["m", "wait", "row", *[f"x{j}" for j in range(len(cols))]])
 
-def _spread_start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Starting centres picked with probability proportional to squared distance."""
-    picks = [x[rng.integers(len(x))]]
-    d = ((x - picks[0]) ** 2).sum(axis=1)
-    for _ in range(1, k):
-        p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
-        picks.append(x[rng.choice(len(x), p=p)])
-        d = np.minimum(d, ((x - picks[-1]) ** 2).sum(axis=1))
-    return np.array(picks)
+        schema = "m int, wait double, row long, " + ", ".join(f"x{j} double" for j in range(len(cols)))
+        drawn = data.mapInPandas(first_rows, schema).groupBy("m").agg(F.min(F.struct("wait", "row", *[f"x{j}" for j in range(len(cols))])).alias("b"))
+        for r in drawn.collect():
+            centres[r["m"]].append([r["b"][f"x{j}"] for j in range(len(cols))])
+    return [np.array(c) for c in centres]
 
 
 def kmeans_sweep(df: DataFrame, key: str, cols: list[str], ks=CLUSTER_KS, restarts: int = CLUSTER_RESTARTS,
-                 seed: int = SEED, max_iter: int = 100, tol: float = 1e-4, init_sample: int = 20000) -> dict:
+                 seed: int = SEED, max_iter: int = 100, tol: float = 1e-4) -> dict:
     """Best centres per K. All K x restarts models move together: one pass over the data per
     iteration returns only per-cluster sums, so fifty fits read the data as often as one.
     """
-    data = cut_lineage(df.select(key, *cols))
-    start = _sample(data, key, cols, init_sample, seed).to_numpy(dtype=float)
+    data = cut_lineage(df.select(F.xxhash64(F.lit(seed), key).alias("_row"), *cols))
     models = [(k, r) for k in ks for r in range(restarts)]
-    centres = [_spread_start(start, k, np.random.default_rng([seed, k, r])) for k, r in models]
+    centres = _spread_starts(data, cols, models, seed)
     moving, cost = set(range(len(models))), np.full(len(models), np.inf)
     points = data.select(*cols)
 
@@ -158,39 +185,32 @@ def assign(df: DataFrame, cols: list[str], centres: np.ndarray, out: str = "clus
     return df.withColumn(out, near.getField("i"))
 
 
-def silhouettes(df: DataFrame, key: str, cols: list[str], models: dict, size: int = SILHOUETTE_SAMPLE,
-                seed: int = SEED) -> DataFrame:
-    """Euclidean silhouette per K on a repeatable sample of at most ``size`` rows.
+def silhouette(df: DataFrame, cols: list[str], label: str) -> DataFrame:
+    """Mean silhouette of a labelling over all rows, with squared Euclidean distances.
 
-    The bounded sample travels to every task; the sample rows themselves are split over tasks.
+    The mean squared distance of a row to a cluster follows from the cluster's count, sums and squared norms, so no pairs
+    are made. A row alone in its cluster counts 0, as does every row when there is one cluster; labels must be few.
     """
-    sample = _sample(df, key, cols, size, seed).to_numpy(dtype=float)
-    labels = {k: ((sample[:, None, :] - m["centres"][None]) ** 2).sum(axis=2).argmin(axis=1) for k, m in models.items()}
-    spark = df.sparkSession
-    step = 250
-
-    def score(frames):
-        for f in frames:
-            for at in f["id"]:
-                part = sample[at * step:(at + 1) * step]
-                if not len(part):
-                    continue
-                d = np.sqrt(np.maximum(((part[:, None, :] - sample[None]) ** 2).sum(axis=2), 0))
-                for k, lab in labels.items():
-                    mine = lab[at * step:(at + 1) * step]
-                    size_of = np.bincount(lab, minlength=k)
-                    total = np.stack([d[:, lab == c].sum(axis=1) for c in range(k)], axis=1)
-                    own = total[np.arange(len(part)), mine] / np.maximum(size_of[mine] - 1, 1)
-                    mean = total / np.maximum(size_of, 1)
-                    mean[:, size_of == 0] = np.inf
-                    mean[np.arange(len(part)), mine] = np.inf
-                    other = mean.min(axis=1)
-                    s = np.where(size_of[mine] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0)
-                    yield pd.DataFrame({"k": [k], "s": [float(s.sum())], "n": [len(part)]})
-
-    blocks = -(-len(sample) // step)
-    return (spark.range(0, max(blocks, 1), 1, max(blocks, 1)).mapInPandas(score, "k int, s double, n long")
-            .groupBy("k").agg((F.sum("s") / F.sum("n")).alias("silhouette")))
+    norm = reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in cols])
+    stats = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(norm).alias("q"), *[F.sum(c).alias(f"s{j}") for j, c in enumerate(cols)]).collect()
+    inf = F.lit(float("inf"))
+    own, other = inf, inf
+    for r in stats:
+        total = r["n"] * norm + r["q"]   # of squared distances to the cluster
+        for j, c in enumerate(cols):
+            total = total - 2 * float(r[f"s{j}"]) * F.col(c)
+        mine = F.col(label) == F.lit(r[label])
+        own = F.when(mine, total / (r["n"] - 1) if r["n"] > 1 else F.lit(None)).otherwise(own)
+        other = F.least(other, F.when(mine, inf).otherwise(total / r["n"]))
+    if len(stats) < 2:
+        return df.agg(F.lit(0.0).alias("silhouette"))
+    s = F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0))
+    return df.select(s.alias("s")).agg(F.avg("s").alias("silhouette"))
+
+
+def silhouettes(df: DataFrame, cols: list[str], models: dict) -> dict[int, float]:
+    """The silhouette of each K's clustering."""
+    return {k: silhouette(assign(df, cols, m["centres"], "_c"), cols, "_c").first()[0] for k, m in models.items()}
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -38,11 +38,12 @@ def first_orders(orders: DataFrame, attributes: dict[str, Column]) -> DataFrame:
 
 
 def censor_at(df: DataFrame, cap: int = SURVIVAL_CAP_DAYS) -> DataFrame:
-    """Observed days (at least 1, at most the cap) and the event flag within the cap."""
+    """Observed days (at least 1, at most the cap; NULL where neither gap nor tenure is known) and the event flag."""
     happened = F.col("event") == 1
     ev = happened & (F.col("days_to_repeat") <= cap)
     t = F.least(F.when(happened, F.coalesce("days_to_repeat", F.lit(cap))).otherwise(F.col("tenure_days")), F.lit(cap))
-    return df.withColumns({"obs_days": F.greatest(t, F.lit(1)), "obs_event": F.coalesce(ev, F.lit(False)).cast("int")})
+    known = happened | F.col("tenure_days").isNotNull()  # least and greatest skip NULL
+    return df.withColumns({"obs_days": F.when(known, F.greatest(t, F.lit(1))), "obs_event": F.coalesce(ev, F.lit(False)).cast("int")})
 
 
 def _exits(df: DataFrame, time: str, event: str, keys: list[str]) -> DataFrame:

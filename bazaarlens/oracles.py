@@ -228,8 +228,9 @@ hits AS (
   UNION ALL SELECT 'p2_intercept', * FROM pool WHERE delay_hours > 72
   UNION ALL SELECT 'p3_voucher', * FROM pool WHERE delay_hours > 0),
 coverage AS (
-  SELECT strategy, count(*) AS covered_orders, count(DISTINCT customer_unique_id) AS covered_customers, sum(order_amount) AS covered_gmv,
-         sum(is_bad) AS bad_orders FROM hits GROUP BY strategy),
+  SELECT s.strategy, count(h.order_id) AS covered_orders, count(DISTINCT customer_unique_id) AS covered_customers,
+         coalesce(sum(order_amount), 0) AS covered_gmv, coalesce(sum(is_bad), 0) AS bad_orders
+  FROM (VALUES ('p1_expedite'), ('p2_intercept'), ('p3_voucher')) s(strategy) LEFT JOIN hits h ON h.strategy = s.strategy GROUP BY s.strategy),
 measured AS (
   SELECT avg(CASE WHEN is_late = 1 THEN CAST(order_amount AS DOUBLE) END) AS aov_delayed,
          avg(CASE WHEN is_late = 0 THEN CAST(order_amount AS DOUBLE) END) AS aov_ontime,
@@ -384,6 +385,24 @@ def breaks() -> list[str]:
     return out
 
 
+def segments(name: str, vals: str) -> str:
+    """Trend per segment of every series of ``vals`` (key, stat_month, gmv)."""
+    few = lambda x: f"CASE WHEN k.n >= 4 THEN {x} END"
+    return q(f"""SELECT g.key AS {name}, {i('g.segment_id')} AS segment_id, {d('g.a')} AS from_t, {d('g.b')} AS to_t, {r('g.fv', 2)} AS first_value, {r('g.lv', 2)} AS last_value,
+        {i('g.points')} AS points, {i('k.n')} AS n, {r(few('k.s'))} AS s, {r(few('k.z'), 5)} AS z, {r(few('k.tau'), 5)} AS tau, {r(few('k.p_value'))} AS p_value, {r(few('k.min_p'))} AS min_p,
+        {i(f"CASE WHEN {few('k.min_p')} < 0.05 THEN 1 ELSE 0 END")} AS can_detect,
+        CASE WHEN k.n < 4 THEN 'too few' WHEN k.p_value < 0.05 THEN CASE WHEN k.z > 0 THEN 'increasing' ELSE 'decreasing' END WHEN k.min_p >= 0.05 THEN 'insufficient' ELSE 'no trend' END AS trend,
+        {r('sl', 7)} AS slope_log, {r('(exp(sl) - 1) * 100', 4)} AS growth_pct,
+        {i(f"CASE WHEN g.points >= 4 AND NOT coalesce({few('k.min_p')} < 0.05, false) THEN 1 ELSE 0 END")} AS power_warning
+      FROM seg g LEFT JOIN mk k USING (ks) LEFT JOIN lsl USING (ks)""",
+             f"vals AS ({vals})", "series AS (SELECT key, stat_month, ln(CAST(gmv AS DOUBLE)) AS y FROM vals)", *breaks(),
+             f"pts AS (SELECT v.key, v.stat_month, CAST(v.gmv AS DOUBLE) AS gmv, sum(bp) OVER (PARTITION BY v.key ORDER BY idx) AS segment_id FROM n{MAX_BREAKS} n JOIN vals v ON v.key = n.key AND v.stat_month = n.stat_month)",
+             "ptk AS (SELECT *, key || '#' || segment_id AS ks FROM pts)",
+             "seg AS (SELECT ks, key, segment_id, min(stat_month) AS a, max(stat_month) AS b, arg_min(gmv, stat_month) AS fv, arg_max(gmv, stat_month) AS lv, count(*) AS points FROM ptk GROUP BY ALL)",
+             "lsl AS (SELECT ks, CASE WHEN count(*) >= 3 THEN regr_slope(ln(gmv), x) END AS sl FROM (SELECT *, row_number() OVER (PARTITION BY ks ORDER BY stat_month) AS x FROM ptk WHERE gmv > 0) GROUP BY ks)",
+             "mkin AS (SELECT ks, stat_month AS t, gmv AS y FROM ptk)", *mann_kendall("mkin", "ks"))
+
+
 def naive(hz: int) -> str:
     return q(f"""SELECT {i('nt')} AS n_treat, {i('nc')} AS n_control, {r('mt')} AS treat_value, {r('mc')} AS control_value, {r('mt - mc')} AS diff,
       {r(f'mt - mc - {Z} * se')} AS ci_low, {r(f'mt - mc + {Z} * se')} AS ci_high, {r(p2('(mt - mc) / se'))} AS p_value,
@@ -532,6 +551,8 @@ def build() -> dict[str, str]:
     o["change_points_by_category"] = q(f"SELECT key AS dim_value, {m}, {i('idx')} AS idx, {i('bp')} AS breakpoint_flag, "
                                        f"{i('sum(bp) OVER (PARTITION BY key ORDER BY idx)')} AS segment_id FROM n{MAX_BREAKS}",
                                        "series AS (SELECT dim_value AS key, stat_month, ln(CAST(gmv AS DOUBLE)) AS y FROM cat_month)", *breaks())
+    o["trend_segments_by_category"] = segments("dim_value", "SELECT dim_value AS key, stat_month, gmv FROM cat_month")
+    o["revenue_trend_segments"] = segments("series", "SELECT 'gmv' AS key, stat_month, gmv FROM panel, win WHERE stat_month BETWEEN s AND e")
     o["tail_diagnostic"] = q(
         f"SELECT {m}, {r('gmv', 2)} AS gmv, {r('gmv_all', 2)} AS gmv_all, {r('s', 5)} AS delivered_share, {r('med', 5)} AS median_share, {i('CASE WHEN s < med * 0.98 THEN 1 ELSE 0 END')} AS is_truncated FROM "
         "(SELECT *, median(s) OVER () AS med FROM (SELECT panel.*, CAST(gmv AS DOUBLE) / CAST(gmv_all AS DOUBLE) AS s FROM panel, win WHERE stat_month BETWEEN win.s AND win.e)) ORDER BY stat_month DESC LIMIT 3")
@@ -614,13 +635,21 @@ def build() -> dict[str, str]:
     o["naive_effect_180"], o["naive_effect_365"] = naive(180), naive(365)
     o["covariate_balance"] = q(f"SELECT covariate, {r('CASE WHEN sd = 0 THEN 0 ELSE diff / sd END')} AS smd FROM smd", BALANCE)
     o["user_profile"] = q(f"SELECT customer_unique_id, recency_days, order_cnt, {r('monetary', 4)} AS monetary FROM profile")
-    o["rfm_cells"] = q(f"SELECT rfm_code, count(*) AS customers, {r('sum(monetary)', 4)} AS monetary, {r('avg(order_cnt)')} AS avg_order_cnt, {r('avg(recency_days)')} AS avg_recency_days, {i('180')} AS thr_recency_days, {r('any_value(thr)', 4)} AS thr_monetary FROM cells GROUP BY rfm_code")
+    o["rfm_cells"] = q(f"SELECT code AS rfm_code, count(rfm_code) AS customers, {r('coalesce(sum(monetary), 0)', 4)} AS monetary, {r('avg(order_cnt)')} AS avg_order_cnt, {r('avg(recency_days)')} AS avg_recency_days, {i('180')} AS thr_recency_days, "
+                       f"{r('(SELECT any_value(thr) FROM cells)', 4)} AS thr_monetary FROM (VALUES ('000'), ('001'), ('010'), ('011'), ('100'), ('101'), ('110'), ('111')) v(code) LEFT JOIN cells ON rfm_code = code GROUP BY code")
     o["rfm_segments"] = q(f"SELECT customer_unique_id, recency_days, order_cnt, {r('monetary', 4)} AS monetary, {i('r_score')} AS r_score, {i('f_score')} AS f_score, {i('m_score')} AS m_score, rfm_segment FROM segs")
     c2 = "n * (n - 1) / 2.0"
     o["rfm_agreement"] = q(
         f"SELECT {r('(ix - rr * cc / tt) / ((rr + cc) / 2 - rr * cc / tt)')} AS ari FROM (SELECT (SELECT sum({c2}) FROM (SELECT count(*) AS n FROM segs GROUP BY rfm_code, rfm_segment)) AS ix, (SELECT sum({c2}) FROM (SELECT count(*) AS n FROM segs GROUP BY rfm_code)) AS rr, "
         f"(SELECT sum({c2}) FROM (SELECT count(*) AS n FROM segs GROUP BY rfm_segment)) AS cc, (SELECT {c2} FROM (SELECT count(*) AS n FROM segs)) AS tt)")
     o["rfm_crosstab"] = q("SELECT rfm_code, rfm_segment, count(*) AS n FROM segs GROUP BY ALL")
+    z3 = ", ".join(f"(ln(1 + CAST({c} AS DOUBLE)) - avg(ln(1 + CAST({c} AS DOUBLE))) OVER ()) / stddev_pop(ln(1 + CAST({c} AS DOUBLE))) OVER () AS z{k}" for k, c in enumerate(("recency_days", "order_cnt", "monetary")))
+    o["cell_silhouette"] = q(
+        f"SELECT {r('avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette FROM (SELECT id, any_value(own_n) AS n, max(CASE WHEN own THEN t / (m - 1) END) AS a, min(CASE WHEN NOT own THEN t / m END) AS b FROM dd GROUP BY id)",
+        f"zc AS (SELECT customer_unique_id AS id, rfm_code, {z3} FROM cells)",
+        "st AS (SELECT rfm_code, count(*) AS m, sum(z0) AS s0, sum(z1) AS s1, sum(z2) AS s2, sum(z0 * z0 + z1 * z1 + z2 * z2) AS qq FROM zc GROUP BY 1)",
+        "dd AS (SELECT zc.id, zc.rfm_code = st.rfm_code AS own, st.m, (SELECT m FROM st x WHERE x.rfm_code = zc.rfm_code) AS own_n, "
+        "st.m * (z0 * z0 + z1 * z1 + z2 * z2) + qq - 2 * (z0 * s0 + z1 * s1 + z2 * s2) AS t FROM zc, st)")
     zs = ", ".join(f"{r(f'(ln(1 + greatest(0, CAST({c} AS DOUBLE))) - avg(ln(1 + greatest(0, CAST({c} AS DOUBLE)))) OVER ()) / stddev_pop(ln(1 + greatest(0, CAST({c} AS DOUBLE)))) OVER ()')} AS z_{c}" for c in ("recency_days", "order_cnt", "monetary"))
     o["rfm_standardised"] = q(f"SELECT customer_unique_id, {zs} FROM profile")
     o["price_quartiles_by_category"] = q(f"SELECT category_en, {r('quantile_cont(CAST(price AS DOUBLE), 0.25)', 4)} AS q1, {r('quantile_cont(CAST(price AS DOUBLE), 0.5)', 4)} AS med, {r('quantile_cont(CAST(price AS DOUBLE), 0.75)', 4)} AS q3 FROM items WHERE category_en IS NOT NULL GROUP BY category_en")
@@ -663,14 +692,24 @@ def build() -> dict[str, str]:
         f"FROM (SELECT strategy, covered_orders, total_cost AS cycle, revenue_total - total_cost AS net FROM roi), (SELECT unnest([{', '.join(str(float(x)) for x in BUDGET_LEVELS)}])::DOUBLE AS budget))")
     one = "(SELECT covered_orders FROM coverage WHERE strategy = '{}')"
     p1, p2_, p3 = (one.format(x) for x in ("p1_expedite", "p2_intercept", "p3_voucher"))
+    # cost and revenue order by order, and repeat purchases customer by customer
+    A = ASSUMED
+    again = f"""again AS (
+  SELECT strategy, sum(unit) AS cost, sum(gain) + any_value(repeat) AS revenue FROM (
+    SELECT h.strategy, CASE h.strategy WHEN 'p1_expedite' THEN {A['p1_expedite_cost']} WHEN 'p2_intercept' THEN {A['p2_contact_cost']} + {A['p2_redeem_rate']} * {A['p2_voucher_face']}
+             ELSE {A['p3_redeem_rate']} * {A['p3_voucher_face']} END::DOUBLE AS unit,
+           (baseline_bad_late - baseline_bad_ontime) / 100 * {RESCUE_RATE} * {BAD_VALUE} AS gain,
+           CASE h.strategy WHEN 'p1_expedite' THEN (SELECT count(DISTINCT customer_unique_id) FROM hits x WHERE x.strategy = 'p1_expedite')
+             * {abs(A['repeat_effect_pp'])} / 100 * {RESCUE_RATE} * aov_delayed ELSE 0 END::DOUBLE AS repeat
+    FROM hits h, measured) GROUP BY strategy)"""
     rules = {"coverage_grows": f"SELECT {p1} < {p2_} AND {p2_} < {p3}",
              "late_is_worse": "SELECT baseline_bad_late > baseline_bad_ontime FROM measured",
              "costs_positive": "SELECT bool_and(cost_per_order > 0) FROM costed",
-             "roi_identity": "SELECT bool_and(abs(revenue_total / total_cost - (revenue_review + revenue_repeat) / total_cost) < 1e-9) FROM roi",
-             "net_identity": "SELECT bool_and(abs((revenue_total - total_cost) + total_cost - revenue_total) < 1e-6) FROM roi",
+             "roi_identity": "SELECT bool_and(abs(revenue_total / total_cost - revenue / cost) < 1e-9) FROM roi JOIN again USING (strategy)",
+             "net_identity": "SELECT bool_and(abs(revenue_total - total_cost - (revenue - cost)) < 1e-6 * greatest(1, abs(revenue))) FROM roi JOIN again USING (strategy)",
              "breakeven_returns_zero": "SELECT coalesce(bool_and(abs(db * (total_cost / db) - total_cost) <= 1e-6 * total_cost), true) FROM roi WHERE total_cost / db <= 1"}
     o["strategy_invariants"] = q(" UNION ALL ".join(f"SELECT '{n}' AS rule, {i(f'({s})')} AS holds" for n, s in rules.items()),
-                                 roi_sql([(RESCUE_RATE, BAD_VALUE)]))
+                                 roi_sql([(RESCUE_RATE, BAD_VALUE)]), again)
     # quality and storage
     o["shape_report"] = " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS row_cnt, count(*) - count({c}) AS null_cnt, {i(f'''sum(CASE WHEN NOT regexp_matches(CAST({c} AS VARCHAR), '{p}') THEN 1 ELSE 0 END)''')} AS misfit_cnt FROM orders"
@@ -684,14 +723,19 @@ def build() -> dict[str, str]:
     o["duplicate_keys"] = f"SELECT l_orderkey, {i('l_linenumber')} AS l_linenumber, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) > 1"
     o["domain_violations"] = q(f"SELECT 'score_1_to_5' AS rule, {i('sum(CASE WHEN review_score IS NULL OR review_score BETWEEN 1 AND 5 THEN 0 ELSE 1 END)')} AS violations FROM ow UNION ALL "
                                f"SELECT 'late_is_flag', {i('sum(CASE WHEN is_late IN (0, 1) THEN 0 ELSE 1 END)')} FROM ow UNION ALL SELECT 'amount_positive', {i('sum(CASE WHEN order_amount > 0 THEN 0 ELSE 1 END)')} FROM ow")
-    o["timestamp_audit"] = "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS raw_text FROM orders WHERE o_orderkey % 1000 = 7"
+    o["timestamp_audit"] = ("SELECT o_orderkey, raw_text FROM (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 1000 = 7 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS raw_text FROM orders) "
+                            "WHERE try_strptime(raw_text, '%Y-%m-%d %H:%M:%S') IS DISTINCT FROM o_orderdate")
     o["zero_dates"] = " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, {i(f'coalesce(sum(CASE WHEN {c} < {chr(39)}1000-01-01{chr(39)}::TIMESTAMP THEN 1 ELSE 0 END), 0)')} AS zero_dates FROM {t}"
         for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")))
     o["cross_section_tie_out"] = q(f"SELECT {r('c', 4)} AS by_category, {r('s', 4)} AS by_state, {r('a', 4)} AS overall, {r('c - a', 4)} AS category_gap, {r('s - a', 4)} AS state_gap FROM (SELECT (SELECT sum(gmv) FROM cat_month) AS c, (SELECT sum(gmv) FROM state_month_rev) AS s, "
                                    "(SELECT sum(order_amount) FROM inside WHERE is_delivered = 1) AS a)")
     o["factor_gap"] = q(f"SELECT {r('max(greatest(abs(p.buyers - s.buyers), abs(p.delivered_cnt - s.delivered_cnt), abs(CAST(p.gmv AS DOUBLE) - CAST(s.gmv AS DOUBLE))))')} AS max_gap, count(*) AS months FROM panel p JOIN states s USING (stat_month)")
-    o["grain_gap"] = q(f"SELECT {i('0')} AS item_gap, {r('0.0')} AS amount_gap, {i('0')} AS order_gap FROM (SELECT 1)")
+    gap = "max(abs(coalesce({}, 0) - coalesce({}, 0)))"
+    o["grain_gap"] = q(f"SELECT {i(gap.format('t.n', 'c.n'))} AS item_gap, {r(gap.format('CAST(t.a AS DOUBLE)', 'CAST(c.a AS DOUBLE)'))} AS amount_gap, {i(gap.format('t.k', 'p.delivered_cnt'))} AS order_gap "
+                       "FROM (SELECT stat_month, sum(item_cnt * is_delivered) AS n, sum(item_amount * is_delivered) AS a, sum(is_delivered) AS k FROM ow GROUP BY 1) t "
+                       "FULL JOIN (SELECT ow.stat_month, count(*) AS n, sum(price) AS a FROM items JOIN ow USING (order_id) WHERE is_delivered = 1 AND category_en IS NOT NULL GROUP BY 1) c ON c.stat_month = t.stat_month "
+                       "FULL JOIN panel p ON p.stat_month = coalesce(t.stat_month, c.stat_month)")
     o["orders_without_items"] = f"SELECT o_orderkey AS order_id, {d('o_orderdate')} AS purchase_ts FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"
     o["keyed_update"] = q(f"SELECT {d('f.stat_month')} AS stat_month, f.order_cnt, {r('CASE WHEN p.stat_month IS NULL THEN -1.0 ELSE p.delivered_cnt::DOUBLE / p.order_cnt END')} AS mk_tau, CASE WHEN p.stat_month IS NULL THEN 'stale' ELSE 'fresh' END AS note "
                           "FROM fulfil f LEFT JOIN (SELECT panel.* FROM panel, win WHERE stat_month BETWEEN s AND e AND gmv > gmv_all * 0.66) p ON p.stat_month = f.stat_month")

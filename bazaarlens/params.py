@@ -62,7 +62,6 @@ MIN_CUSTOMERS_DIM = 200
 MIN_CURVE_GROUP = 50
 CLUSTER_KS = (2, 3, 4, 5, 6)
 CLUSTER_RESTARTS = 10
-SILHOUETTE_SAMPLE = 20000
 CALIPER = 0.05
 NEIGHBOURS = 64
 MIN_ARM = 200

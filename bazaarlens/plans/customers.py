@@ -50,12 +50,12 @@ def cluster_evaluation(profile: DataFrame, ks=CLUSTER_KS, restarts: int = CLUSTE
     z = cut_lineage(S.log_standardise(base, S.RFM_COLUMNS))
     three, two = [f"z_{c}" for c in S.RFM_COLUMNS], ["z_recency_days", "z_monetary"]
     models = S.kmeans_sweep(z, key, three, ks, restarts, seed)
-    sil = {r["k"]: r["silhouette"] for r in S.silhouettes(z, key, three, models).collect()}
+    sil = S.silhouettes(z, three, models)
     best = min(k for k in sil if sil[k] == max(sil.values()))
     small = S.kmeans_sweep(z, key, two, (best,), restarts, seed)
     lab = S.assign(S.assign(z, three, models[best]["centres"]), two, small[best]["centres"], "cluster_rm")
     lab = cut_lineage(lab.drop(*three))
-    sil_rm = S.silhouettes(z, key, two, small).first()["silhouette"]
+    sil_rm = S.silhouettes(z, two, small)[best]
     spark = profile.sparkSession
     fixed = spark.createDataFrame(
         [("kmeans", "silhouette", f"k={k}", float(v)) for k, v in sorted(sil.items())]
@@ -64,9 +64,11 @@ def cluster_evaluation(profile: DataFrame, ks=CLUSTER_KS, restarts: int = CLUSTE
     def ari(other, name):
         return S.adjusted_rand(lab, other, "cluster").select(
             F.lit("kmeans").alias("method"), F.lit("ari").alias("metric"), F.lit(name).alias("label"), F.col("ari").alias("value"))
+    values = {"cluster_size": "customers", **{c: c for c in ("avg_recency", "avg_monetary", "med_monetary", "avg_order_cnt", "repeat_rate", "share_pct")}}
     prof = S.cluster_profile(lab).select(
-        F.lit("cluster_profile").alias("method"), F.lit("cluster_size").alias("metric"),
-        F.concat(F.lit("cluster="), F.col("cluster").cast("string")).alias("label"), F.col("customers").cast("double").alias("value"))
+        F.concat(F.lit("cluster="), F.col("cluster").cast("string")).alias("label"),
+        F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in values.items()]))).select(
+        F.lit("cluster_profile").alias("method"), "metric", "label", "value")
     cross = S.crosstab(lab, "rfm_code", "cluster").select(
         F.lit("cross_tab").alias("method"), F.concat(F.lit("cluster"), F.col("cluster").cast("string")).alias("metric"),
         F.concat(F.lit("rfm="), F.col("rfm_code")).alias("label"), F.col("n").cast("double").alias("value"))

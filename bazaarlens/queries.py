@@ -254,12 +254,21 @@ def change_points_by_category(t):
         "dim_value", "stat_month", "idx", "breakpoint_flag", "segment_id")
 
 
-@register()
+SEGMENT = dict(z=5, tau=5, slope_log=7, growth_pct=4, first_value=2, last_value=2)
+
+
+@register(**SEGMENT)
 def revenue_trend_segments(t):
     s = P.within(t.panel, t.window, ts=None).withColumns({"lg": F.log(F.col("gmv").cast("double")), "series": F.lit("gmv")})
     return E.segment_report(E.change_points(s, ["series"], "stat_month", "lg"), ["series"], "stat_month", "gmv")
 
 
+@register(**SEGMENT)
+def trend_segments_by_category(t):
+    m = P.dim_month(t.category_daily).withColumn("lg", F.log(F.col("gmv").cast("double")))
+    return E.segment_report(E.change_points(m, ["dim_value"], "stat_month", "lg"), ["dim_value"], "stat_month", "gmv")
+
+
 @register(delivered_share=5, median_share=5, gmv=2, gmv_all=2)
 def tail_diagnostic(t): return Q.tail_diagnostic(P.within(t.panel, t.window, ts=None))
 
@@ -390,7 +399,7 @@ def covariate_balance(t):
 
 
 @register()
-def matched_effects(t): return PM.experience_effects(t.first, balance_limit=None)
+def matched_effects(t): return PM.experience_effects(t.first)
 
 
 @register(monetary=4)
@@ -420,6 +429,13 @@ def rfm_standardised(t):
     return S.log_standardise(t.profile, S.RFM_COLUMNS).select("customer_unique_id", *[f"z_{c}" for c in S.RFM_COLUMNS])
 
 
+@register()
+def cell_silhouette(t):
+    """Silhouette of the rule cells on the standardised profile."""
+    z = S.log_standardise(S.rfm_cells(t.profile), S.RFM_COLUMNS)
+    return S.silhouette(z, [f"z_{c}" for c in S.RFM_COLUMNS], "rfm_code")
+
+
 @register()
 def cluster_evaluation(t): return customers.cluster_evaluation(t.profile)
 
@@ -459,17 +475,16 @@ def f1_threshold_outcome(t):
 def gain_table(t): return R.gain_table(t.model_scores)
 
 
-RISK_ROUNDS = 20
+@register()
+def risk_evaluation(t): return risk_report.RiskModels(t.features, TEST_MONTH).evaluation()
 
 
 @register()
-def risk_evaluation(t):
-    return risk_report.risk_report(t.features, TEST_MONTH, rounds=RISK_ROUNDS)["evaluation"]
+def risk_gain(t): return risk_report.RiskModels(t.features, TEST_MONTH).gain()
 
 
 @register()
-def risk_importance(t):
-    return risk_report.risk_report(t.features, TEST_MONTH, rounds=RISK_ROUNDS)["importance"]
+def risk_importance(t): return risk_report.RiskModels(t.features, TEST_MONTH).importance()
 
 
 # ---------------------------------------------------------------- strategies
