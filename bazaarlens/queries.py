@@ -70,7 +70,8 @@ class Tables:
     def make_orders(self): return self.c.orders_wide(state=False)
     def make_state_orders(self): return self.c.orders_wide()
     def make_items(self): return self.c.order_items()
-    def make_detail(self): return self.c.orders_detail(self.state_orders)
+    def make_lines(self): return Canonical(self.spark, self.c.base, one_pass=True)
+    def make_detail(self): return self.lines.orders_detail()
     def make_min_orders(self):
         return P.suggest_min_orders(self.month_orders)
     def make_month_orders(self):
@@ -100,8 +101,10 @@ class Tables:
     def make_profile(self): return cut_lineage(S.user_profile(self.orders))
     def make_pool(self): return cut_lineage(M.intervention_pool(self.orders))
     def make_params(self): return M.measured_params(self.pool, ASSUMED)
-    def make_features(self): return M.order_features(self.c.orders_detail(self.orders, goods=True), self.c.order_sellers(), self.items)
-    def make_base(self): return M.bottleneck_base(self.inside_detail, self.items)
+    def make_features(self):
+        c = self.lines
+        return M.order_features(c.orders_detail(c.orders_wide(state=False), goods=True), c.order_sellers(), c.order_items())
+    def make_base(self): return M.bottleneck_base(self.inside_detail, self.lines.order_items())
     def make_model_scores(self):
         """A fixed score with many ties on every reviewed delivery."""
         v = C.with_delay(C.valid_deliveries(self.orders)).where(F.col("review_score").isNotNull())

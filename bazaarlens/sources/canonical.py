@@ -7,11 +7,14 @@ fixed arithmetic on ids, so they are synthetic by construction.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import great_circle_km, hours_between
 from .readers import read_table
+from .recovery import cut_lineage
 
 __all__ = ["Canonical"]
 
@@ -19,44 +22,67 @@ ESTIMATE_DAYS = 24
 
 
 class Canonical:
-    """Lazy canonical tables over one folder of star-schema parquet tables."""
+    """Lazy canonical tables over one folder of star-schema parquet tables.
+
+    With ``one_pass`` all that is made of items comes from one stored table of (order, seller, product) sums, so the item
+    table is read once; ``order_items`` then has one row per such group, with its summed price and freight.
+    """
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base
+    def __init__(self, spark: SparkSession, base: str, one_pass: bool = False):
+        self.spark, self.base, self.one_pass = spark, base, one_pass
 
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, name, self.base)
 
-    def order_items(self, attributes: bool = False) -> DataFrame:
-        """Item rows with category and money; product attributes only when asked for."""
+    @cached_property
+    def lines(self) -> DataFrame:
+        """(order, seller, product) with counts, exact money and the product's category and attributes, stored."""
+        cents, parts = self._cents()
+        sums = (self.raw("lineitem").groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("seller_id"), F.col("l_partkey").alias("product_id"))
+                .agg(F.count(F.lit(1)).alias("item_cnt"), F.sum(cents).alias("_a"), F.sum(parts).alias("_f"), F.max("l_shipdate").alias("ship_ts")))
+        part = self.raw("part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("category_en"), *self._attributes())
+        return cut_lineage(sums.join(part, "product_id", "left"))
+
+    @staticmethod
+    def _cents():
+        """Price in cents, and price x tax in 1/10000, as integers."""
+        cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+        return cents, cents * F.round(F.col("l_tax") * 100).cast("long")
+
+    @staticmethod
+    def _money(total, scale: int):
+        unit = F.lit(1).cast("decimal(5,4)") / 10 ** scale
+        return (total.cast("decimal(18,0)") * unit.cast(f"decimal(5,{scale})")).cast(f"decimal(18,{scale})")
+
+    @staticmethod
+    def _attributes() -> list:
+        size = F.col("p_size").cast("long")
+        return [(F.lit(1) + size % 5).alias("photos_qty"), (F.length("p_name") * 20).alias("description_length"),
+                (size * 100).alias("weight_g"), (size * size * 50).alias("volume_cm3")]
+
+    def order_items(self) -> DataFrame:
+        """Item rows with category and money."""
+        if self.one_pass:
+            return self.lines.withColumns({"price": self._money(F.col("_a"), 2), "freight_value": self._money(F.col("_f"), 4)})
         price = F.col("l_extendedprice").cast("decimal(18,2)")
         lines = self.raw("lineitem").select(
             F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("seller_id"),
             F.col("l_partkey").alias("product_id"), price.alias("price"),
             (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(18,4)").alias("freight_value"),
             F.col("l_shipdate").alias("ship_ts"))
-        size = F.col("p_size").cast("long")
-        extra = [(F.lit(1) + size % 5).alias("photos_qty"),
-                 (F.length("p_name") * 20).alias("description_length"),
-                 (size * 100).alias("weight_g"), (size * size * 50).alias("volume_cm3")]
-        part = self.raw("part").select(F.col("p_partkey").alias("product_id"),
-                                       F.col("p_brand").alias("category_en"),
-                                       *(extra if attributes else []))
+        part = self.raw("part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("category_en"))
         return lines.join(part, "product_id", "left")
 
     def _item_totals(self) -> DataFrame:
         """Exact money per order, added up as integers (cents, and 1/10000 for price x tax), which
         stay in primitive arithmetic over the largest table; decimals appear once per order."""
-        cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-        parts = cents * F.round(F.col("l_tax") * 100).cast("long")
-        def money(total, scale):
-            unit = F.lit(1).cast("decimal(5,4)") / 10 ** scale
-            return (total.cast("decimal(18,0)") * unit.cast(f"decimal(5,{scale})")).cast(f"decimal(18,{scale})")
-        return (self.raw("lineitem").groupBy(F.col("l_orderkey").alias("order_id"))
-                .agg(F.count(F.lit(1)).alias("item_cnt"), F.sum(cents).alias("_a"), F.sum(parts).alias("_f"),
-                     F.max("l_shipdate").alias("_ship"))
-                .select("order_id", "item_cnt", money(F.col("_a"), 2).alias("item_amount"),
-                        money(F.col("_f"), 4).alias("freight_amount"), "_ship"))
+        cents, parts = self._cents()
+        if self.one_pass:
+            sums = self.lines.groupBy("order_id").agg(F.sum("item_cnt").alias("item_cnt"), F.sum("_a").alias("_a"), F.sum("_f").alias("_f"), F.max("ship_ts").alias("_ship"))
+        else:
+            sums = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
+                F.count(F.lit(1)).alias("item_cnt"), F.sum(cents).alias("_a"), F.sum(parts).alias("_f"), F.max("l_shipdate").alias("_ship"))
+        return sums.select("order_id", "item_cnt", self._money(F.col("_a"), 2).alias("item_amount"), self._money(F.col("_f"), 4).alias("freight_amount"), "_ship")
 
     def orders_wide(self, state: bool = True) -> DataFrame:
         """One row per order. Without ``state`` the customer tables are not joined at all."""
@@ -111,12 +137,13 @@ class Canonical:
 
     def order_sellers(self) -> DataFrame:
         """Distinct (order, seller); the shuffle carries two ids per row only."""
+        if self.one_pass:
+            return self.lines.select("order_id", "seller_id").distinct()
         return (self.raw("lineitem").select(F.col("l_orderkey").alias("order_id"),
                                             F.col("l_suppkey").alias("seller_id")).distinct())
 
     def orders_detail(self, orders: DataFrame | None = None, goods: bool = False) -> DataFrame:
-        """``orders_wide`` plus distance, seller count and payments, and on demand product counts
-        and attributes (one more pass over the items).
+        """``orders_wide`` plus distance, seller count and payments, and on demand product counts and attributes.
 
         Distance is the mean great-circle distance over the distinct sellers of an order.
         """
@@ -143,12 +170,9 @@ class Canonical:
                }))
         if not goods:
             return out
-        parts = (self.order_items(attributes=True).groupBy("order_id", "product_id")
-                 .agg(F.count(F.lit(1)).alias("_c"), F.first("photos_qty").alias("photos_qty"),
-                      F.first("description_length").alias("description_length"),
-                      F.sum("weight_g").alias("weight_g"), F.sum("volume_cm3").alias("volume_cm3"))
-                 .groupBy("order_id").agg(
-                     F.count(F.lit(1)).alias("product_cnt"), F.max("photos_qty").alias("photos_qty"),
+        # an order's groups of one product, several when several sellers supply it
+        parts = (self.lines.groupBy("order_id").agg(
+                     F.countDistinct("product_id").alias("product_cnt"), F.max("photos_qty").alias("photos_qty"),
                      F.max("description_length").alias("description_length"),
-                     F.sum("weight_g").alias("weight_g"), F.sum("volume_cm3").alias("volume_cm3")))
+                     F.sum(F.col("weight_g") * F.col("item_cnt")).alias("weight_g"), F.sum(F.col("volume_cm3") * F.col("item_cnt")).alias("volume_cm3")))
         return out.join(parts, "order_id", "left").withColumn("product_cnt", F.coalesce("product_cnt", F.lit(0)))

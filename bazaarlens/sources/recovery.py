@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["ensure_checkpoint_dir", "cut_lineage"]
+__all__ = ["ensure_checkpoint_dir", "cut_lineage", "remove_stored"]
+
+_stored: list[tuple[SparkSession, str]] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -23,6 +27,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: iterative operators restart from files, not from the past rounds."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store as Parquet in the shared folder and read back: later steps restart from files, not from what made them, and
+    read the columns they need. Call remove_stored when the results are written; what is left goes when Python ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_stored() -> None:
+    """Remove what cut_lineage has stored. Frames that read from it cannot be used any more."""
+    while _stored:
+        spark, path = _stored.pop()
+        if spark.sparkContext._jsc is None:  # the session has ended
+            continue
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(remove_stored)
