@@ -7,11 +7,14 @@ d with probability s^d per tree, so ``trees`` trees miss a pair with (1 - s^d)^t
 1. A few trees are sorted whole and neighbours with the longest common prefix are candidates: groups of copies link up
    along the order, a few pairs per class whatever their size.
 2. Regions that still hold two components or more are searched: each class takes its best partner by sketch in another
-   component; then all remaining pairs across components whose sketches may reach the threshold.
-3. Regions too large to search in one task are searched deeper, with as many more trees as the depth costs; what is still
-   too large at the last depth is searched in blocks of pairs. Nothing is dropped.
-
-Links are confirmed on full sets.
+   component.
+3. What is left are components whose sketches may still reach the threshold somewhere. They form clusters, and the full
+   sets of a cluster's different components are compared in blocks, so that nothing near the threshold is lost and no
+   table of pairs is made.
+4. Regions too large to search in one task are searched deeper, with as many more trees as the depth costs; what is still
+   too large at the last depth is searched in blocks. Nothing is dropped.
+
+Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .components import connected_components
+from .components import connected_components, looked_up
 from .shingles import SKETCH, set_digest, shingle_sets, sketches
 
-__all__ = ["near_duplicates", "keep_one", "describe_sets", "forest", "tree_neighbours", "search_regions", "confirm"]
+__all__ = ["near_duplicates", "keep_one", "describe_sets", "forest", "tree_neighbours", "search_regions", "cluster_blocks", "compare_clusters", "confirm"]
 
 LEVELS = [(4, 32), (8, 96), (12, 256)]   # depth and trees; at 0.8 a pair is missed with 5e-8, 2e-8, 1e-8
 ORDER_TREES = 4                          # trees that are sorted whole
 REGION_ROWS = 20_000                     # classes of a region searched in one task: 10 MB of sketches
+BLOCK_ROWS = 512                         # classes of a block whose full sets are compared with another block's
 SIGMAS = 5.0                             # sketch agreement this far below the threshold rules a pair out
 
 
@@ -118,62 +122,167 @@ def tree_neighbours(classes: DataFrame, depth: int, trees: int) -> DataFrame:
     return rows.repartitionByRange("place", "id").sortWithinPartitions("place", "id").mapInArrow(paired, "a long, b long").distinct()
 
 
-def search_regions(rows: DataFrame, least: int, best_only: bool) -> DataFrame:
+class _Union:
+    """Labels of items under unions that come in arrays."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            p, q = self.root[a], self.root[b]
+            apart = p != q
+            if not apart.any():
+                return
+            np.minimum.at(self.root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def _tasks(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str], matrix: bool) -> Iterator[list]:
+    """Columns of whole tasks, from batches sorted by the keys; a batch's last task is held for the next."""
+    held = None
+    for batch in batches:
+        got = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys + columns] + ([_matrix(batch.column("sketch"))] if matrix else [])
+        held = got if held is None else [np.concatenate(v) for v in zip(held, got)]
+        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in held[:len(keys)]], axis=0)) + 1
+        if len(cut):
+            yield [v[:cut[-1]] for v in held]
+            held = [v[cut[-1]:] for v in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def search_regions(rows: DataFrame, least: int, best: bool) -> DataFrame:
     """(a, b) across components (comp) of a task (region, x, y) whose sketches agree in ``least`` values or more; rows of
-    block x meet those of block y. best_only: for each row only its best partner."""
+    block x meet those of block y. With ``best`` the classes: of each its best partner. Without: the components that such
+    pairs connect, as links to the smallest of each group, so at most one row per component and task."""
 
-    def pairs(region, block, x, y, comp, ids, m):
+    def search(region, x, y, block, comp, ids, m):
         """Lag by lag over rows sorted by region, so no pair matrix is held."""
         n = len(ids)
+        number = np.concatenate(([0], np.cumsum((region[1:] != region[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        top, partner = np.full(n, least - 1, np.int64), np.full(n, -1, np.int64)
+        name, at_name = np.unique(comp, return_inverse=True)
+        groups = _Union(len(name))
         at = np.arange(n)
-        best, partner = np.full(n, least - 1, np.int64), np.full(n, -1, np.int64)
-        found = []
         for lag in range(1, n):
             at = at[at + lag < n]
-            at = at[region[at] == region[at + lag]]
+            at = at[number[at] == number[at + lag]]
             if not len(at):
                 break
             to = at + lag
             across = (comp[at] != comp[to]) & ((x[at] == y[at]) | (block[at] != block[to]))
+            if not best:
+                across &= groups.root[at_name[at]] != groups.root[at_name[to]]
             i, j = at[across], to[across]
             for s in range(0, len(i), 4096):
                 p, q = i[s:s + 4096], j[s:s + 4096]
                 same = (m[p] == m[q]).sum(axis=1)
                 ok = same >= least
                 p, q, same = p[ok], q[ok], same[ok]
-                if best_only:
-                    for u, v in ((p, q), (q, p)):
-                        better = same > best[u]
-                        best[u[better]], partner[u[better]] = same[better], v[better]
-                else:
-                    found.append((p, q))
-        if best_only:
+                if not best:
+                    groups.join(at_name[p], at_name[q])
+                    continue
+                for u, v in ((p, q), (q, p)):
+                    better = same > top[u]
+                    top[u[better]], partner[u[better]] = same[better], v[better]
+        if best:
             p = np.flatnonzero(partner >= 0)
-            found = [(p, partner[p])]
-        p = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-        q = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], ids[q])), pa.array(np.maximum(ids[p], ids[q]))], names=["a", "b"])
+            return ids[p], ids[partner[p]]
+        p = np.flatnonzero(groups.root != np.arange(len(name)))
+        return name[p], name[groups.root[p]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            got = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "block", "x", "y", "comp", "id")] + [_matrix(batch.column("sketch"))]
-            held = got if held is None else [np.concatenate(v) for v in zip(held, got)]
-            task = np.stack((held[0], held[2], held[3]))
-            change = np.flatnonzero((task[:, 1:] != task[:, :-1]).any(axis=0)) + 1
-            if len(change):  # the last task may go on in the next batch
-                done, held = [v[:change[-1]] for v in held], [v[change[-1]:] for v in held]
-                number = np.concatenate(([0], change[:-1]))
-                done[0] = np.repeat(np.arange(len(number)), np.diff(np.append(number, change[-1])))
-                yield pairs(*done)
-        if held is not None and len(held[0]):
-            held[0] = np.zeros(len(held[0]), np.int64)
-            yield pairs(*held)
+        for task in _tasks(batches, ["region", "x", "y"], ["block", "comp", "id"], True):
+            p, q = search(*task)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     tasks = rows.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "id")
     return tasks.select("region", "block", "x", "y", "comp", "id", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, as products of 0-1 matrices over common values."""
+    flat = [np.concatenate(v) for v in (left, right)]
+    owner = [np.repeat(np.arange(len(v)), [len(x) for x in v]) for v in (left, right)]
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(common):
+        return out
+    side = []
+    for values, own in zip(flat, owner):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = common[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        side.append((at[hit][order], own[hit][order]))
+    for c in range(0, len(common), width):
+        ones = []
+        for (at, own), v in zip(side, (left, right)):
+            lo, hi = np.searchsorted(at, (c, c + width))
+            ones.append(np.zeros((len(v), width), np.float32))
+            ones[-1][own[lo:hi], at[lo:hi] - c] = 1
+        out += ones[0] @ ones[1].T
+    return out
+
+
+def compare_clusters(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different components (comp) of a task (cluster, x, y), confirmed on full sets (values); rows of
+    block x meet those of block y. Of the links that join the same components one is given."""
+
+    def links(sets, block, x, y, comp, ids):
+        left, right = np.flatnonzero(block == x[0]), np.flatnonzero(block == y[0])
+        if not len(left) or not len(right) or (comp == comp[0]).all():
+            return [], []
+        size = np.array([len(v) for v in sets])
+        common = _shared([sets[i] for i in left], [sets[i] for i in right])
+        near = 100 * common >= percent * (size[left][:, None] + size[right][None] - common)
+        near &= comp[left][:, None] != comp[right][None]
+        p, q = np.nonzero(near)
+        p, q = left[p], right[q]
+        name, at = np.unique(comp, return_inverse=True)
+        one = np.unique(np.minimum(at[p], at[q]) * len(name) + np.maximum(at[p], at[q]), return_index=True)[1] if len(p) else []
+        root, kept = list(range(len(name))), []
+
+        def find(i):
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+        for k in one:
+            u, v = find(at[p[k]]), find(at[q[k]])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                kept.append(k)
+        return ids[p[kept]], ids[q[kept]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cluster, x, y, block, comp, ids, values in _tasks(batches, ["cluster", "x", "y"], ["block", "comp", "id", "values"], False):
+            edges = np.flatnonzero((cluster[1:] != cluster[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(ids)]):
+                sets = [np.frombuffer(v, np.uint64) for v in values[a:b]]
+                p, q = links(sets, block[a:b], x[a:b], y[a:b], comp[a:b], ids[a:b])
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    tasks = rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id")
+    return tasks.select("cluster", "x", "y", "block", "comp", "id", "values").mapInArrow(run, "a long, b long").distinct()
+
+
+def cluster_blocks(members: DataFrame) -> DataFrame:
+    """members (cluster, comp, id) dealt to tasks (x, y) of two blocks. Blocks of the cluster's largest component come last
+    and only meet the blocks of the others, so one huge component next to a few small ones is dealt out once."""
+    sizes = members.groupBy("cluster", "comp").count()
+    shape = stage(sizes.groupBy("cluster").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all")).select(
+        "cluster", F.col("top.comp").alias("largest"), F.ceil(F.col("top.count") / BLOCK_ROWS).cast("int").alias("big"),
+        F.ceil((F.col("all") - F.col("top.count")) / BLOCK_ROWS).cast("int").alias("small")))
+    rows = members.join(shape, "cluster")
+    large = F.col("comp") == F.col("largest")
+    block = F.when(large, F.col("small") + F.pmod(F.xxhash64("id"), F.col("big"))).otherwise(F.pmod(F.xxhash64("id"), F.col("small"))).cast("int")
+    others = F.when(large, F.col("small")).otherwise(F.col("small") + F.col("big"))
+    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return dealt.select("cluster", "comp", "id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * |intersection| >= percent * |union| of their full sets (id, values)."""
 
@@ -223,56 +332,57 @@ def _mixed(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFr
     return marked, regions
 
 
-def _links(classes: DataFrame, sets_of, percent: int) -> DataFrame:
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (id, comp) after links (a, b) between ids: the components are contracted and relabelled."""
+    if labels is None:
+        return connected_components(links)
+    roots = connected_components(looked_up(looked_up(links, "a", labels, "comp"), "b", labels, "comp"))
+    known = looked_up(labels, "comp", roots, "comp")
+    return stage(known.unionByName(roots.join(labels.select("id"), "id", "left_anti")))
+
+
+def _search_tasks(rows: DataFrame, labels: DataFrame | None, sketched: DataFrame, everything: bool) -> DataFrame:
+    """Rows (region, id) of regions with two components or more, dealt to tasks of at most REGION_ROWS rows a block, with
+    their sketches. Larger regions are left out unless ``everything`` is wanted."""
+    marked, regions = _mixed(rows, labels)
+    here = marked.join(regions if everything else regions.where(F.col("size") <= REGION_ROWS), "region")
+    here = here.withColumn("blocks", F.ceil(F.col("size") / REGION_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    here = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    here = here.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    return here.join(sketched, "id")
+
+
+def _links(classes: DataFrame, sets_of, percent: int) -> DataFrame | None:
     """(id, comp) of the classes that have links."""
-    least = _least_agreement(percent / 100)
-    links, labels, sets = None, None, None
-
-    def settle(pairs: DataFrame) -> None:
-        nonlocal links, labels
-        if pairs.isEmpty():
-            return
-        new = stage(confirm(pairs, sets, percent))
-        links = new if links is None else links.unionByName(new)
-        labels = connected_components(links)
-
-    pending = classes
+    least, labels, sets, pending = _least_agreement(percent / 100), None, None, classes
+    sketched = classes.select("id", "sketch")
     for level, (depth, trees) in enumerate(LEVELS):
         rows = forest(pending, level, depth, trees)
         _, regions = _mixed(rows, labels)
-        rows = stage(rows.join(regions, "region").select("region", "id", "size"))
+        rows = stage(rows.join(regions, "region").select("region", "id"))
         if rows.isEmpty():
             break
         met = stage(rows.select("id").distinct())
         if level == 0:
             sets = sets_of(met)
-            near = classes.join(met, "id", "left_semi")
-            settle(stage(tree_neighbours(near, depth, ORDER_TREES)))
+            pairs = stage(tree_neighbours(classes.join(met, "id", "left_semi"), depth, ORDER_TREES))
+            if not pairs.isEmpty():
+                labels = connected_components(stage(confirm(pairs, sets, percent)))
         last = level == len(LEVELS) - 1
-        tried = None
-        for best_only in (True, False):
-            marked, regions = _mixed(rows.select("region", "id"), labels)
-            here = marked.join(regions, "region")
-            if not last:
-                here = here.where(F.col("size") <= REGION_ROWS)
-            blocks = F.ceil(F.col("size") / REGION_ROWS).cast("int")
-            here = here.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            here = here.withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-            here = here.join(classes.select("id", "sketch"), "id")
-            pairs = search_regions(here, least, best_only)
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            tried = stage(pairs)
-            settle(tried)
+        pairs = stage(search_regions(_search_tasks(rows, labels, sketched, last), least, True))
+        if not pairs.isEmpty():
+            labels = _joined(labels, stage(confirm(pairs, sets, percent)))
+        groups = stage(search_regions(_search_tasks(rows, labels, sketched, last), least, False))
+        if not groups.isEmpty():
+            cluster = connected_components(groups).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
+            members = stage(_labelled(sets.select("id"), labels).join(cluster, "comp").select("cluster", "comp", "id"))
+            labels = _joined(labels, stage(compare_clusters(cluster_blocks(members).join(sets, "id"), percent)))
         if last:
             break
-        _, regions = _mixed(rows.select("region", "id"), labels)
-        large = regions.where(F.col("size") > REGION_ROWS)
+        large = _mixed(rows, labels)[1].where(F.col("size") > REGION_ROWS)
         if large.isEmpty():
             break
-        deeper = stage(rows.join(large.select("region"), "region", "left_semi").select("id").distinct())
-        pending = classes.join(deeper, "id", "left_semi")
+        pending = classes.join(stage(rows.join(large.select("region"), "region", "left_semi").select("id").distinct()), "id", "left_semi")
     return labels
 
 
