@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 __all__ = ["salted_lookup", "prior_totals", "prior_rates"]
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], row_id: str, share: float = 0.01,
-                  salts: int = 32) -> DataFrame:
+MAX_HOT_KEYS = 10_000   # keys that may be hot, so that their list can be broadcast
+
+
+def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], row_id: str, part_rows: int = 100_000) -> DataFrame:
     """Left join of ``rows`` to a table that is unique in ``keys``, with hot keys spread out.
 
-    Keys holding more than ``share`` of the rows (so fewer than 1/share of them) are found first;
-    their rows get a salt from a hash of the row id and their table row is copied once per salt.
+    A key with more rows than ``part_rows`` (or than 1/10,000 of the rows, so that there are at most 10,000 such keys) is
+    split into as many parts of that size as it has: its rows get a salt from a hash of the row id, and its table row is
+    copied once per part.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    hot = F.broadcast(counts.where(F.col("_n") > total * share).select(*keys, F.lit(True).alias("_hot")))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    left = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = table.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    limit = max(part_rows, -(-rows.count() // MAX_HOT_KEYS))
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_parts")), F.lit(0)).cast("int")
+    left = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_parts")
+    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = table.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
     return left.join(right, keys + ["_salt"], "left").drop("_salt")
 
 

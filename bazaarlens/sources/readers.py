@@ -8,39 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["read_table", "query", "table_exists", "read_csv", "RAW_SCHEMAS"]
-
-_S, _I, _D = T.StringType(), T.IntegerType(), T.DoubleType()
-
-
-def _schema(text: str) -> T.StructType:
-    return T.StructType([T.StructField(*f) for f in
-                         [(n, {"s": _S, "i": _I, "d": _D}[t]) for n, t in
-                          (x.split(":") for x in text.split())]])
-
+__all__ = ["read_table", "query", "table_exists", "read_csv", "read_raw", "RAW_SCHEMAS", "MULTI_LINE"]
 
 # Raw layer, one file each. Timestamps stay text here and are parsed with a check later.
 RAW_SCHEMAS = {
-    "orders": _schema("order_id:s customer_id:s order_status:s order_purchase_timestamp:s "
-                      "order_approved_at:s order_delivered_carrier_date:s "
-                      "order_delivered_customer_date:s order_estimated_delivery_date:s"),
-    "order_items": _schema("order_id:s order_item_id:i product_id:s seller_id:s "
-                           "shipping_limit_date:s price:d freight_value:d"),
-    "order_payments": _schema("order_id:s payment_sequential:i payment_type:s "
-                              "payment_installments:i payment_value:d"),
-    "order_reviews": _schema("review_id:s order_id:s review_score:i review_comment_title:s "
-                             "review_comment_message:s review_creation_date:s "
-                             "review_answer_timestamp:s"),
-    "customers": _schema("customer_id:s customer_unique_id:s customer_zip_code_prefix:s "
-                         "customer_city:s customer_state:s"),
-    "sellers": _schema("seller_id:s seller_zip_code_prefix:s seller_city:s seller_state:s"),
-    "products": _schema("product_id:s product_category_name:s product_name_lenght:i "
-                        "product_description_lenght:i product_photos_qty:i product_weight_g:i "
-                        "product_length_cm:i product_height_cm:i product_width_cm:i"),
-    "geolocation": _schema("geolocation_zip_code_prefix:s geolocation_lat:d geolocation_lng:d "
-                           "geolocation_city:s geolocation_state:s"),
-    "category_translation": _schema("product_category_name:s product_category_name_english:s"),
+    "orders": (
+        "order_id STRING, customer_id STRING, order_status STRING, order_purchase_timestamp STRING, "
+        "order_approved_at STRING, order_delivered_carrier_date STRING, order_delivered_customer_date STRING, "
+        "order_estimated_delivery_date STRING"),
+    "order_items": (
+        "order_id STRING, order_item_id INT, product_id STRING, seller_id STRING, shipping_limit_date STRING, "
+        "price DOUBLE, freight_value DOUBLE"),
+    "order_payments": (
+        "order_id STRING, payment_sequential INT, payment_type STRING, payment_installments INT, "
+        "payment_value DOUBLE"),
+    "order_reviews": (
+        "review_id STRING, order_id STRING, review_score INT, review_comment_title STRING, "
+        "review_comment_message STRING, review_creation_date STRING, review_answer_timestamp STRING"),
+    "customers": (
+        "customer_id STRING, customer_unique_id STRING, customer_zip_code_prefix STRING, customer_city STRING, "
+        "customer_state STRING"),
+    "sellers": (
+        "seller_id STRING, seller_zip_code_prefix STRING, seller_city STRING, seller_state STRING"),
+    "products": (
+        "product_id STRING, product_category_name STRING, product_name_lenght INT, "
+        "product_description_lenght INT, product_photos_qty INT, product_weight_g INT, product_length_cm INT, "
+        "product_height_cm INT, product_width_cm INT"),
+    "geolocation": (
+        "geolocation_zip_code_prefix STRING, geolocation_lat DOUBLE, geolocation_lng DOUBLE, "
+        "geolocation_city STRING, geolocation_state STRING"),
+    "category_translation": (
+        "product_category_name STRING, product_category_name_english STRING"),
 }
+# The one file with line breaks inside its fields.
+MULTI_LINE = {"order_reviews"}
 
 
 def read_table(spark: SparkSession, name: str, base: str | None = None) -> DataFrame:
@@ -69,8 +70,8 @@ def table_exists(spark: SparkSession, name: str, base: str | None = None) -> boo
             or _path_exists(spark, os.path.join(base, f"{name}.parquet")))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, strict_header: bool = True) -> DataFrame:
-    """Quoted CSV whose records may span lines.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, strict_header: bool = True, multi_line: bool = False) -> DataFrame:
+    """Quoted CSV. ``multi_line`` for records that span lines: such a file is read by one task, all others are split.
 
     With ``strict_header`` a header that does not match the schema is an error instead
     of a silent column shift. Rows that do not fit the schema keep their text in ``_bad``
@@ -79,10 +80,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, strict_header
     with_bad = T.StructType(list(schema.fields) + [T.StructField("_bad", T.StringType())])
     raw = (spark.read.schema(with_bad)
            .option("header", True).option("quote", '"').option("escape", '"')
-           .option("multiLine", True).option("enforceSchema", not strict_header)
+           .option("multiLine", multi_line).option("enforceSchema", not strict_header)
            .option("encoding", "UTF-8").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_bad")
            .csv(path))
     cols = [F.rtrim(F.col(f.name), F.lit("\r")).alias(f.name)
             if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in schema.fields]
     return raw.select(*cols, "_bad", F.col("_metadata.file_path").alias("_file"))
+
+
+def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The nine raw files ``<name>.csv`` of a folder, with their bad rows marked."""
+    return {n: read_csv(spark, os.path.join(folder, f"{n}.csv"), T.StructType.fromDDL(s), multi_line=n in MULTI_LINE) for n, s in RAW_SCHEMAS.items()}

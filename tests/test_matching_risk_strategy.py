@@ -136,3 +136,12 @@ def test_budget_equals_the_greedy_loop(spark):
                 assert got[(level, name)] == min(left, cost)
                 left -= min(left, cost)
         assert got.get((level, "unallocated"), 0) == (left if left > 1 else 0)
+
+
+def test_a_key_with_half_the_rows_is_split(spark):
+    rows = spark.range(4000).select(F.col("id").alias("order_id"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"))
+    table = rows.select("k", (F.col("k") * 10).alias("v")).distinct()
+    got = H.salted_lookup(rows, table, ["k"], "order_id", part_rows=100)
+    assert got.count() == 4000 and got.where("v = k * 10").count() == 4000
+    size = got.withColumn("task", F.spark_partition_id()).where("k = 0").groupBy("task").count().agg(F.count("*"), F.max("count")).first()
+    assert size[0] > 1 and size[1] < 1900

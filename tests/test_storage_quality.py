@@ -14,7 +14,7 @@ def test_csv_quotes_newlines_and_last_line(spark, tmp_path):
     f = tmp_path / "reviews.csv"
     f.write_bytes('id,score,text\r\n1,5,"two\nlines, ""quoted"""\r\n2,x,bad\r\n3,4,São Paulo'.encode())
     schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("score", T.IntegerType()), T.StructField("text", T.StringType())])
-    rows = R.read_csv(spark, str(f), schema).orderBy("id").collect()
+    rows = R.read_csv(spark, str(f), schema, multi_line=True).orderBy("id").collect()
     assert len(rows) == 3 and rows[0].text == 'two\nlines, "quoted"' and rows[2].text == "São Paulo"
     assert rows[1].score is None and rows[1]._bad is not None and rows[1]._file.endswith("reviews.csv")
     shifted = T.StructType([schema[1], schema[0], schema[2]])
