@@ -11,7 +11,7 @@ from ..params import (BAD_VALUE, BAD_VALUES, BUDGET_LEVELS, REPEAT_ELIGIBLE, RES
                       STRATEGIES, STRATEGY_PARAM_KEYS)
 from .quality import missing_keys
 
-__all__ = ["hit_strategies", "strategy_coverage", "strategy_params", "cost_per_order", "roi", "sensitivity",
+__all__ = ["hit_strategies", "strategy_coverage", "strategy_by_segment", "strategy_params", "cost_per_order", "roi", "sensitivity",
            "budget_plan", "invariants"]
 
 
@@ -32,6 +32,14 @@ def strategy_coverage(pool: DataFrame) -> DataFrame:
         F.coalesce(F.col(f.name), F.lit(0)).cast(f.dataType).alias(f.name) for f in hit.schema.fields if f.name != "strategy"])
 
 
+def strategy_by_segment(pool: DataFrame, segments: DataFrame, segment: str = "rfm_segment") -> DataFrame:
+    """Coverage and bad share per strategy and customer segment; customers without a segment are 'none'."""
+    joined = hit_strategies(pool).join(segments.select("customer_unique_id", segment), "customer_unique_id", "left")
+    return joined.groupBy("strategy", F.coalesce(segment, F.lit("none")).alias(segment)).agg(
+        F.count(F.lit(1)).alias("covered_orders"), F.countDistinct("customer_unique_id").alias("covered_customers"),
+        F.sum("order_amount").alias("covered_gmv"), F.avg("is_bad").alias("bad_rate"))
+
+
 def strategy_params(params: DataFrame) -> DataFrame:
     """One wide row of the required parameters; a missing one stops the run."""
     absent = [r[0] for r in missing_keys(params, "param_key", STRATEGY_PARAM_KEYS).collect()]

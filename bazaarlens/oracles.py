@@ -513,6 +513,8 @@ def build() -> dict[str, str]:
         "WHERE least(x.g, y.g, x.b, y.b, x.dl, y.dl) > 0)",
         "lm2 AS (SELECT stat_month, CASE WHEN v1 = v0 THEN 0 ELSE (v1 - v0) / ln(v1 / v0) END AS l, ln(b1 / b0) AS lb, ln(f1 / f0) AS lf, ln(a1 / a0) AS la FROM lm)",
         "lm3 AS (SELECT stat_month, 'buyers' AS factor, l * lb AS c FROM lm2 UNION ALL SELECT stat_month, 'orders_per_buyer', l * lf FROM lm2 UNION ALL SELECT stat_month, 'aov', l * la FROM lm2)")
+    o["revenue_factor_significance"] = q(f"SELECT factor, {r('t', 2)} AS total_amount, {i('k')} AS flagged_months, {r('t / sum(t) OVER () * 100', 2)} AS share_pct FROM "
+                                         f"(SELECT f.factor, sum(f.contribution_amount) AS t, sum(v.is_significant) AS k FROM factors f JOIN ({o['revenue_factor_intervals']}) v ON v.factor = f.factor AND v.stat_month = {d('f.stat_month')} GROUP BY f.factor)")
     o["revenue_factor_totals"] = q(f"SELECT factor, {r('s', 2)} AS total_amount, {r('s / sum(s) OVER () * 100', 2)} AS share_pct FROM (SELECT factor, sum(contribution_amount) AS s FROM factors GROUP BY ALL)")
     o["revenue_main_driver"] = q(f"SELECT {m}, factor, {r('contribution_amount', 3)} AS contribution_amount FROM (SELECT *, row_number() OVER (PARTITION BY stat_month ORDER BY abs(contribution_amount) DESC, factor DESC) AS k FROM factors) WHERE k = 1")
     o["revenue_waterfall"] = q(
@@ -521,6 +523,7 @@ def build() -> dict[str, str]:
         "(SELECT *, CASE factor WHEN 'buyers' THEN 1 WHEN 'orders_per_buyer' THEN 2 ELSE 3 END AS seq FROM factors))")
     o["structure_by_category"], o["structure_by_state"] = structure("cat_month"), structure("state_month_rev")
     o["structure_intervals_category"], o["structure_intervals_state"] = structure_ci("cat_daily", "category"), structure_ci("state_daily", "state")
+    o["structure_significance_category"] = f"SELECT dim_value, count(*) AS months, {i('sum(is_significant)')} AS flagged_months FROM ({o['structure_intervals_category']}) GROUP BY dim_value"
     o["structure_latest_ends"] = q(
         f"SELECT dim_value, {r('pp', 5)} AS contrib_pp, 'bottom' AS side, lo AS position FROM ranked WHERE lo <= 6 UNION ALL "
         f"SELECT dim_value, {r('pp', 5)}, 'top', hi FROM ranked WHERE hi <= 6", structure_cte("cat_month"),
@@ -671,6 +674,8 @@ def build() -> dict[str, str]:
         f"ranked AS (SELECT is_bad, row_number() OVER (ORDER BY score DESC, {h('CAST(order_id AS VARCHAR)')}, order_id) AS rk FROM mscore)")
     # strategies
     cov = f"covered_orders, covered_customers, {r('covered_gmv', 4)} AS covered_gmv, {i('bad_orders')} AS bad_orders"
+    o["strategy_by_segment"] = q(f"SELECT strategy, coalesce(rfm_segment, 'none') AS rfm_segment, count(*) AS covered_orders, count(DISTINCT h.customer_unique_id) AS covered_customers, {r('sum(order_amount)', 4)} AS covered_gmv, "
+                                 f"{r('avg(is_bad)')} AS bad_rate FROM hits h LEFT JOIN segs s ON s.customer_unique_id = h.customer_unique_id GROUP BY ALL")
     o["strategy_coverage"] = q(f"SELECT strategy, {cov} FROM coverage")
     o["strategy_month"] = q(f"SELECT strategy, {m}, count(*) AS covered_orders, count(DISTINCT customer_unique_id) AS covered_customers, {r('sum(order_amount)', 4)} AS covered_gmv, {i('sum(is_bad)')} AS bad_orders FROM hits GROUP BY strategy, hits.stat_month")
     o["strategy_params"] = q(f"SELECT param_key, {r('param_value', 4)} AS param_value, {i('is_measured')} AS is_measured FROM (SELECT param_key, param_value, 1 AS is_measured FROM measured UNPIVOT (param_value FOR param_key IN (aov_delayed, aov_ontime, baseline_bad_late, baseline_bad_ontime)) "

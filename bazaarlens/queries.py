@@ -180,6 +180,14 @@ def revenue_factor_intervals(t): return B.bootstrap_lmdi(t.daily, t.pairs).drop(
 def revenue_factor_totals(t): return D.cumulative_share(D.revenue_factors(t.states), "factor", "contribution_amount")
 
 
+@register(total_amount=2, share_pct=2)
+def revenue_factor_significance(t):
+    """Totals per factor with the months whose interval excludes zero."""
+    amounts = D.revenue_factors(t.states).select("stat_month", "factor", "contribution_amount")
+    flags = B.bootstrap_lmdi(t.daily, t.pairs).select("stat_month", "factor", "is_significant")
+    return D.cumulative_share(amounts.join(flags, ["stat_month", "factor"]), "factor", "contribution_amount", "is_significant")
+
+
 @register(contribution_amount=3)
 def revenue_main_driver(t): return D.main_driver(D.revenue_factors(t.states))
 
@@ -210,6 +218,13 @@ def structure_intervals_category(t): return B.bootstrap_contrib(t.category_daily
 def structure_intervals_state(t): return B.bootstrap_contrib(t.state_daily, t.pairs, label="state")
 
 
+@register()
+def structure_significance_category(t):
+    """Months per category whose contribution interval excludes zero."""
+    rows = B.bootstrap_contrib(t.category_daily, t.pairs, label="category")
+    return rows.groupBy("dim_value").agg(F.count(F.lit(1)).alias("months"), F.sum("is_significant").alias("flagged_months"))
+
+
 @register(contrib_pp=5)
 def structure_latest_ends(t):
     rows = D.latest(D.structure_contribution(P.dim_month(t.category_daily), t.pairs).withColumn("dim_type", F.lit("category")))
@@ -499,6 +514,10 @@ MONEY = dict(covered_gmv=4, total_cost=3, revenue_review=3, revenue_repeat=2, re
 def strategy_coverage(t): return X.strategy_coverage(t.pool)
 
 
+@register(covered_gmv=4, bad_rate=6)
+def strategy_by_segment(t): return X.strategy_by_segment(t.pool, S.rfm_segments(t.profile))
+
+
 @register(covered_gmv=4)
 def strategy_month(t): return M.strategy_month(X.hit_strategies(t.pool))
 
