@@ -51,7 +51,9 @@ def _names(attrs: str) -> tuple[str, bool]:
             value = (a or b or c).lower()
             if name.lower() == "class":
                 kind = ".".join(sorted(DIGITS.sub("#", value).split()))
-            aside |= not ASIDE_NAMES.isdisjoint(re.split(r"[^a-z]+", value))
+            # "with-sidebar" and the like tell of a neighbour, not of the element itself
+            own = " ".join(v for v in value.split() if not v.startswith(("with-", "has-", "no-")))
+            aside |= not ASIDE_NAMES.isdisjoint(re.split(r"[^a-z]+", own))
     return kind, aside
 
 
@@ -118,8 +120,8 @@ def parse_page(page: str) -> tuple[list[_Element], list[tuple[str, int, _Element
                     break
             continue
         kind, aside = _names(m["attrs"])
-        # only a page's article may carry such a name on its outermost containers
-        aside = tag in ASIDE or (aside and tag not in ("html", "body", "main", "article"))
+        # the outermost containers hold the article whatever they are called
+        aside = tag in ASIDE or (aside and tag not in ("html", "body", "main"))
         top = stack[-1]
         stack.append(_Element(tag, f"{top.path}>{tag}" + f".{kind}" * bool(kind), top, aside or top.aside, len(blocks)))
         elements.append(stack[-1])

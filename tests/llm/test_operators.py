@@ -254,6 +254,12 @@ def test_pages(spark):
     assert extract_pages(pages.limit(0)).collect() == []
 
 
+def test_names_of_containers():
+    page = """<body class="has-sidebar"><div class="content with-sidebar"><p>The story is told here in some words.</p></div>
+    <article class="comment"><p>A reader has more to say about this than the story itself, and says it at length.</p></article></body>"""
+    assert page_text(page, None) == "The story is told here in some words."
+
+
 def test_consensus_overrules_a_page(spark):
     """A page whose side column is longer than its story follows the host's path."""
     def page(story, side):
