@@ -27,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_enough, stage
 from .components import connected_components, looked_up
 from .shingles import SKETCH, set_digest, shingle_sets, sketches
 
 __all__ = ["near_duplicates", "keep_one", "describe_sets", "forest", "tree_neighbours", "search_regions", "cluster_blocks", "compare_clusters", "confirm"]
 
 LEVELS = [(4, 32), (8, 96), (12, 256)]   # depth and trees; at 0.8 a pair is missed with 5e-8, 2e-8, 1e-8
-ORDER_TREES = 4                          # trees that are sorted whole
-REGION_ROWS = 20_000                     # classes of a region searched in one task: 10 MB of sketches
+ORDER_TREES = 2                          # trees that are sorted whole; what they miss is left to the search of regions
+REGION_ROWS = 20_000                     # classes of a region searched in one task: 5 MB of sketches
+WANTED_ROWS = 400_000                    # of two longs, broadcast to find the texts whose full sets are needed
 BLOCK_ROWS = 512                         # classes of a block whose full sets are compared with another block's
 SIGMAS = 5.0                             # sketch agreement this far below the threshold rules a pair out
 
@@ -72,7 +73,7 @@ def describe_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SKETCH)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SKETCH)
 
 
 def _hashed(m: np.ndarray, tree: int, places: np.ndarray) -> np.ndarray:
@@ -103,12 +104,12 @@ def tree_neighbours(classes: DataFrame, depth: int, trees: int) -> DataFrame:
         for batch in batches:
             m = _matrix(batch.column("sketch"))
             for t in range(trees):
-                key = np.empty(len(m), [("tree", "u1"), ("v", ">u4", 2 * depth)])
+                key = np.empty(len(m), [("tree", "u1"), ("v", ">u2", 2 * depth)])
                 key["tree"], key["v"] = t, m[:, _values(t, 0, depth)]
                 yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in key], pa.binary()), batch.column("id")], names=["place", "id"])
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, last_key, last_id = 1 + 4 * depth, b"", None
+        prefix, last_key, last_id = 1 + 2 * depth, b"", None
         for batch in batches:
             a, b = [], []
             for key, i in zip(batch.column("place").to_pylist(), batch.column("id").to_pylist()):
@@ -304,6 +305,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(id, values): the whole shingle sets of the wanted classes (id, doc), made again from one text of each."""
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    if small_enough(wanted, WANTED_ROWS):
+        wanted = F.broadcast(wanted)   # else the texts are shuffled to it
     texts = source.join(wanted, source["doc"].eqNullSafe(wanted["doc"])).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

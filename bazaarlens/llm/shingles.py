@@ -96,8 +96,9 @@ def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
 
 
 def sketches(sets: list[np.ndarray], block: int = 40_000) -> np.ndarray:
-    """A row of SKETCH 32-bit min-hash values for each set; sets must not be empty."""
-    out = np.empty((len(sets), SKETCH), np.uint32)
+    """A row of SKETCH min-hash values for each set, of which 16 bits are kept: unlike values agree by chance once in 65,536
+    times, which can only add candidates. Sets must not be empty."""
+    out = np.empty((len(sets), SKETCH), np.uint16)
     a = 0
     while a < len(sets):
         b, size = a + 1, len(sets[a])
@@ -107,7 +108,8 @@ def sketches(sets: list[np.ndarray], block: int = 40_000) -> np.ndarray:
         x = np.concatenate(sets[a:b])
         starts = np.concatenate(([0], np.cumsum([len(v) for v in sets[a:b]])[:-1]))
         for j in range(SKETCH):
-            out[a:b, j] = np.minimum.reduceat(x * _SEED[j] + _SHIFT[j], starts) >> np.uint64(32)
+            least = np.minimum.reduceat(x * _SEED[j] + _SHIFT[j], starts)   # leading bits of a minimum are mostly zero
+            out[a:b, j] = mixed(least) & np.uint64(0xFFFF)
         a = b
     return out
 
