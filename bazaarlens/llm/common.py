@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import ship_package
 from ..sources.recovery import ensure_checkpoint_dir
 
-__all__ = ["read", "stage", "row_key", "SPACE", "WORD", "small_enough"]
+__all__ = ["read", "stage", "row_key", "SPACE", "WORD", "small_enough", "parts", "text_batches"]
 
 SPACE = r"[\x20\x09-\x0D]"      # the white space of the contracts
 WORD = r"[^\x20\x09-\x0D]+"     # and what lies between
@@ -35,6 +38,28 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.lit(11), text_col).alias("a"), F.xxhash64(F.lit(29), text_col).alias("b"))
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with the session sending at most ``rows`` texts to Python at a time: ten thousand long ones, the default, take
+    much of an executor's memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
+def parts(batch: pa.RecordBatch, text: str, most_bytes: int = 1_000_000, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of bounded text, so that memory hangs on the longest text and not on the batch."""
+    start = total = 0
+    for i, size in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+        if i > start and (total + (size or 0) > most_bytes or i - start >= most_rows):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size or 0
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a stored table has at most ``rows`` rows; only then may it be broadcast."""
     return df.limit(rows + 1).count() <= rows

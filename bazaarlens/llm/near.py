@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, stage
+from .common import parts, small_enough, stage, text_batches
 from .components import connected_components, looked_up
 from .shingles import SKETCH, set_digest, shingle_sets, sketches
 
@@ -59,8 +59,7 @@ def describe_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for part in parts(batch, "text"):
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), words)
                 some = [s for s in sets if len(s)]
                 sketch = iter(sketches(some) if some else [])
@@ -69,7 +68,7 @@ def describe_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
                      pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([next(sketch).tobytes() if len(s) else None for s in sets], pa.binary())],
                     names=["doc_id", "text_a", "text_b", "n", "set_id", "sketch"])
 
-    return source.mapInArrow(run, "doc_id long, text_a long, text_b long, n long, set_id long, sketch binary")
+    return text_batches(source).mapInArrow(run, "doc_id long, text_a long, text_b long, n long, set_id long, sketch binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -311,8 +310,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for part in parts(batch, "text"):
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), words)
                 own = [set_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["own", "id", "values"])

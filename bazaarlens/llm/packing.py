@@ -14,12 +14,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import parts, stage, text_batches
 
 __all__ = ["CAPACITY", "END_ID", "encode_pieces", "packing_plan", "pack_pieces", "pack_documents"]
 
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS = 1_000_000   # words a Python worker remembers; then it starts anew
+CACHE_WORDS = 250_000     # words a Python worker remembers; then it starts anew
 STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= )")
 
 
@@ -72,8 +72,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in parts(batch, "text"):
                 out: list[list] = [[], [], [], [], []]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), _tokenizer(path).encode(part.column("text").to_pylist())):
                     ids += end
@@ -85,7 +84,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
                     names=["doc_id", "piece", "start", "length", "ids"])
 
-    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return text_batches(source).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

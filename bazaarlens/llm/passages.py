@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, parts, stage, text_batches
 
 __all__ = ["MIN_RUN_WORDS", "split_units", "unit_digests", "repeated_units", "repeated_spans", "cut_spans", "dedup_passages", "removed_passages"]
 
@@ -51,8 +51,7 @@ def unit_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in parts(batch, "text"):
                 row, unit, words, d0, d1 = [], [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     for k, (_, _, n, digest) in enumerate(split_units(text or "")):
@@ -67,7 +66,7 @@ def unit_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=[*NAME, "unit", "words", "d0", "d1"])
 
     named = docs.select(*[c.alias(n) for c, n in zip(_order(id_col, text_col), NAME)], F.col(text_col).alias("text"))
-    return named.mapInArrow(run, "r0 boolean, r1 long, r2 long, r3 long, unit int, words int, d0 long, d1 long")
+    return text_batches(named).mapInArrow(run, "r0 boolean, r1 long, r2 long, r3 long, unit int, words int, d0 long, d1 long")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

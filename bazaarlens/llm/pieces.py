@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import parts, text_batches
+
 __all__ = ["PieceModel", "encode_column", "decode_column", "token_digests"]
 
 MARK = "▁"                 # stands for a space inside pieces
@@ -240,13 +242,12 @@ def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, convert)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in parts(batch, source):
                 made = pa.array(convert(part.column(source).to_pylist()), arrow)
                 kept = [(n, c) for n, c in zip(part.schema.names, part.columns) if n != target]
                 yield pa.RecordBatch.from_arrays([c for _, c in kept] + [made], names=[n for n, _ in kept] + [target])
 
-    return df.mapInArrow(run, schema)
+    return text_batches(df).mapInArrow(run, schema)
 
 
 def encode_column(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_path: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import parts, text_batches
 from .shingles import mixed, word_hashes
 
 __all__ = ["LineModel", "analyse", "fit_lines", "viterbi", "fit_on_labels", "measure", "judge", "quality_report", "keep_good"]
@@ -174,15 +175,13 @@ def measure(docs: DataFrame, model: LineModel | None, keep: list[str], text_col:
     """The ``keep`` columns of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content_words.
     Columns of these names are replaced."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_words"]
-    keep = [c for c in keep if c not in made]
-    fields = [f for f in docs.schema.fields if f.name in keep]
+    fields = [f for f in docs.schema.fields if f.name in keep and f.name not in made]
     schema = T.StructType(fields + [T.StructField(c, T.LongType()) for c in made])
-    text = "__text"
+    text = text_col if text_col in keep and text_col not in made else "__text"   # a kept text is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for part in parts(batch, text):
                 n = part.num_rows
                 counts, line_doc, line_words, x = analyse(part.column(text).cast(pa.binary()).to_pylist())
                 content = np.ones(len(x), int) if model is None else viterbi(model, x, line_doc, n)
@@ -190,7 +189,7 @@ def measure(docs: DataFrame, model: LineModel | None, keep: list[str], text_col:
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(counts[c], pa.int64()) for c in made], names=names + made)
 
     names = [f.name for f in fields]
-    return docs.select(*names, F.col(text_col).alias(text)).mapInArrow(run, schema)
+    return text_batches(docs).select(*names, *([] if text in names else [F.col(text_col).alias(text)])).mapInArrow(run, schema)
 
 
 def judge(measured: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:
@@ -217,5 +216,6 @@ def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
     model = fit_on_labels(docs, labels, id_col=id_col, text_col=text_col)
-    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    return judge(measure(inner, model, ["row"])).where("kept").select("row.*")
+    inner = docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(docs.columns)})   # no name can clash
+    text = inner.columns[docs.columns.index(text_col)]
+    return judge(measure(inner, model, inner.columns, text)).where("kept").select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
