@@ -2,40 +2,101 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, parts, stage, text_batches
+from .shingles import _R, _RI, _power, mixed
 
 __all__ = ["MIN_RUN_WORDS", "split_units", "unit_digests", "repeated_units", "repeated_spans", "cut_spans", "dedup_passages", "removed_passages"]
 
-UNIT_WORDS = 5        # a unit has at least so many words
+UNIT_WORDS = 5        # the digest of a shorter unit also covers the words before it, up to so many in all
+NEAR_WORDS = 4        # a unit also ends where the hash of the last two words is the least among so many places on either side
 MIN_RUN_WORDS = 20    # repeated units in a row are removed from so many words on
-# A unit may end at the end of a line, sentence or clause, and before a word with a capital letter.
-BOUNDARY = re.compile(r"\n|(?<=[.,;:!?|])\s|\s(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
+
+# Scripts without spaces, whose letters count as half a word each and between which a unit may end.
+UNSPACED = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3001, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF01, 0xFFEF)]
+BLANK, LETTER, SOLO, MARK = range(4)
+_PLANE = [chr(c) for c in range(0x10000)]
+_LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in _PLANE], np.uint32)
+_KIND = np.array([BLANK if c.isspace() else LETTER for c in _PLANE], np.uint8)
+for _a, _b in UNSPACED:
+    for _c in range(_a, _b + 1):
+        if _KIND[_c] == LETTER:
+            _KIND[_c] = MARK if unicodedata.category(_PLANE[_c])[0] == "M" else SOLO
+_BREAK, _STOP, _FULL, _CLOSER = (np.isin(np.arange(0x10000), [ord(c) for c in x]) for x in ("\n\r\x0b\x0c\x85\u2028\u2029", ".!?…", "。！？｡", "\"')]}»”’"))
+
+
+def _units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Text number, start, end, words and digest of the units of all texts, in order; see split_units."""
+    ends = np.cumsum([len(t or "") + 1 for t in texts])
+    raw = np.frombuffer(("\n".join(t or "" for t in texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.minimum(raw, 0xFFFF)
+    kind = _KIND[low]
+    kind[(raw >= 0x20000) & (raw < 0x40000)] = SOLO
+    before = np.concatenate(([BLANK], kind[:-1]))
+    first = np.flatnonzero((kind == SOLO) | ((kind == LETTER) & (before != LETTER)) | ((kind == MARK) & (before == BLANK)))
+    n = len(first)
+    if not n:
+        return *(np.zeros(0, np.int64) for _ in range(4)), []
+    blank = np.flatnonzero(kind == BLANK)
+    last = np.minimum(np.append(first[1:], len(raw)), blank[np.searchsorted(blank, first)])
+    doc = np.searchsorted(ends, first, side="right")
+    # hashes of the lower-cased words
+    letters = mixed(np.where(raw < 0x10000, _LOWER[low], raw).astype(np.uint64) + np.uint64(1))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * _power(_R, len(raw)))))
+    word = mixed((total[last] - total[first]) * _power(_RI, len(raw))[first] + (last - first).astype(np.uint64))
+    # unit ends: lines, sentences, texts, and places whose hash is the least around
+    breaks = np.concatenate(([0], np.cumsum(_BREAK[low] & (raw < 0x10000))))
+    following = np.append(first[1:], len(raw))
+    tail, inner = low[last - 1], low[np.maximum(last - 2, first)]
+    stop = (_STOP[tail] | (_CLOSER[tail] & _STOP[inner])) & (kind[last] == BLANK)
+    fixed = (breaks[following] > breaks[last]) | stop | _FULL[tail] | np.append(doc[1:] != doc[:-1], True)
+    value = np.where(fixed, np.uint64(0), mixed(word * np.uint64(3) + np.append(word[:1], word[:-1]) * np.uint64(5)) | np.uint64(1))
+    value[np.append(True, fixed[:-1]) & ~fixed] = np.iinfo(np.uint64).max   # the word before is of another line or sentence
+    value = np.concatenate((np.zeros(1, np.uint64), value))                 # the first text begins behind an end, as all others do
+    least = value.copy()
+    for k in range(1, min(NEAR_WORDS, n) + 1):
+        least[k:] = np.minimum(least[k:], value[:-k])
+        least[:-k] = np.minimum(least[:-k], value[k:])
+    at = np.flatnonzero((value == least)[1:])          # last word of each unit
+    begin = np.append(0, at[:-1] + 1)            # and its first
+    # a unit takes the white space behind it, up to the last line break in there
+    line = np.flatnonzero(_BREAK[low] & (raw < 0x10000))
+    stop_at = following[at]
+    broken = breaks[stop_at] > breaks[last[at]]
+    stop_at = np.where(broken, line[np.maximum(np.searchsorted(line, stop_at) - 1, 0)] + 1, stop_at)
+    of = doc[at]
+    own_start = np.append(0, ends[:-1])
+    closing = np.append(of[1:] != of[:-1], True)
+    end = np.where(closing, ends[of] - 1, stop_at) - own_start[of]
+    start = np.where(np.append(True, of[1:] != of[:-1]), 0, np.append(0, end[:-1]))
+    solo = np.concatenate(([0], np.cumsum(kind[first] == SOLO)))
+    words = at + 1 - begin - (solo[at + 1] - solo[begin]) // 2
+    seen = np.maximum(np.minimum(begin, at + 1 - UNIT_WORDS), np.searchsorted(doc, of))
+    held = word.tobytes()
+    return of, start, end, words, [xxhash.xxh3_128_digest(held[8 * i:8 * j]) for i, j in zip(seen.tolist(), (at + 1).tolist())]
 
 
 def split_units(text: str) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of the units of a text, gapless and in order; offsets in code points.
 
-    A unit ends at the first boundary from its UNIT_WORDS-th word on; boundaries hang on the text around them alone, so
-    copies of a passage fall into step whatever stands before them. The digest is of the lower-cased words, so white
-    space and case do not tell units apart.
+    A unit ends at each line break and sentence end, and between them after each word where the hash of the last two words is
+    the least of all within NEAR_WORDS words. That hangs on these words alone, never on where the unit before ended, so copies
+    of a passage have the same unit ends from its first NEAR_WORDS + 1 words on up to its last NEAR_WORDS. The digest is of the
+    lower-cased words, so white space and case do not tell units apart; that of a unit of fewer than UNIT_WORDS words covers
+    words before it, so that common short lines in another order are not taken for a copy. In scripts without spaces each
+    letter is a place and half a word.
     """
-    out, parts, start, last = [], [], 0, 0
-    for end in [*(m.end() for m in BOUNDARY.finditer(text)), len(text)]:
-        parts += text[last:end].lower().split()
-        last = end
-        if len(parts) >= UNIT_WORDS or (end == len(text) and parts):
-            out.append((start, end, len(parts), xxhash.xxh3_128_digest(" ".join(parts))))
-            start, parts = end, []
-    return out
+    _, start, end, words, digests = _units([text])
+    return list(zip(start.tolist(), end.tolist(), words.tolist(), digests))
 
 
 NAME = ["r0", "r1", "r2", "r3"]
@@ -52,17 +113,12 @@ def unit_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
-                row, unit, words, d0, d1 = [], [], [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    for k, (_, _, n, digest) in enumerate(split_units(text or "")):
-                        row.append(i)
-                        unit.append(k)
-                        words.append(n)
-                        d0.append(int.from_bytes(digest[:8], "little", signed=True))
-                        d1.append(int.from_bytes(digest[8:], "little", signed=True))
+                row, _, _, words, digests = _units(part.column("text").to_pylist())
+                unit = np.arange(len(row)) - np.searchsorted(row, row)
+                d0, d1 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(c).take(take) for c in NAME] + [
-                    pa.array(unit, pa.int32()), pa.array(words, pa.int32()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64())],
+                    pa.array(unit.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.ascontiguousarray(d0)), pa.array(np.ascontiguousarray(d1))],
                     names=[*NAME, "unit", "words", "d0", "d1"])
 
     named = docs.select(*[c.alias(n) for c, n in zip(_order(id_col, text_col), NAME)], F.col(text_col).alias("text"))

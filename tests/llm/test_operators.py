@@ -151,6 +151,50 @@ def test_planted_passage_is_cut_wherever_it_stands(spark):
             assert out[i] == t
 
 
+def repeated_words(rows, n=MIN_RUN_WORDS):
+    """Per text, which of its words stand in a window of n words that stood anywhere earlier; no units."""
+    seen, out = set(), {}
+    for i, t in rows:
+        w = t.lower().split()
+        windows = [" ".join(w[k:k + n]) for k in range(len(w) - n + 1)]
+        out[i] = {k + j for k, x in enumerate(windows) if x in seen for j in range(n)}
+        seen.update(windows)
+    return out
+
+
+def test_passages_against_word_windows(spark):
+    """Passages of 60 words put into other texts, in styles where the old unit ends hung on what stood before them."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    styles = [" ".join, lambda w: " ".join(w).upper(), " | ".join, lambda w: "\n".join(" ".join(w[k:k + 2]) for k in range(0, len(w), 2)),
+              lambda w: ". ".join(" ".join(w[k:k + 13]) for k in range(0, len(w), 13)).title()]
+    rows = []
+    for style in styles:
+        for _ in range(40):
+            passage = style(rng.choices(words, k=60))
+            for _ in range(2):
+                rows.append((len(rows), style(rng.choices(words, k=rng.randint(30, 50))) + " " + passage + " " + style(rng.choices(words, k=30))))
+    want, got = repeated_words(rows), collections.defaultdict(set)
+    for r in removed_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        before = len(dict(rows)[r["doc_id"]][:r["start"]].split())
+        got[r["doc_id"]] |= set(range(before, before + len(r["passage"].split())))
+    for i, _ in rows:
+        assert got[i] <= want[i] and (not want[i] or len(got[i]) >= MIN_RUN_WORDS)
+    assert sum(map(len, got.values())) > 0.75 * sum(map(len, want.values()))
+
+
+def test_units_of_short_lines_and_of_text_without_spaces():
+    """Common lines in a new order are no copy; a passage without spaces is found inside other text."""
+    lines = [f"item{i}\n" for i in range(60)]
+    a, b = ("".join(x) for x in (lines, lines[::2] + lines[1::2]))
+    digests = {u[3] for u in split_units(a)}
+    assert sum(u[2] for u in split_units(b) if u[3] in digests) < 5
+    rng = random.Random(4)
+    a, passage, b = ("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n)) for n in (150, 120, 170))
+    same = {u[3] for u in split_units(a + passage)} & {u[3] for u in split_units(b + passage + a)}
+    assert sum(u[2] for u in split_units(b + passage) if u[3] in same) >= 40
+
+
 def test_passages_on_edge_rows(edge, empty):
     out = dedup_passages(edge)
     assert out.columns == edge.columns
