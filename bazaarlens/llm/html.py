@@ -26,6 +26,9 @@ ASIDE_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
                "signup", "login", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "rail", "aside", "widget", "footer",
                "header", "masthead", "comment", "comments", "commentlist", "respond", "replies", "disqus", "share", "sharing", "social", "related",
                "recommended", "pagination", "pager", "toolbar", "form", "search"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+HEADING_NAMES = {"header", "masthead", "banner"}       # on a heading they only say that it is one
+HOLDING = {"pre", "address", "summary", "caption"}     # no containers, but they may hold blocks
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r")(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
@@ -37,14 +40,14 @@ PLACES = 0.1     # share of a host's pages from which a path wins beside the fir
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "aside", "score", "start", "end")
+    __slots__ = ("tag", "path", "parent", "aside", "score", "start", "end", "leaf")
 
-    def __init__(self, tag: str, path: str, parent: _Element | None, aside: bool, start: int):
-        self.tag, self.path, self.parent, self.aside, self.score, self.start, self.end = tag, path, parent, aside, 0.0, start, -1
+    def __init__(self, tag: str, path: str, parent: _Element | None, aside: bool, start: int, leaf: bool = False):
+        self.tag, self.path, self.parent, self.aside, self.score, self.start, self.end, self.leaf = tag, path, parent, aside, 0.0, start, -1, leaf
 
 
-def _names(attrs: str) -> tuple[str, bool]:
-    """The generalised class of a start tag (digits as #, classes in order) and whether its names mark it as aside."""
+def _names(attrs: str, but: set[str] = frozenset()) -> tuple[str, bool]:
+    """The generalised class of a start tag (digits as #, classes in order) and whether its names, ``but`` for some, mark it as aside."""
     kind, aside = "", False
     if "=" in attrs:
         for name, a, b, c in NAMES.findall(attrs):
@@ -53,7 +56,7 @@ def _names(attrs: str) -> tuple[str, bool]:
                 kind = ".".join(sorted(DIGITS.sub("#", value).split()))
             # "with-sidebar" and the like tell of a neighbour, not of the element itself
             own = " ".join(v for v in value.split() if not v.startswith(("with-", "has-", "no-")))
-            aside |= not ASIDE_NAMES.isdisjoint(re.split(r"[^a-z]+", own))
+            aside |= not ASIDE_NAMES.isdisjoint(set(re.split(r"[^a-z]+", own)) - but)
     return kind, aside
 
 
@@ -83,6 +86,11 @@ def parse_page(page: str) -> tuple[list[_Element], list[tuple[str, int, _Element
             buffer.clear()
         linked = 0
 
+    def leave(k: int) -> None:
+        for e in stack[k:]:
+            e.end = len(blocks)
+        del stack[k:]
+
     last = 0
     for m in TOKEN.finditer(page):
         if m.start() > last:
@@ -109,14 +117,24 @@ def parse_page(page: str) -> tuple[list[_Element], list[tuple[str, int, _Element
                 elements.append(stack[-1])
             continue
         flush()
+        if tag != "br":
+            # a paragraph or heading that its names mark as aside reaches to the next block, others to their end tags
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].leaf and (stack[k].tag not in HOLDING or (m["end"] and stack[k].tag == tag)):
+                    leave(k)
+                    break
+                if stack[k].tag in CONTAINER or stack[k].tag in ASIDE:
+                    break
         if tag not in CONTAINER and tag not in ASIDE:
+            if not m["end"] and tag not in VOID and "=" in m["attrs"] and _names(m["attrs"], HEADING_NAMES if tag in HEADINGS else set())[1]:
+                top = stack[-1]
+                stack.append(_Element(tag, top.path, top, True, len(blocks), True))
+                elements.append(stack[-1])
             continue
         if m["end"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    for e in stack[k:]:
-                        e.end = len(blocks)
-                    del stack[k:]
+                    leave(k)
                     break
             continue
         kind, aside = _names(m["attrs"])

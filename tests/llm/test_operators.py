@@ -304,6 +304,13 @@ def test_names_of_containers():
     assert page_text(page, None) == "The story is told here in some words."
 
 
+def test_names_of_paragraphs_and_headings():
+    page = """<article><h1 class="page-header">Title</h1><p>The story is told here in some words.<p class="advert">Buy this.<p>It goes on.
+    <h2 class="related">More like this</h2><p class='comment'>I <b>say<br>no</b></p>and ends<address class="notice"><p>Mind</p>the step</address>
+    <p>at last.</p><p class="cookie-notice">We <span class="ad">bake</article>"""
+    assert page_text(page, None) == "Title\nThe story is told here in some words.\nIt goes on.\nand ends\nat last."
+
+
 def test_consensus_overrules_a_page(spark):
     """A page whose side column is longer than its story follows the host's path."""
     def page(story, side):
