@@ -36,6 +36,8 @@ TOKEN = re.compile(
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
+REAL = 25        # characters outside links from which a block beside a container is real text
+REST = 0.1       # share of a container's text that must stand beside it for body to be taken
 PLACES = 0.1     # share of a host's pages from which a path wins beside the first
 
 
@@ -60,8 +62,8 @@ def _names(attrs: str, but: set[str] = frozenset()) -> tuple[str, bool]:
     return kind, aside
 
 
-def parse_page(page: str) -> tuple[list[_Element], list[tuple[str, int, _Element]]]:
-    """The containers of a page, scored, and its text blocks outside asides as (text, number, innermost container).
+def parse_page(page: str) -> tuple[list[_Element], list[tuple[str, int, bool]]]:
+    """The containers of a page, scored, and its text blocks outside asides as (text, length without links, whether an h1).
 
     A block's length without links goes to its container and half of it to the container around that, as in the known
     readability measures; article and main count half as much again.
@@ -71,6 +73,7 @@ def parse_page(page: str) -> tuple[list[_Element], list[tuple[str, int, _Element
     buffer: list[str] = []
     linked = 0
     in_link = False
+    block = ""     # the tag that the running block stands in
 
     def flush() -> None:
         nonlocal linked
@@ -82,7 +85,7 @@ def parse_page(page: str) -> tuple[list[_Element], list[tuple[str, int, _Element
                 top.score += value
                 if top.parent is not None:
                     top.parent.score += value / 2
-                blocks.append((text, len(blocks), top))
+                blocks.append((text, value, block == "h1"))
             buffer.clear()
         linked = 0
 
@@ -118,6 +121,7 @@ def parse_page(page: str) -> tuple[list[_Element], list[tuple[str, int, _Element
             continue
         flush()
         if tag != "br":
+            block = "" if m["end"] else tag
             # a paragraph or heading that its names mark as aside reaches to the next block, others to their end tags
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].leaf and (stack[k].tag not in HOLDING or (m["end"] and stack[k].tag == tag)):
@@ -153,19 +157,34 @@ def parse_page(page: str) -> tuple[list[_Element], list[tuple[str, int, _Element
     return elements, blocks
 
 
-def _best(elements: list[_Element]) -> _Element | None:
+def _best(elements: list[_Element], blocks: list[tuple[str, int, bool]]) -> _Element | None:
+    """The best-scored container, or what holds the whole article around it: the nearest article or main, and further up
+    each parent of which blocks beside it are an h1 or real text; for body and above, only where an h1 or a tenth of the text is there."""
     best = max((e for e in elements if not e.aside), key=lambda e: (e.score, -e.start), default=None)
-    return best if best is not None and best.score > 0 else None
+    if best is None or best.score <= 0:
+        return None
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    best = next((e for e in above if e.tag in ("article", "main")), best)
+    for parent in above[above.index(best) + 1:]:
+        beside = blocks[parent.start:best.start] + blocks[best.end:parent.end]
+        own = sum(value for _, value, _ in blocks[best.start:best.end])
+        enough = REST * own if parent.tag in ("", "html", "body") else 0
+        real = sum(value for _, value, _ in beside if value >= REAL)
+        if any(h1 and value for _, value, h1 in beside) or (real and real >= enough):
+            best = parent
+    return best
 
 
 def page_text(page: str, paths: list[str] | None) -> str:
-    """The blocks of the page's elements on the first winning path that gives text; else those of its own best container."""
+    """The blocks of the page's elements on the first winning path that gives text; else those of its own main container."""
     elements, blocks = parse_page(page)
     for path in paths or ():
         chosen = {n for e in elements if e.path == path and not e.aside for n in range(e.start, e.end)}
         if chosen:
-            return "\n".join(text for text, n, _ in blocks if n in chosen)
-    best = _best(elements)
+            return "\n".join(block[0] for n, block in enumerate(blocks) if n in chosen)
+    best = _best(elements, blocks)
     return "" if best is None else "\n".join(text for text, _, _ in blocks[best.start:best.end])
 
 
@@ -174,13 +193,13 @@ def host_of(url: str) -> Column:
 
 
 def page_votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path: the path of the best-scored container of each page that has one."""
+    """host, path: the path of the main container of each page that has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths = [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                best = _best(parse_page(page or "")[0])
+                best = _best(*parse_page(page or ""))
                 if best is not None:
                     hosts.append(host)
                     paths.append(best.path)
@@ -201,8 +220,9 @@ def host_paths(votes: DataFrame, share: float = PLACES) -> DataFrame:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 50_000) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Each page votes for its best-scored container's path (tags with classes, digits generalised); a host's winning paths
-    are then applied to all its pages. A page without an element on them is cut by its own best container. White space
+    Each page votes for the path (tags with classes, digits generalised) of its best-scored container or what holds the whole
+    article around it; a host's winning paths are then applied to all its pages. A page without an element on them is cut by
+    its own. White space
     in a block becomes one space; blocks are joined by a line break in page order.
 
     Null or empty html gives an empty text. Pages without a url form one host. Repeated rows come out alike. Other columns

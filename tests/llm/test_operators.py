@@ -304,6 +304,24 @@ def test_names_of_containers():
     assert page_text(page, None) == "The story is told here in some words."
 
 
+def test_title_and_lead_beside_the_body_are_kept(spark):
+    """The best-scored container is only a part of the article; menus and side columns stay out."""
+    title, lead, body = "A title of some words", "The lead tells in short what came to pass. " * 7, "<p>" + "The story goes on and on here. " * 100 + "</p>"
+    inner = f"<h1>{title}</h1><div class=lead>{lead}</div><div class=body>{body}</div>"
+    side = "<div class=links><a href=x>one link to elsewhere and</a><a href=y>another one</a></div><div class=sidebar>" + "Side text. " * 30 + "</div>"
+    two = f"<div class=a>{body * 7}</div><div class=b>{body * 3}</div>"
+    shapes = [f"<body>{side}<article>{inner}</article></body>", f"<body>{side}<div class=post>{inner}</div></body>", f"<body>{side}<main><h1>{title}</h1><article>{lead}{body}</article></main></body>",
+              f"<body>{side}<div class=post>{two}</div></body>", f"<body>{side}<article>{two}</article></body>"]
+    rows = [(10 * k + i, f"http://h{k}.net/{i}", page) for k, page in enumerate(shapes) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, text in got.items():
+        assert "Side" not in text and "link" not in text
+        if i < 30:
+            assert text.startswith(title) and lead.strip() in text and text.count("goes on") == 100
+        else:
+            assert text.count("goes on") == 1000
+
+
 def test_names_of_paragraphs_and_headings():
     page = """<article><h1 class="page-header">Title</h1><p>The story is told here in some words.<p class="advert">Buy this.<p>It goes on.
     <h2 class="related">More like this</h2><p class='comment'>I <b>say<br>no</b></p>and ends<address class="notice"><p>Mind</p>the step</address>
