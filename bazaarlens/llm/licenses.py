@@ -18,7 +18,7 @@ TEMPLATES = {
     "notice-apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "notice-cc-by": "Licensed under CC BY-NC 4.0.",
     "notice-mit": "Released under the MIT License.",
-    "notice-reserved": "Copyright. All rights reserved.",
+    "notice-reserved": "All rights reserved",
     "text-mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
                 "files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, "
                 "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -34,7 +34,7 @@ TEMPLATES = {
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3           # words of a gram
-NEAR = 2        # diagonals this close are one alignment: a word or two put in or left out
+NEAR = 2        # words put in or left out for each template word that need not align
 SHARE = 0.8     # of the template's words that a verified span must align
 
 
@@ -68,25 +68,29 @@ def diagonals(docs: DataFrame, templates: DataFrame, k: int = K) -> DataFrame:
         F.collect_set("tpos").alias("tpos"))
 
 
-def merged_spans(votes: DataFrame, near: int = NEAR) -> DataFrame:
-    """Chains of diagonals at most ``near`` apart and overlapping texts become one span."""
-    order = Window.partitionBy("key", "label").orderBy("diag")
-    new = F.coalesce(F.col("diag") - F.lag("diag").over(order) > near, F.lit(True))
-    chained = votes.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(order))
-    return chained.groupBy("key", "label", "size", "span").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"),
-        F.array_distinct(F.flatten(F.collect_list("tpos"))).alias("tpos"))
+def merged_spans(votes: DataFrame, near: int = NEAR, share: float = SHARE) -> DataFrame:
+    """A span from each diagonal on: with all diagonals up to the allowed gaps further, ``near`` words for each template word
+    that may be missing. A diagonal's places lie within the template's size, so only near places meet, and no span is longer
+    than the template and its gaps."""
+    gaps = near * F.ceil((1 - share) * F.col("size"))
+    # in units of the label's gaps, which differ; half a word more lets equal distances in whatever the rounding
+    scaled = votes.withColumn("at", F.col("diag") / (gaps + 0.5))
+    ahead = Window.partitionBy("key", "label").orderBy("at").rangeBetween(0, 1)
+    return scaled.select(
+        "key", "label", "size", F.min("first").over(ahead).alias("first"), F.max("last").over(ahead).alias("last"), F.sum("votes").over(ahead).alias("votes"),
+        F.array_distinct(F.flatten(F.collect_list("tpos").over(ahead))).alias("tpos"))
 
 
 def license_spans(docs: DataFrame, templates: DataFrame, k: int = K, near: int = NEAR, share: float = SHARE) -> DataFrame:
-    """Verified spans: key, label, first and last word, cover (share of the template's words aligned).
+    """Verified spans: key, label, first and last word, cover (share of the template's words aligned). Spans of one notice overlap.
 
     A span counts when the template words under its matched grams reach ``share`` of the template and it is no longer
-    than the template allows for (near words more for each template word left out or put in).
+    than the template allows for (near words more for each template word that need not align).
     """
     reach = F.size(F.array_distinct(F.flatten(F.transform("tpos", lambda p: F.sequence(p, p + k - 1)))))
-    spans = merged_spans(diagonals(docs, templates, k), near)
-    return spans.withColumn("cover", reach / F.col("size")).where(F.col("cover") >= share).select(
+    spans = merged_spans(diagonals(docs, templates, k), near, share)
+    longest = F.col("size") + near * F.ceil((1 - share) * F.col("size"))
+    return spans.withColumn("cover", reach / F.col("size")).where((F.col("cover") >= share) & (F.col("last") + k - F.col("first") <= longest)).select(
         "key", "label", "first", (F.col("last") + k - 1).alias("last"), "cover")
 
 

@@ -17,7 +17,7 @@ from bazaarlens.llm.common import read
 from bazaarlens.llm.components import connected_components
 from bazaarlens.llm.exact import exact_dedup
 from bazaarlens.llm.html import extract_pages, page_text
-from bazaarlens.llm.licenses import PHRASES, scan_licenses
+from bazaarlens.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from bazaarlens.llm.lines import dedup_lines
 from bazaarlens.llm.packing import encode_pieces, pack_documents, packing_plan
 from bazaarlens.llm.passages import MIN_RUN_WORDS, dedup_passages, removed_passages, split_units
@@ -428,6 +428,17 @@ def test_license_text_with_a_word_put_in_is_found(spark):
     assert {r["doc_id"]: r["labels"] for r in got} == {1: "text-mit", 2: ""}
 
 
+def test_reserved_notices_and_scattered_words(spark):
+    """The notice stands with or without a year and name; a template's words dealt over a long text are no license text."""
+    words = re.findall(r"[a-z0-9]+", TEMPLATES["text-mit"].lower())
+    pieces = [words[k:k + 3] for k in range(0, len(words), 3)]
+    scattered = " ".join(" ".join(p) + " x y" for p in pieces)
+    rows = [(1, "All rights reserved."), (2, "Copyright 2024 Some Name. All rights reserved. More text."), (3, "Copyright. All rights reserved."), (4, "All of the rights reserved"),
+            (5, scattered), (6, scattered + " " + TEMPLATES["text-mit"] + " " + scattered)]
+    got = {r["doc_id"]: r["labels"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "notice-reserved", 2: "notice-reserved", 3: "notice-reserved", 4: "", 5: "", 6: "text-mit"}
+
+
 def brute_quality(text):
     w = re.findall(f"[^{SPACE[1:]}+", text or "")
     seen = collections.Counter(zip(w, w[1:], w[2:]))
