@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, small_enough, stage, text_batches
@@ -398,11 +398,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     one class. Null doc_ids are never the smallest; a component of nulls only has a null id and is kept. Other columns
     are not carried, so their names cannot clash. An empty table gives an empty result.
     """
-    return _components(docs, words, percent, id_col, text_col).drop("text_a", "text_b")
+    return _components(docs, words, percent, id_col, text_col).drop("text_a", "text_b", "comp")
 
 
 def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """near_duplicates with the names of the texts (text_a, text_b)."""
+    """near_duplicates with the names of the texts (text_a, text_b) and of the component (comp; null without a set)."""
     rows = stage(describe_sets(docs, words, id_col, text_col))
     classes = stage(rows.where("n > 0").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")))
     labels = _links(classes, lambda met: _full_sets(docs, stage(classes.join(met, "id", "left_semi").select("id", "doc")), words, id_col, text_col), percent)
@@ -412,15 +412,32 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
         owned = owned.join(least, "comp")
     else:
         owned = owned.withColumnRenamed("doc", "component_id")
-    owned = stage(owned.select(F.col("id").alias("set_id"), "component_id"))
-    some = rows.where("n > 0").drop("sketch").join(owned, "set_id").select("doc_id", "n", "component_id", "text_a", "text_b")
-    none = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_a", "text_b")
-    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_a", "text_b")
+    owned = stage(owned.select(F.col("id").alias("set_id"), "component_id", "comp"))
+    some = rows.where("n > 0").drop("sketch").join(owned, "set_id").select("doc_id", "n", "component_id", "text_a", "text_b", "comp")
+    none = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_a", "text_b", F.lit(None).cast("long").alias("comp"))
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_a", "text_b", "comp")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that near_duplicates does not keep."""
-    gone = stage(_components(docs, words, percent, id_col, text_col).where("not kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_a").alias("__a"), F.col("text_b").alias("__b")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.lit(11), text_col) == F.col("__a")) & (F.xxhash64(F.lit(29), text_col) == F.col("__b"))
-    return docs.join(gone, same, "left_anti")
+    """docs with one row of each component of near_duplicates: the first by id (nulls last) and text hashes; of fully repeated
+    rows any. Rows without words are in no component and all stay."""
+    place = ["doc_id", "text_a", "text_b"]
+    keys = stage(_components(docs, words, percent, id_col, text_col).where("comp is not null").groupBy("comp", "kept", *place).agg(F.count(F.lit(1)).alias("n")))
+    ranked = F.struct(*[F.col(c) for c in place])
+    won = keys.where("kept").groupBy("comp").agg(F.min(ranked).alias("won"))   # one id each, or none, so the hashes decide
+    kept = stage(keys.where("kept").join(won, "comp").withColumn("gone", ~ranked.eqNullSafe(F.col("won"))).select(*place, "n", "gone"))
+    named = [F.col(c).alias(f"__{c}") for c in place]
+    gone = stage(keys.where("not kept").select(named).unionByName(kept.where("gone").select(named)))
+
+    def same(there: DataFrame) -> Column:
+        here = [F.col(id_col).cast("long"), F.xxhash64(F.lit(11), text_col), F.xxhash64(F.lit(29), text_col)]
+        return here[0].eqNullSafe(there["__doc_id"]) & (here[1] == there["__text_a"]) & (here[2] == there["__text_b"])
+
+    left = docs.join(gone, same(gone), "left_anti")
+    repeated = stage(kept.where("n > 1 and not gone").select(named))
+    if repeated.isEmpty():
+        return left
+    few = F.broadcast(repeated) if small_enough(repeated, WANTED_ROWS) else repeated
+    # aggregated before the shuffle, so a row that is everywhere is no large task
+    once = left.select(F.struct(*docs.columns).alias("__row"), *docs.columns).join(few, same(repeated)).groupBy("__doc_id", "__text_a", "__text_b").agg(F.first("__row").alias("__row"))
+    return left.join(few, same(repeated), "left_anti").unionByName(once.select("__row.*"))

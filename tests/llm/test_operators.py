@@ -103,6 +103,19 @@ def test_near_dedup_on_nothing(spark, empty):
     assert near.near_duplicates(empty).collect() == [] and near.keep_one(empty).columns == empty.columns
 
 
+def test_keep_one_leaves_one_row_of_each_group(spark):
+    """Repeated rows, near copies with one id, and groups without ids."""
+    words = [[f"{c}{i}" for i in range(100)] for c in "abcd"]
+    near_copy = [" ".join(w[:99] + ["other"]) for w in words]
+    a, b, c, d = map(" ".join, words)
+    rows = [(1, a, None)] * 5 + [(2, a, "x"), (3, b, "x"), (3, near_copy[1], "y"), (None, c, "x"), (None, c, "x"), (None, near_copy[2], "y"), (None, d, "x"), (7, d, "x"), (8, "", "x"), (8, "", "x"), (None, None, "x")]
+    got = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string, kept string"))
+    assert got.columns == ["doc_id", "text", "kept"]
+    got = [tuple(r) for r in got.collect()]
+    groups = [[r for r in got if r[1] and r[1][0] == g] for g in "abcd"]
+    assert [len(g) for g in groups] == [1] * 4 and groups[0] == [(1, a, None)] and groups[3] == [(7, d, "x")] and len(got) == 7
+
+
 # passages and lines
 
 def brute_passages(rows):
