@@ -2,7 +2,10 @@
 
 Every distinct shingle set (class) has a sketch of 128 min-hash values. A tree orders the classes by a sequence of those
 values; classes with a common prefix of the tree's depth form a region. Two sets of similarity s meet in a region of depth
-d with probability s^d per tree, so ``trees`` trees miss a pair with (1 - s^d)^trees: at s = 0.8 under 1e-7 on each level.
+d with probability s^d per tree, so ``trees`` trees that share no values miss a pair with (1 - s^d)^trees: at s = 0.8 under
+1e-7 on the first level. Deeper trees are subsets of the same 128 values and not independent: summed over the number of
+values that agree, a pair at 0.8 is missed with 1.1e-04 and 1.1e-03 there, so links near the threshold can be lost in regions too
+large for the first level.
 
 1. A few trees are sorted whole and neighbours with the longest common prefix are candidates: groups of copies link up
    along the order, a few pairs per class whatever their size.
@@ -12,7 +15,7 @@ d with probability s^d per tree, so ``trees`` trees miss a pair with (1 - s^d)^t
    sets of a cluster's different components are compared in blocks, so that nothing near the threshold is lost and no
    table of pairs is made.
 4. Regions too large to search in one task are searched deeper, with as many more trees as the depth costs; what is still
-   too large at the last depth is searched in blocks. Nothing is dropped.
+   too large at the last depth is searched in blocks.
 
 Every link is confirmed on full sets.
 """
@@ -33,7 +36,7 @@ from .shingles import SKETCH, set_digest, shingle_sets, sketches
 
 __all__ = ["near_duplicates", "keep_one", "describe_sets", "forest", "tree_neighbours", "search_regions", "cluster_blocks", "compare_clusters", "confirm"]
 
-LEVELS = [(4, 32), (8, 96), (12, 256)]   # depth and trees; at 0.8 a pair is missed with 5e-8, 2e-8, 1e-8
+LEVELS = [(4, 32), (8, 96), (12, 256)]   # depth and trees; at 0.8 a pair is missed with 5e-8, 1.1e-04, 1.1e-03: deeper trees share sketch values
 ORDER_TREES = 2                          # trees that are sorted whole; what they miss is left to the search of regions
 REGION_ROWS = 20_000                     # classes of a region searched in one task: 5 MB of sketches
 WANTED_ROWS = 400_000                    # of two longs, broadcast to find the texts whose full sets are needed
