@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 __all__ = ["ensure_checkpoint_dir", "cut_lineage", "remove_stored"]
 
-_stored: list[tuple[SparkSession, str]] = []
+_stored: dict[str, SparkSession] = {}   # by path
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -33,15 +33,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _stored.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_stored() -> None:
-    """Remove what cut_lineage has stored. Frames that read from it cannot be used any more."""
-    while _stored:
-        spark, path = _stored.pop()
-        if spark.sparkContext._jsc is None:  # the session has ended
+    _stored[path] = spark
+    frame = spark.read.schema(df.schema).parquet(path)
+    frame.stored_at = path
+    return frame
+
+
+def remove_stored(*frames: DataFrame) -> None:
+    """Remove what cut_lineage has stored: all of it, or the tables behind these frames. What reads from it cannot be used
+    any more."""
+    for path in [f.stored_at for f in frames] if frames else list(_stored):
+        spark = _stored.pop(path, None)
+        if spark is None or spark.sparkContext._jsc is None:  # gone already, or the session has ended
             continue
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
