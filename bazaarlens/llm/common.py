@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import ship_package
-from ..sources.recovery import ensure_checkpoint_dir
+from ..sources.recovery import cut_lineage, remove_stored
 
-__all__ = ["read", "stage", "row_key", "SPACE", "WORD", "small_enough", "parts", "text_batches"]
+__all__ = ["read", "stage", "release", "row_key", "SPACE", "WORD", "small_enough", "parts", "text_batches"]
 
 SPACE = r"[\x20\x09-\x0D]"      # the white space of the contracts
 WORD = r"[^\x20\x09-\x0D]+"     # and what lies between
@@ -25,12 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write to the shared folder of spark.checkpoint.dir and read again: a lineage cut with column pruning."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write to the shared folder of spark.checkpoint.dir and read again: a lineage cut with column pruning. The files go
+    with release(), remove_stored() or when Python ends."""
+    return cut_lineage(df)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of stored tables that no later step reads."""
+    remove_stored(*frames)
 
 
 def row_key(id_col: str, text_col: str) -> Column:

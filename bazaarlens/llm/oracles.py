@@ -40,4 +40,31 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, n.n AS n_shingles, coalesce(o.component_id, n.doc_id) AS component_id, n.doc_id = coalesce(o.component_id, n.doc_id) AS kept
 FROM n LEFT JOIN o USING (doc_id)"""
 
-ORACLES = {"op1_near_dedup": NEAR, "op3_line_dedup": LINES, "op7_exact_dedup": EXACT}
+def clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round of the clustering as two steps: nearest centroid over all pairs, then floor of the means."""
+    out = [f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS j, v AS c FROM v QUALIFY j < {k})"""]
+    for t in range(rounds + 1):
+        out.append(f"""
+ a{t} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(d) AS d, arg_min(j, (d, j)) AS j FROM (
+   SELECT r, vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{t}) GROUP BY r)""")
+        if t < rounds:
+            out.append(f"""
+ m{t} AS MATERIALIZED (SELECT j, i, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS x FROM (SELECT j, unnest(v) AS x, unnest(range(64)) AS i FROM a{t}) GROUP BY j, i),
+ c{t + 1} AS MATERIALIZED (SELECT j, coalesce(n.c, c{t}.c) AS c FROM c{t} LEFT JOIN (SELECT j, list(x ORDER BY i) AS c FROM m{t} GROUP BY j) n USING (j))""")
+    return ",".join(out) + f"""
+SELECT vec_id, CAST(j AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (j)"""
+
+
+TOP_K = """
+WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM k q JOIN k c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+
+ORACLES = {"op11_centroid_clusters": clusters_sql(), "op12_exact_top_k": TOP_K, "op1_near_dedup": NEAR, "op3_line_dedup": LINES, "op7_exact_dedup": EXACT}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import cluster_vectors
 from .common import read
 from .exact import exact_dedup
 from .html import extract_pages
@@ -15,6 +16,8 @@ from .passages import removed_passages
 from .pieces import token_digests
 from .quality import quality_report
 from .sharding import kd_shards
+from .topk import top_products
+from .variants import spelling_variants
 
 __all__ = ["QUERIES"]
 
@@ -59,6 +62,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(read(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_passage_dedup, op3_line_dedup, op4_kd_shards, op5_html_text, op6_best_fit_packing,
-    op7_exact_dedup, op8_sentencepiece, op9_license_scan, op10_quality_rules)}
+    op7_exact_dedup, op8_sentencepiece, op9_license_scan, op10_quality_rules,
+    op11_centroid_clusters, op12_exact_top_k, op13_spelling_variants)}
