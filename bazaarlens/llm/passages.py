@@ -108,54 +108,67 @@ def _order(id_col: str, text_col: str) -> list[Column]:
 
 
 def unit_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """r0..r3, unit (number), words, d0, d1 of every unit."""
+    """r0..r3, unit (number), words, start, end, d0, d1 of every unit. Texts are parsed here alone: what comes later works on
+    these rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
-                row, _, _, words, digests = _units(part.column("text").to_pylist())
+                row, start, end, words, digests = _units(part.column("text").to_pylist())
                 unit = np.arange(len(row)) - np.searchsorted(row, row)
                 d0, d1 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(c).take(take) for c in NAME] + [
-                    pa.array(unit.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.ascontiguousarray(d0)), pa.array(np.ascontiguousarray(d1))],
-                    names=[*NAME, "unit", "words", "d0", "d1"])
+                    *(pa.array(x.astype(np.int32)) for x in (unit, words, start, end)), pa.array(np.ascontiguousarray(d0)), pa.array(np.ascontiguousarray(d1))],
+                    names=[*NAME, "unit", "words", "start", "end", "d0", "d1"])
 
     named = docs.select(*[c.alias(n) for c, n in zip(_order(id_col, text_col), NAME)], F.col(text_col).alias("text"))
-    return text_batches(named).mapInArrow(run, "r0 boolean, r1 long, r2 long, r3 long, unit int, words int, d0 long, d1 long")
+    return text_batches(named).mapInArrow(run, "r0 boolean, r1 long, r2 long, r3 long, unit int, words int, start int, end int, d0 long, d1 long")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """r0..r3, unit, words, first (r1 of the earliest occurrence) of every unit that has occurred earlier."""
+    """r0..r3, unit, words, start, end, first (r1 of the earliest occurrence) of every unit that has occurred earlier."""
     units = unit_digests(docs, id_col, text_col)
     place = F.struct(*NAME, "unit")
     # the first places are stored, so that the join shuffles both sides and can split a unit that is everywhere
     first = stage(units.groupBy("d0", "d1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     later = units.join(first, ["d0", "d1"]).where(place != F.col("first"))
-    return later.select(*NAME, "unit", "words", F.col("first.r1").alias("first"))
+    return later.select(*NAME, "unit", "words", "start", "end", F.col("first.r1").alias("first"))
 
 
 def _runs(units: list, min_words: int) -> list[tuple[int, int, int, int | None]]:
-    """(first unit, last unit, words, earliest document) of repeated units in a row with enough words."""
+    """(start, end, words, earliest document) of repeated units in a row with enough words."""
     units = sorted(units, key=lambda u: u["unit"])
     out = []
     for _, g in groupby(enumerate(units), lambda x: x[1]["unit"] - x[0]):
         run = [u for _, u in g]
         words = sum(u["words"] for u in run)
         if words >= min_words:
-            out.append((run[0]["unit"], run[-1]["unit"], words, run[0]["first"]))
+            out.append((run[0]["start"], run[-1]["end"], words, run[0]["first"]))
     return out
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """r0..r3 and units: the repeated units of each row that has any. Repeated rows count once, so a row has no more units than its text."""
     units = repeated_units(docs, id_col, text_col)
-    return units.groupBy(NAME).agg(F.collect_set(F.struct("unit", "words", "first")).alias("units"))
+    return units.groupBy(NAME).agg(F.collect_set(F.struct("unit", "words", "start", "end", "first")).alias("units"))
 
 
 SPANS = "array<struct<start:long,end:long,words:long,first:long>>"
 
 
+def _without(text, spans):
+    """A text without its spans, which are sorted and apart."""
+    if not spans:
+        return text
+    ends = [0] + [s["end"] for s in spans]
+    return "".join(text[a:b] for a, b in zip(ends, [s["start"] for s in spans] + [len(text)]))
+
+
+def _inside(text, spans):
+    return [text[s["start"]:s["end"]] for s in spans] if spans else None
+
+
 def repeated_spans(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
     """docs with ``out``: [start, end, words, first doc_id] of later occurrences, offsets into the original text; null if
     none. A column of that name is replaced.
@@ -171,28 +184,20 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str
         same = same & keyed[f"__o{i}"].eqNullSafe(found[f"__r{i}"])
 
     @F.udf(SPANS, useArrow=True)
-    def spans(text, units):
-        if units is None:
-            return None
-        at = split_units(text or "")
-        return [(at[a][0], at[b][1], n, first) for a, b, n, first in _runs(units, min_words)] or None
+    def spans(units):
+        return (_runs(units, min_words) or None) if units is not None else None
 
     both = keyed.join(found, same, "left")
-    # only texts with repeated units go to Python
-    text = F.when(F.col("__units").isNotNull(), F.col(text_col))
-    return both.withColumn(out, spans(text, F.col("__units"))).select(*[c for c in docs.columns if c != out], out)
+    return both.withColumn(out, spans(F.col("__units"))).select(*[c for c in docs.columns if c != out], out)
 
 
 def cut_spans(marked: DataFrame, text_col: str = "text", spans: str = "spans") -> DataFrame:
-    """The rows with their spans taken out of the text; rows of which nothing but white space is left go."""
-    def keep(done, span):
-        upto = F.substring(F.col(text_col), (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
-        return F.struct(F.concat(done["text"], upto).alias("text"), span["end"].alias("at"))
-
-    rest = F.aggregate(spans, F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), keep,
-                       lambda done: F.concat(done["text"], F.substring(F.col(text_col), (done["at"] + 1).cast("int"), F.length(text_col))))
-    cut = marked.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(rest))
-    return cut.where(F.col(spans).isNull() | F.col(text_col).rlike(WORD)).drop(spans)
+    """The rows with their spans taken out of the text; rows of which nothing but white space is left go. Only texts with
+    spans go to Python, and each is walked once however many it has."""
+    found = F.col(spans).isNotNull()
+    rest = F.udf(_without, "string", useArrow=True)(F.when(found, F.col(text_col)), F.col(spans))
+    cut = text_batches(marked).withColumn(text_col, F.when(found, rest).otherwise(F.col(text_col)))
+    return cut.where(~found | F.col(text_col).rlike(WORD)).drop(spans)
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,6 +209,6 @@ def removed_passages(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: st
     """doc_id, first_doc_id, start, end, n_words, passage of every span that dedup_passages cuts."""
     marked = repeated_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_words).where("spans is not null")
     s = F.col("s")
-    return marked.select("doc_id", "text", F.explode("spans").alias("s")).select(
-        "doc_id", s["first"].alias("first_doc_id"), s["start"].alias("start"), s["end"].alias("end"), s["words"].alias("n_words"),
-        F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("passage"))
+    both = text_batches(marked).select("doc_id", F.explode(F.arrays_zip("spans", F.udf(_inside, "array<string>", useArrow=True)("text", "spans").alias("passage"))).alias("s"))
+    return both.select("doc_id", s["spans"]["first"].alias("first_doc_id"), s["spans"]["start"].alias("start"), s["spans"]["end"].alias("end"),
+                       s["spans"]["words"].alias("n_words"), s["passage"].alias("passage"))

@@ -208,6 +208,15 @@ def test_units_of_short_lines_and_of_text_without_spaces():
     assert sum(u[2] for u in split_units(b + passage) if u[3] in same) >= 40
 
 
+def test_many_spans_of_one_text_are_cut_in_one_walk(spark):
+    """Thousands of copied passages in one long text, each between words of its own."""
+    line = [f"this sentence number {i} is told in {i % 7} ways and it has words enough to be one that goes when it comes again here." for i in range(4000)]
+    rows = [(1, "\n".join(line)), (2, "\n".join(f"{x}\nown {i} {i * 31}." for i, x in enumerate(line)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed_passages(df).count() == 4000
+    assert dict(rows_of(dedup_passages(df)))[2].split("\n")[:3] == ["own 0 0.", "own 1 31.", "own 2 62."]
+
+
 def test_passages_on_edge_rows(edge, empty):
     out = dedup_passages(edge)
     assert out.columns == edge.columns
