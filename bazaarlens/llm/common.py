@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources import ship_package
 from ..sources.recovery import cut_lineage, remove_stored
 
-__all__ = ["read", "stage", "release", "row_key", "SPACE", "WORD", "small_enough", "parts", "text_batches"]
+__all__ = ["read", "stage", "release", "row_key", "SPACE", "WORD", "small_enough", "parts", "text_batches", "tidied", "give_back", "CACHES"]
 
 SPACE = r"[\x20\x09-\x0D]"      # the white space of the contracts
 WORD = r"[^\x20\x09-\x0D]+"     # and what lies between
@@ -49,7 +50,7 @@ def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def parts(batch: pa.RecordBatch, text: str, most_bytes: int = 1_000_000, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, text: str, most_bytes: int = 400_000, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of bounded text, so that memory hangs on the longest text and not on the batch."""
     start = total = 0
     for i, size in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
@@ -61,6 +62,30 @@ def parts(batch: pa.RecordBatch, text: str, most_bytes: int = 1_000_000, most_ro
         yield batch.slice(start)
 
 
+CACHES: list[dict] = []   # what modules keep between batches in a Python worker
+
+
+def give_back() -> None:
+    """Empty the caches of this worker and return its free memory to the system."""
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """run for mapInArrow, which gives memory back when its partition ends: Python workers live on and wait beside those of
+    the next stages."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a stored table has at most ``rows`` rows; only then may it be broadcast."""
     return df.limit(rows + 1).count() <= rows

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_enough, stage, text_batches
+from .common import parts, small_enough, stage, text_batches, tidied
 from .components import connected_components, looked_up
 from .shingles import SKETCH, set_digest, shingle_sets, sketches
 
@@ -71,7 +71,7 @@ def describe_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
                      pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([next(sketch).tobytes() if len(s) else None for s in sets], pa.binary())],
                     names=["doc_id", "text_a", "text_b", "n", "set_id", "sketch"])
 
-    return text_batches(source).mapInArrow(run, "doc_id long, text_a long, text_b long, n long, set_id long, sketch binary")
+    return text_batches(source).mapInArrow(tidied(run), "doc_id long, text_a long, text_b long, n long, set_id long, sketch binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -95,7 +95,7 @@ def forest(classes: DataFrame, level: int, depth: int, trees: int) -> DataFrame:
             for t in range(trees):
                 yield pa.RecordBatch.from_arrays([pa.array(_hashed(m, t, _values(t, level, depth)[:depth])), batch.column("id")], names=["region", "id"])
 
-    return classes.select("id", "sketch").mapInArrow(run, "region long, id long")
+    return classes.select("id", "sketch").mapInArrow(tidied(run), "region long, id long")
 
 
 def tree_neighbours(classes: DataFrame, depth: int, trees: int) -> DataFrame:
@@ -121,8 +121,8 @@ def tree_neighbours(classes: DataFrame, depth: int, trees: int) -> DataFrame:
                 last_key, last_id = key, i
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = classes.select("id", "sketch").mapInArrow(ordered, "place binary, id long")
-    return rows.repartitionByRange("place", "id").sortWithinPartitions("place", "id").mapInArrow(paired, "a long, b long").distinct()
+    rows = classes.select("id", "sketch").mapInArrow(tidied(ordered), "place binary, id long")
+    return rows.repartitionByRange("place", "id").sortWithinPartitions("place", "id").mapInArrow(tidied(paired), "a long, b long").distinct()
 
 
 class _Union:
@@ -202,7 +202,7 @@ def search_regions(rows: DataFrame, least: int, best: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     tasks = rows.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "id")
-    return tasks.select("region", "block", "x", "y", "comp", "id", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return tasks.select("region", "block", "x", "y", "comp", "id", "sketch").mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -268,7 +268,7 @@ def compare_clusters(rows: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     tasks = rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id")
-    return tasks.select("cluster", "x", "y", "block", "comp", "id", "values").mapInArrow(run, "a long, b long").distinct()
+    return tasks.select("cluster", "x", "y", "block", "comp", "id", "values").mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def cluster_blocks(members: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_u = pairs.join(sets.select(F.col("id").alias("a"), F.col("values").alias("u")), "a")
-    return with_u.join(sets.select(F.col("id").alias("b"), F.col("values").alias("v")), "b").select("a", "b", "u", "v").mapInArrow(run, "a long, b long")
+    return with_u.join(sets.select(F.col("id").alias("b"), F.col("values").alias("v")), "b").select("a", "b", "u", "v").mapInArrow(tidied(run), "a long, b long")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -319,7 +319,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["own", "id", "values"])
 
     # rows may share a doc_id: only the text that makes this set counts, once
-    made = texts.mapInArrow(run, "own long, id long, values binary").where("own = id").select("id", "values")
+    made = texts.mapInArrow(tidied(run), "own long, id long, values binary").where("own = id").select("id", "values")
     return stage(made)
 
 

@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, stage, text_batches
+from .common import parts, stage, text_batches, tidied
 
 __all__ = ["CAPACITY", "END_ID", "encode_pieces", "packing_plan", "pack_pieces", "pack_documents"]
 
@@ -84,7 +84,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
                     names=["doc_id", "piece", "start", "length", "ids"])
 
-    return text_batches(source).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return text_batches(source).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, parts, stage, text_batches
+from .common import WORD, parts, stage, text_batches, tidied
 from .shingles import _R, _RI, _power, mixed
 
-__all__ = ["MIN_RUN_WORDS", "split_units", "unit_digests", "repeated_units", "repeated_spans", "cut_spans", "dedup_passages", "removed_passages"]
+__all__ = ["MIN_RUN_WORDS", "split_units", "unit_digests", "repeated_units", "repeated_spans", "dedup_passages", "removed_passages"]
 
 UNIT_WORDS = 5        # the digest of a shorter unit also covers the words before it, up to so many in all
 NEAR_WORDS = 4        # a unit also ends where the hash of the last two words is the least among so many places on either side
@@ -108,65 +107,62 @@ def _order(id_col: str, text_col: str) -> list[Column]:
 
 
 def unit_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """r0..r3, unit (number), words, start, end, d0, d1 of every unit. Texts are parsed here alone: what comes later works on
-    these rows."""
+    """r0..r3, start, size (its length and words), d0, d1 of every unit. What comes later works on these rows, not on texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
                 row, start, end, words, digests = _units(part.column("text").to_pylist())
-                unit = np.arange(len(row)) - np.searchsorted(row, row)
                 d0, d1 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(c).take(take) for c in NAME] + [
-                    *(pa.array(x.astype(np.int32)) for x in (unit, words, start, end)), pa.array(np.ascontiguousarray(d0)), pa.array(np.ascontiguousarray(d1))],
-                    names=[*NAME, "unit", "words", "start", "end", "d0", "d1"])
+                    pa.array(start.astype(np.int32)), pa.array((end - start) << 32 | words), pa.array(np.ascontiguousarray(d0)), pa.array(np.ascontiguousarray(d1))],
+                    names=[*NAME, "start", "size", "d0", "d1"])
 
     named = docs.select(*[c.alias(n) for c, n in zip(_order(id_col, text_col), NAME)], F.col(text_col).alias("text"))
-    return text_batches(named).mapInArrow(run, "r0 boolean, r1 long, r2 long, r3 long, unit int, words int, start int, end int, d0 long, d1 long")
+    return text_batches(named).mapInArrow(tidied(run), "r0 boolean, r1 long, r2 long, r3 long, start int, size long, d0 long, d1 long")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """r0..r3, unit, words, start, end, first (r1 of the earliest occurrence) of every unit that has occurred earlier."""
+    """r0..r3, start, size, first (r1 of the earliest occurrence) of every unit that has occurred earlier."""
     units = unit_digests(docs, id_col, text_col)
-    place = F.struct(*NAME, "unit")
+    place = F.struct(*NAME, "start")
     # the first places are stored, so that the join shuffles both sides and can split a unit that is everywhere
     first = stage(units.groupBy("d0", "d1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     later = units.join(first, ["d0", "d1"]).where(place != F.col("first"))
-    return later.select(*NAME, "unit", "words", "start", "end", F.col("first.r1").alias("first"))
+    return later.select(*NAME, "start", "size", F.col("first.r1").alias("first"))
 
 
 def _runs(units: list, min_words: int) -> list[tuple[int, int, int, int | None]]:
     """(start, end, words, earliest document) of repeated units in a row with enough words."""
-    units = sorted(units, key=lambda u: u["unit"])
-    out = []
-    for _, g in groupby(enumerate(units), lambda x: x[1]["unit"] - x[0]):
-        run = [u for _, u in g]
-        words = sum(u["words"] for u in run)
-        if words >= min_words:
-            out.append((run[0]["start"], run[-1]["end"], words, run[0]["first"]))
-    return out
+    out: list[list] = []
+    for u in sorted(units, key=lambda u: u["start"]):
+        end, words = u["start"] + (u["size"] >> 32), u["size"] & 0xFFFFFFFF
+        if out and out[-1][1] == u["start"]:   # units have no gaps between them
+            out[-1][1:3] = end, out[-1][2] + words
+        else:
+            out.append([u["start"], end, words, u["first"]])
+    return [tuple(run) for run in out if run[2] >= min_words]
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """r0..r3 and units: the repeated units of each row that has any. Repeated rows count once, so a row has no more units than its text."""
     units = repeated_units(docs, id_col, text_col)
-    return units.groupBy(NAME).agg(F.collect_set(F.struct("unit", "words", "start", "end", "first")).alias("units"))
+    return units.groupBy(NAME).agg(F.collect_set(F.struct("start", "size", "first")).alias("units"))
 
 
 SPANS = "array<struct<start:long,end:long,words:long,first:long>>"
 
 
-def _without(text, spans):
-    """A text without its spans, which are sorted and apart."""
-    if not spans:
-        return text
-    ends = [0] + [s["end"] for s in spans]
-    return "".join(text[a:b] for a, b in zip(ends, [s["start"] for s in spans] + [len(text)]))
-
-
-def _inside(text, spans):
-    return [text[s["start"]:s["end"]] for s in spans] if spans else None
+def _marked(docs: DataFrame, id_col: str, text_col: str, out: str, made: Column) -> DataFrame:
+    """docs with ``out`` made from __units, the repeated units of the row, and from __found, its text if it has any."""
+    found = _found(docs, id_col, text_col).withColumnsRenamed({n: f"__{n}" for n in [*NAME, "units"]})
+    keyed = docs.drop(out).withColumns({f"__o{i}": c for i, c in enumerate(_order(id_col, text_col))})
+    same = F.lit(True)
+    for i in range(len(NAME)):
+        same = same & keyed[f"__o{i}"].eqNullSafe(found[f"__r{i}"])
+    both = text_batches(keyed.join(found, same, "left")).withColumn("__found", F.when(F.col("__units").isNotNull(), F.col(text_col)))
+    return both.withColumn(out, made).select(*[c for c in docs.columns if c != out], out)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -177,38 +173,29 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str
     ``min_words`` words, so single short repeats stay. Null and empty texts have no units. Rows that agree in id and text
     are one occurrence and come out alike. An empty table gives an empty result.
     """
-    found = _found(docs, id_col, text_col).withColumnsRenamed({n: f"__{n}" for n in [*NAME, "units"]})
-    keyed = docs.drop(out).withColumns({f"__o{i}": c for i, c in enumerate(_order(id_col, text_col))})
-    same = F.lit(True)
-    for i in range(len(NAME)):
-        same = same & keyed[f"__o{i}"].eqNullSafe(found[f"__r{i}"])
-
-    @F.udf(SPANS, useArrow=True)
     def spans(units):
         return (_runs(units, min_words) or None) if units is not None else None
-
-    both = keyed.join(found, same, "left")
-    return both.withColumn(out, spans(F.col("__units"))).select(*[c for c in docs.columns if c != out], out)
-
-
-def cut_spans(marked: DataFrame, text_col: str = "text", spans: str = "spans") -> DataFrame:
-    """The rows with their spans taken out of the text; rows of which nothing but white space is left go. Only texts with
-    spans go to Python, and each is walked once however many it has."""
-    found = F.col(spans).isNotNull()
-    rest = F.udf(_without, "string", useArrow=True)(F.when(found, F.col(text_col)), F.col(spans))
-    cut = text_batches(marked).withColumn(text_col, F.when(found, rest).otherwise(F.col(text_col)))
-    return cut.where(~found | F.col(text_col).rlike(WORD)).drop(spans)
+    return _marked(docs, id_col, text_col, out, F.udf(spans, SPANS, useArrow=True)("__units"))
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the later occurrences of repeated passages; documents made up of nothing else go."""
-    return cut_spans(repeated_spans(docs, min_words, id_col, text_col, "__spans"), text_col, "__spans")
+    """docs without the later occurrences of repeated passages (see repeated_spans); documents made up of nothing else go.
+    Only texts with repeated units go to Python, where each is walked once however many spans it has."""
+    def rest(text, units):
+        runs = _runs(units, min_words) if units is not None else []
+        if not runs:
+            return None
+        return "".join(text[a:b] for a, b in zip([0] + [r[1] for r in runs], [r[0] for r in runs] + [len(text)]))
+    cut = _marked(docs, id_col, text_col, "__rest", F.udf(rest, "string", useArrow=True)("__found", "__units"))
+    left = cut.where(F.col("__rest").isNull() | F.col("__rest").rlike(WORD))
+    return left.withColumn(text_col, F.coalesce("__rest", text_col)).select(docs.columns)
 
 
 def removed_passages(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, first_doc_id, start, end, n_words, passage of every span that dedup_passages cuts."""
-    marked = repeated_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_words).where("spans is not null")
-    s = F.col("s")
-    both = text_batches(marked).select("doc_id", F.explode(F.arrays_zip("spans", F.udf(_inside, "array<string>", useArrow=True)("text", "spans").alias("passage"))).alias("s"))
-    return both.select("doc_id", s["spans"]["first"].alias("first_doc_id"), s["spans"]["start"].alias("start"), s["spans"]["end"].alias("end"),
-                       s["spans"]["words"].alias("n_words"), s["passage"].alias("passage"))
+    def passages(text, units):
+        return [(*r, text[r[0]:r[1]]) for r in _runs(units, min_words)] if units is not None else None
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = "array<struct<start:long,end:long,n_words:long,first_doc_id:long,passage:string>>"
+    marked = _marked(named, "doc_id", "text", "s", F.udf(passages, kind, useArrow=True)("__found", "__units"))
+    return marked.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.first_doc_id", "s.start", "s.end", "s.n_words", "s.passage")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, text_batches
+from .common import parts, text_batches, tidied
 
 __all__ = ["PieceModel", "encode_column", "decode_column", "token_digests"]
 
@@ -247,7 +247,7 @@ def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, convert)
                 kept = [(n, c) for n, c in zip(part.schema.names, part.columns) if n != target]
                 yield pa.RecordBatch.from_arrays([c for _, c in kept] + [made], names=[n for n, _ in kept] + [target])
 
-    return text_batches(df).mapInArrow(run, schema)
+    return text_batches(df).mapInArrow(tidied(run), schema)
 
 
 def encode_column(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_path: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, text_batches
+from .common import parts, text_batches, tidied
 from .shingles import mixed, word_hashes
 
 __all__ = ["LineModel", "analyse", "fit_lines", "viterbi", "fit_on_labels", "measure", "judge", "quality_report", "keep_good"]
@@ -189,7 +189,7 @@ def measure(docs: DataFrame, model: LineModel | None, keep: list[str], text_col:
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(counts[c], pa.int64()) for c in made], names=names + made)
 
     names = [f.name for f in fields]
-    return text_batches(docs).select(*names, *([] if text in names else [F.col(text_col).alias(text)])).mapInArrow(run, schema)
+    return text_batches(docs).select(*names, *([] if text in names else [F.col(text_col).alias(text)])).mapInArrow(tidied(run), schema)
 
 
 def judge(measured: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 import xxhash
 
+from .common import CACHES
+
 __all__ = ["SKETCH", "Words", "mixed", "word_hashes", "shingle_sets", "sketches", "set_digest"]
 
 SKETCH = 128                     # min-hash values of a sketch
@@ -23,6 +25,7 @@ _SHIFT = _RNG.integers(1, 2**63, SKETCH, np.uint64)
 _R = 0x5851F42D4C957F2D
 _RI = pow(_R, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
+CACHES.append(_powers)
 
 
 def _power(base: int, n: int) -> np.ndarray:
