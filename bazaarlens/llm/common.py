@@ -32,7 +32,8 @@ def stage(df: DataFrame) -> DataFrame:
 
 def release(*frames: DataFrame) -> None:
     """Delete the files of stored tables that no later step reads."""
-    remove_stored(*frames)
+    if frames:
+        remove_stored(*frames)
 
 
 def row_key(id_col: str, text_col: str) -> Column:

@@ -2,13 +2,13 @@
 
 Every distinct shingle set (class) has a sketch of 128 min-hash values. A tree orders the classes by a sequence of those
 values; classes with a common prefix of the tree's depth form a region. Two sets of similarity s meet in a region of depth
-d with probability s^d per tree, so ``trees`` trees that share no values miss a pair with (1 - s^d)^trees: at s = 0.8 under
-1e-7 on the first level. Deeper trees are subsets of the same 128 values and not independent: summed over the number of
-values that agree, a pair at 0.8 is missed with 1.1e-04 and 1.1e-03 there, so links near the threshold can be lost in regions too
-large for the first level.
+d with probability s^d per tree, so ``trees`` trees that share no values miss a pair with (1 - s^d)^trees: at s = 0.8 with
+5e-8 on the first level. Regions too large for it are looked at deeper, by trees over min-hash values of their own that are
+worked out for these classes alone: 2e-8 and 1e-8 there.
 
-1. A few trees are sorted whole and neighbours with the longest common prefix are candidates: groups of copies link up
-   along the order, a few pairs per class whatever their size.
+1. Some trees are sorted whole. A class's candidates are its neighbours in the order, those with the longest common prefix,
+   where their sketches come near the threshold: groups of copies link up along the order, a few pairs per class whatever
+   their size.
 2. Regions that still hold two components or more are searched: each class takes its best partner by sketch in another
    component.
 3. What is left are components whose sketches may still reach the threshold somewhere. They form clusters, and the full
@@ -32,23 +32,22 @@ from pyspark.sql import functions as F
 
 from .common import parts, small_enough, stage, text_batches, tidied
 from .components import connected_components, looked_up
-from .shingles import SKETCH, set_digest, shingle_sets, sketches
+from .shingles import SKETCH, hash_functions, set_digest, shingle_sets, sketches
 
-__all__ = ["near_duplicates", "keep_one", "describe_sets", "forest", "tree_neighbours", "search_regions", "cluster_blocks", "compare_clusters", "confirm"]
+__all__ = ["near_duplicates", "keep_one", "describe_sets", "forest", "deep_forest", "tree_neighbours", "search_regions", "cluster_blocks", "compare_clusters", "confirm"]
 
-LEVELS = [(4, 32), (8, 96), (12, 256)]   # depth and trees; at 0.8 a pair is missed with 5e-8, 1.1e-04, 1.1e-03: deeper trees share sketch values
-ORDER_TREES = 2                          # trees that are sorted whole; what they miss is left to the search of regions
+LEVELS = [(4, 32), (8, 96), (12, 256)]   # depth and trees, none of which share values: at 0.8 a pair is missed with 5e-8, 2e-8, 1e-8
+ORDER_TREES = 4                          # trees that are sorted whole
+NEIGHBOURS = 2                           # places up the order that a class is compared with
 REGION_ROWS = 20_000                     # classes of a region searched in one task: 5 MB of sketches
 WANTED_ROWS = 400_000                    # of two longs, broadcast to find the texts whose full sets are needed
 BLOCK_ROWS = 512                         # classes of a block whose full sets are compared with another block's
 SIGMAS = 5.0                             # sketch agreement this far below the threshold rules a pair out
 
 
-def _values(tree: int, level: int, depth: int) -> np.ndarray:
-    """Places in the sketch that a tree reads, in order. Trees of the first level share none up to its depth."""
-    if level == 0:
-        return (np.arange(2 * depth) + tree * depth) % SKETCH
-    return np.random.default_rng([level, tree]).permutation(SKETCH)[:depth]
+def _values(tree: int, depth: int) -> np.ndarray:
+    """Places in the sketch that a tree of the first level reads, in order; none are shared up to its depth."""
+    return (np.arange(2 * depth) + tree * depth) % SKETCH
 
 
 def _least_agreement(similarity: float) -> int:
@@ -86,42 +85,64 @@ def _hashed(m: np.ndarray, tree: int, places: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def forest(classes: DataFrame, level: int, depth: int, trees: int) -> DataFrame:
-    """(region, id): the regions of each class, one per tree."""
+def forest(classes: DataFrame, depth: int, trees: int) -> DataFrame:
+    """(region, id): the regions of each class (id, sketch) on the first level, one per tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _matrix(batch.column("sketch"))
             for t in range(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(_hashed(m, t, _values(t, level, depth)[:depth])), batch.column("id")], names=["region", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(_hashed(m, t, _values(t, depth)[:depth])), batch.column("id")], names=["region", "id"])
 
     return classes.select("id", "sketch").mapInArrow(tidied(run), "region long, id long")
 
 
-def tree_neighbours(classes: DataFrame, depth: int, trees: int) -> DataFrame:
-    """(a, b): classes next to each other in a tree's order with a common prefix of ``depth`` or more. The order is cut
-    into ranges, so a region of any size spreads over tasks; a pair across a cut is left to the search of regions."""
+def deep_forest(sets: DataFrame, level: int, depth: int, trees: int) -> DataFrame:
+    """(region, id): the regions of each class (id, values) on a deeper level, by depth * trees min-hash values of its own."""
+    functions = hash_functions(level, depth * trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "values"):
+                m = sketches([np.frombuffer(v, np.uint64) for v in part.column("values").to_pylist()], functions)
+                for t in range(trees):
+                    yield pa.RecordBatch.from_arrays([pa.array(_hashed(m, t, np.arange(t * depth, t * depth + depth))), part.column("id")], names=["region", "id"])
+
+    return text_batches(sets.select("id", "values")).mapInArrow(tidied(run), "region long, id long")
+
+
+def tree_neighbours(classes: DataFrame, depth: int, trees: int, least: int) -> DataFrame:
+    """(a, b): classes at most NEIGHBOURS places apart in a tree's order with a common prefix of ``depth`` or more, whose
+    sketches agree in ``least`` values. The order is cut into ranges, so a region of any size spreads over tasks; a pair
+    across a cut is left to the search of regions."""
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _matrix(batch.column("sketch"))
             for t in range(trees):
                 key = np.empty(len(m), [("tree", "u1"), ("v", ">u2", 2 * depth)])
-                key["tree"], key["v"] = t, m[:, _values(t, 0, depth)]
-                yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in key], pa.binary()), batch.column("id")], names=["place", "id"])
+                key["tree"], key["v"] = t, m[:, _values(t, depth)]
+                yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in key], pa.binary()), batch.column("id"), batch.column("sketch")], names=["place", "id", "sketch"])
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, last_key, last_id = 1 + 2 * depth, b"", None
+        prefix = np.zeros((0, 1 + 2 * depth), np.uint8)
+        ids, m = np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint16)   # of the last rows of the batch before
         for batch in batches:
-            a, b = [], []
-            for key, i in zip(batch.column("place").to_pylist(), batch.column("id").to_pylist()):
-                if last_id is not None and key[:prefix] == last_key[:prefix] and i != last_id:
-                    a.append(min(i, last_id))
-                    b.append(max(i, last_id))
-                last_key, last_id = key, i
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    rows = classes.select("id", "sketch").mapInArrow(tidied(ordered), "place binary, id long")
+            if not batch.num_rows:
+                continue
+            keys = np.frombuffer(b"".join(batch.column("place").to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, :1 + 2 * depth]
+            prefix, ids, m = (np.concatenate(x) for x in ((prefix, keys), (ids, batch.column("id").to_numpy()), (m, _matrix(batch.column("sketch")))))
+            found = []
+            for lag in range(1, NEIGHBOURS + 1):
+                lo = np.arange(max(0, len(ids) - batch.num_rows - lag), len(ids) - lag)
+                near = (prefix[lo] == prefix[lo + lag]).all(axis=1) & (ids[lo] != ids[lo + lag])
+                lo = lo[near]
+                found.append(np.stack([lo, lo + lag])[:, (m[lo] == m[lo + lag]).sum(axis=1) >= least])
+            p, q = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], ids[q])), pa.array(np.maximum(ids[p], ids[q]))], names=["a", "b"])
+            prefix, ids, m = prefix[-NEIGHBOURS:], ids[-NEIGHBOURS:], m[-NEIGHBOURS:]
+
+    rows = classes.select("id", "sketch").mapInArrow(tidied(ordered), "place binary, id long, sketch binary")
     return rows.repartitionByRange("place", "id").sortWithinPartitions("place", "id").mapInArrow(tidied(paired), "a long, b long").distinct()
 
 
@@ -305,22 +326,21 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, values): the whole shingle sets of the wanted classes (id, doc), made again from one text of each."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    """(id, values): the whole shingle sets of the wanted classes (id, doc, text_a, text_b), made again from one row of each."""
+    source = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(F.lit(11), text_col).alias("_a"), F.xxhash64(F.lit(29), text_col).alias("_b"), F.col(text_col).alias("text"))
     if small_enough(wanted, WANTED_ROWS):
         wanted = F.broadcast(wanted)   # else the texts are shuffled to it
-    texts = source.join(wanted, source["doc"].eqNullSafe(wanted["doc"])).select("id", "text")
+    same = F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_a") == F.col("text_a")) & (F.col("_b") == F.col("text_b"))
+    texts = source.join(wanted, same).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), words)
-                own = [set_digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["own", "id", "values"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "values"])
 
-    # rows may share a doc_id: only the text that makes this set counts, once
-    made = texts.mapInArrow(tidied(run), "own long, id long, values binary").where("own = id").select("id", "values")
-    return stage(made)
+    # rows that repeat in id and text give a set each, which are one again before the shuffle
+    return stage(text_batches(texts).mapInArrow(tidied(run), "id long, values binary").groupBy("id").agg(F.first("values").alias("values")))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -361,7 +381,7 @@ def _links(classes: DataFrame, sets_of, percent: int) -> DataFrame | None:
     least, labels, sets, pending = _least_agreement(percent / 100), None, None, classes
     sketched = classes.select("id", "sketch")
     for level, (depth, trees) in enumerate(LEVELS):
-        rows = forest(pending, level, depth, trees)
+        rows = forest(pending, depth, trees) if level == 0 else deep_forest(sets.join(pending.select("id"), "id", "left_semi"), level, depth, trees)
         _, regions = _mixed(rows, labels)
         rows = stage(rows.join(regions, "region").select("region", "id"))
         if rows.isEmpty():
@@ -369,7 +389,7 @@ def _links(classes: DataFrame, sets_of, percent: int) -> DataFrame | None:
         met = stage(rows.select("id").distinct())
         if level == 0:
             sets = sets_of(met)
-            pairs = stage(tree_neighbours(classes.join(met, "id", "left_semi"), depth, ORDER_TREES))
+            pairs = stage(tree_neighbours(classes.join(met, "id", "left_semi"), depth, ORDER_TREES, least))
             if not pairs.isEmpty():
                 labels = connected_components(stage(confirm(pairs, sets, percent)))
         last = level == len(LEVELS) - 1
@@ -407,8 +427,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """near_duplicates with the names of the texts (text_a, text_b) and of the component (comp; null without a set)."""
     rows = stage(describe_sets(docs, words, id_col, text_col))
-    classes = stage(rows.where("n > 0").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")))
-    labels = _links(classes, lambda met: _full_sets(docs, stage(classes.join(met, "id", "left_semi").select("id", "doc")), words, id_col, text_col), percent)
+    classes = stage(rows.where("n > 0").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"),
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_a", "text_b")).alias("text")))   # the row that stands for all of a set
+    labels = _links(classes, lambda met: _full_sets(docs, stage(classes.join(met, "id", "left_semi").select("id", "doc", "text.text_a", "text.text_b")), words, id_col, text_col), percent)
     owned = _labelled(classes.select("id", "doc"), labels)
     if labels is not None:
         least = stage(owned.groupBy("comp").agg(F.min("doc").alias("component_id")))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,16 +135,38 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return later.select(*NAME, "start", "size", F.col("first.r1").alias("first"))
 
 
-def _runs(units: list, min_words: int) -> list[tuple[int, int, int, int | None]]:
-    """(start, end, words, earliest document) of repeated units in a row with enough words."""
-    out: list[list] = []
-    for u in sorted(units, key=lambda u: u["start"]):
-        end, words = u["start"] + (u["size"] >> 32), u["size"] & 0xFFFFFFFF
-        if out and out[-1][1] == u["start"]:   # units have no gaps between them
-            out[-1][1:3] = end, out[-1][2] + words
-        else:
-            out.append([u["start"], end, words, u["first"]])
-    return [tuple(run) for run in out if run[2] >= min_words]
+@dataclass
+class _Runs:
+    """Repeated units in a row with enough words, of a batch of rows: row number, start, end, words, earliest document."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    words: np.ndarray
+    first: pa.Array
+
+    def lists(self, rows: int, *columns: pa.Array) -> pa.Array:
+        """The columns as one list of structs (named as SPANS) for each row."""
+        ends = np.concatenate(([0], np.cumsum(np.bincount(self.row, minlength=rows)))).astype(np.int32)
+        fields = [pa.array(self.start, pa.int64()), pa.array(self.end, pa.int64()), pa.array(self.words, pa.int64()), self.first, *columns]
+        items = pa.StructArray.from_arrays(fields, names=[*SPAN, "passage"][:len(fields)])
+        return pa.ListArray.from_arrays(pa.array(ends), items, mask=pa.array(np.diff(ends) == 0) if rows else None)
+
+
+def _runs(starts: pa.Array, sizes: pa.Array, firsts: pa.Array, min_words: int) -> _Runs:
+    """Units come as lists in order of their start; they have no gaps, so a run goes on where the next starts at its end."""
+    row = np.repeat(np.arange(len(starts)), pc.fill_null(pc.list_value_length(starts), 0).to_numpy(zero_copy_only=False))
+    start = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = sizes.flatten().to_numpy(zero_copy_only=False)
+    if not len(row):
+        return _Runs(row, start, start, start, firsts.flatten())
+    end, words = start + (size >> 32), size & 0xFFFFFFFF
+    opens = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != end[:-1]))))
+    total = np.add.reduceat(words, opens)
+    closes = np.append(opens[1:], len(row)) - 1
+    keep = total >= min_words
+    opens, closes = opens[keep], closes[keep]
+    return _Runs(row[opens], start[opens], end[closes], total[keep], firsts.flatten().take(pa.array(opens)))
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -151,17 +175,21 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return units.groupBy(NAME).agg(F.collect_set(F.struct("start", "size", "first")).alias("units"))
 
 
+SPAN = ["start", "end", "words", "first"]
 SPANS = "array<struct<start:long,end:long,words:long,first:long>>"
+UNITS = ["__starts", "__sizes", "__firsts"]
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, out: str, made: Column) -> DataFrame:
-    """docs with ``out`` made from __units, the repeated units of the row, and from __found, its text if it has any."""
+    """docs with ``out`` made from UNITS, the row's repeated units in order, and from __found, its text if it has any."""
     found = _found(docs, id_col, text_col).withColumnsRenamed({n: f"__{n}" for n in [*NAME, "units"]})
     keyed = docs.drop(out).withColumns({f"__o{i}": c for i, c in enumerate(_order(id_col, text_col))})
     same = F.lit(True)
     for i in range(len(NAME)):
         same = same & keyed[f"__o{i}"].eqNullSafe(found[f"__r{i}"])
-    both = text_batches(keyed.join(found, same, "left")).withColumn("__found", F.when(F.col("__units").isNotNull(), F.col(text_col)))
+    units = F.array_sort("__units")
+    both = text_batches(keyed.join(found, same, "left")).withColumns({
+        "__found": F.when(F.col("__units").isNotNull(), F.col(text_col)), **{n: units[n[2:-1]] for n in UNITS}})
     return both.withColumn(out, made).select(*[c for c in docs.columns if c != out], out)
 
 
@@ -173,29 +201,38 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str
     ``min_words`` words, so single short repeats stay. Null and empty texts have no units. Rows that agree in id and text
     are one occurrence and come out alike. An empty table gives an empty result.
     """
-    def spans(units):
-        return (_runs(units, min_words) or None) if units is not None else None
-    return _marked(docs, id_col, text_col, out, F.udf(spans, SPANS, useArrow=True)("__units"))
+    def spans(starts: pa.Array, sizes: pa.Array, firsts: pa.Array) -> pa.Array:
+        return _runs(starts, sizes, firsts, min_words).lists(len(starts))
+    return _marked(docs, id_col, text_col, out, F.arrow_udf(spans, SPANS)(*UNITS))
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the later occurrences of repeated passages (see repeated_spans); documents made up of nothing else go.
     Only texts with repeated units go to Python, where each is walked once however many spans it has."""
-    def rest(text, units):
-        runs = _runs(units, min_words) if units is not None else []
-        if not runs:
-            return None
-        return "".join(text[a:b] for a, b in zip([0] + [r[1] for r in runs], [r[0] for r in runs] + [len(text)]))
-    cut = _marked(docs, id_col, text_col, "__rest", F.udf(rest, "string", useArrow=True)("__found", "__units"))
+    def rest(text: pa.Array, starts: pa.Array, sizes: pa.Array, firsts: pa.Array) -> pa.Array:
+        runs = _runs(starts, sizes, firsts, min_words)
+        out: list[str | None] = [None] * len(text)
+        ends = np.searchsorted(runs.row, np.arange(len(text) + 1))
+        for i in np.unique(runs.row).tolist():
+            t, own = text[i].as_py(), slice(ends[i], ends[i + 1])
+            out[i] = "".join(t[a:b] for a, b in zip([0] + runs.end[own].tolist(), runs.start[own].tolist() + [len(t)]))
+        return pa.array(out, pa.string())
+    cut = _marked(docs, id_col, text_col, "__rest", F.arrow_udf(rest, "string")("__found", *UNITS))
     left = cut.where(F.col("__rest").isNull() | F.col("__rest").rlike(WORD))
     return left.withColumn(text_col, F.coalesce("__rest", text_col)).select(docs.columns)
 
 
 def removed_passages(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, first_doc_id, start, end, n_words, passage of every span that dedup_passages cuts."""
-    def passages(text, units):
-        return [(*r, text[r[0]:r[1]]) for r in _runs(units, min_words)] if units is not None else None
+    def passages(text: pa.Array, starts: pa.Array, sizes: pa.Array, firsts: pa.Array) -> pa.Array:
+        runs, last, t, out = _runs(starts, sizes, firsts, min_words), -1, "", []
+        for i, a, b in zip(runs.row.tolist(), runs.start.tolist(), runs.end.tolist()):
+            if i != last:
+                last, t = i, text[i].as_py()
+            out.append(t[a:b])
+        return runs.lists(len(text), pa.array(out, pa.string()))
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = "array<struct<start:long,end:long,n_words:long,first_doc_id:long,passage:string>>"
-    marked = _marked(named, "doc_id", "text", "s", F.udf(passages, kind, useArrow=True)("__found", "__units"))
-    return marked.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.first_doc_id", "s.start", "s.end", "s.n_words", "s.passage")
+    marked = _marked(named, "doc_id", "text", "s", F.arrow_udf(passages, SPANS[:-2] + ",passage:string>>")("__found", *UNITS))
+    s = F.col("s")
+    return marked.select("doc_id", F.explode("s").alias("s")).select(
+        "doc_id", s["first"].alias("first_doc_id"), s["start"].alias("start"), s["end"].alias("end"), s["words"].alias("n_words"), s["passage"].alias("passage"))

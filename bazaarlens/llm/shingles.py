@@ -9,7 +9,7 @@ import xxhash
 
 from .common import CACHES
 
-__all__ = ["SKETCH", "Words", "mixed", "word_hashes", "shingle_sets", "sketches", "set_digest"]
+__all__ = ["SKETCH", "Words", "mixed", "word_hashes", "shingle_sets", "sketches", "hash_functions", "set_digest"]
 
 SKETCH = 128                     # min-hash values of a sketch
 _RNG = np.random.default_rng(20240229)
@@ -98,10 +98,17 @@ def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def sketches(sets: list[np.ndarray], block: int = 40_000) -> np.ndarray:
-    """A row of SKETCH min-hash values for each set, of which 16 bits are kept: unlike values agree by chance once in 65,536
-    times, which can only add candidates. Sets must not be empty."""
-    out = np.empty((len(sets), SKETCH), np.uint16)
+def hash_functions(level: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n hash functions of a level; no two levels share any."""
+    rng = np.random.default_rng([20240229, level])
+    return rng.integers(1, 2**63, n, np.uint64) | np.uint64(1), rng.integers(1, 2**63, n, np.uint64)
+
+
+def sketches(sets: list[np.ndarray], functions: tuple[np.ndarray, np.ndarray] = (_SEED, _SHIFT), block: int = 40_000) -> np.ndarray:
+    """A row of min-hash values for each set, one a function, of which 16 bits are kept: unlike values agree by chance once
+    in 65,536 times, which can only add candidates. Sets must not be empty."""
+    seed, shift = functions
+    out = np.empty((len(sets), len(seed)), np.uint16)
     a = 0
     while a < len(sets):
         b, size = a + 1, len(sets[a])
@@ -110,8 +117,8 @@ def sketches(sets: list[np.ndarray], block: int = 40_000) -> np.ndarray:
             b += 1
         x = np.concatenate(sets[a:b])
         starts = np.concatenate(([0], np.cumsum([len(v) for v in sets[a:b]])[:-1]))
-        for j in range(SKETCH):
-            least = np.minimum.reduceat(x * _SEED[j] + _SHIFT[j], starts)   # leading bits of a minimum are mostly zero
+        for j in range(len(seed)):
+            least = np.minimum.reduceat(x * seed[j] + shift[j], starts)   # leading bits of a minimum are mostly zero
             out[a:b, j] = mixed(least) & np.uint64(0xFFFF)
         a = b
     return out

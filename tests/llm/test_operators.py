@@ -13,14 +13,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens.llm import near
-from bazaarlens.llm.common import read
+from bazaarlens.llm.common import read, stage
 from bazaarlens.llm.components import connected_components
 from bazaarlens.llm.exact import exact_dedup
 from bazaarlens.llm.html import extract_pages, page_text
 from bazaarlens.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from bazaarlens.llm.lines import dedup_lines
 from bazaarlens.llm.packing import encode_pieces, pack_documents, packing_plan
-from bazaarlens.llm.passages import MIN_RUN_WORDS, dedup_passages, removed_passages, split_units
+from bazaarlens.llm.passages import MIN_RUN_WORDS, dedup_passages, removed_passages, repeated_spans, split_units
 from bazaarlens.llm.pieces import PieceModel, decode_column, encode_column, token_digests
 from bazaarlens.llm.quality import analyse, fit_lines, fit_on_labels, keep_good, quality_report, viterbi
 from bazaarlens.llm.sharding import kd_shards
@@ -90,6 +90,42 @@ def test_large_regions_are_searched_deeper_and_in_blocks(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, 4, 80)
 
 
+def test_pairs_at_the_threshold_meet_on_every_level(spark):
+    """Planted pairs of sets at 0.80 to 0.82: each level by itself brings all of them together."""
+    rng, sets = np.random.default_rng(6), []
+    for k in range(400):
+        common, own = 400, 44 + k % 7
+        values = rng.integers(1, 2**63, common + 2 * own, np.uint64)
+        assert 0.80 <= common / (common + 2 * own) < 0.82
+        sets += [np.unique(np.concatenate((values[:common], values[common + side * own:common + (side + 1) * own]))) for side in (0, 1)]
+    rows = [(i, s.tobytes(), x.tobytes()) for i, (s, x) in enumerate(zip(sets, near.sketches(sets)))]
+    classes = stage(spark.createDataFrame(rows, "id long, values binary, sketch binary"))
+    for level, (depth, trees) in enumerate(near.LEVELS):
+        forest = near.forest(classes, depth, trees) if level == 0 else near.deep_forest(classes, level, depth, trees)
+        met = forest.groupBy("region", F.floor(F.col("id") / 2).alias("pair")).count().where("count > 1").select("pair").distinct().count()
+        assert met == 400
+
+
+def test_neighbours_in_sorted_orders_are_near(spark):
+    """Copies with a few words changed are found by the sorted orders alone, a few pairs each however many there are."""
+    rng = random.Random(7)
+    root = [f"r{i}" for i in range(300)]
+    rows = [(i, " ".join(w if rng.random() > 0.004 else f"v{rng.randrange(10**6)}" for w in root)) for i in range(300)]
+    classes = near.describe_sets(spark.createDataFrame(rows, "doc_id long, text string"), 5, "doc_id", "text").select(F.col("doc_id").alias("id"), "sketch")
+    pairs = near.tree_neighbours(stage(classes), 4, near.ORDER_TREES, 90).collect()
+    assert len(pairs) <= 300 * near.ORDER_TREES * near.NEIGHBOURS
+    assert len({x for p in pairs for x in p}) > 290
+
+
+def test_sets_of_rows_that_share_ids(spark):
+    """Half the rows have no id or one id, with texts that differ or repeat: each set is made once, from its own text."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)] * 3 + [(100 + i, t + " more") for i, t in enumerate(texts)]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, 5, 80)
+
+
 def test_components_of_long_chains(spark):
     order = list(range(2000))
     random.Random(1).shuffle(order)
@@ -220,6 +256,9 @@ def test_many_spans_of_one_text_are_cut_in_one_walk(spark):
 def test_passages_on_edge_rows(edge, empty):
     out = dedup_passages(edge)
     assert out.columns == edge.columns
+    marked = repeated_spans(edge, out="spans")
+    assert marked.columns == [c for c in edge.columns if c != "spans"] + ["spans"] and marked.count() == edge.count()
+    assert marked.where("spans is not null and doc_id = 50").count() == 2
     kept = collections.Counter(r["doc_id"] for r in out.collect())
     assert kept[50] == 0 and kept[0] == 1 and kept[60] == 1 and kept[2] == 1 and kept[4] == 1   # copies of 0 go, null and empty stay
     assert dedup_passages(empty).collect() == [] and removed_passages(empty).collect() == []

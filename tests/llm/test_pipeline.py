@@ -30,7 +30,7 @@ def test_each_stage_on_all_its_input(spark):
             failed = {d for d, t in before.items() if brute_quality(t)[-1]}
             assert failed.isdisjoint(after) and all(before[d] == t for d, t in after.items()) and len(after) > 0.9 * (len(before) - len(failed)) - 20
         elif name == "line_dedup":
-            want = {d: x for (d, t), (_, gone, x) in brute_lines(list(before.items())).items() if not gone or x.strip(" ")}
+            want = {d: x for (d, t), (_, gone, x) in brute_lines(list(before.items())).items() if not gone or x.strip(" \t\n\r\x0b\x0c")}
             assert after == want
         elif name == "near_dedup":
             assert set(after) == {c for _, _, c in brute_components(list(before.items()), 5, 80)} and all(before[d] == t for d, t in after.items())
@@ -44,6 +44,13 @@ def test_each_stage_on_all_its_input(spark):
             assert {r["doc_id"] for r in got} == set(before) and all(r["n"] == r["m"] + 1 for r in got)
 
 
+def test_line_dedup_leaves_nothing_blank_and_no_column_changed(spark):
+    rows = [(1, "a\nb\nc", "one", 4), (2, "a\nb\nc\n\n\t", "two", 5), (3, "x\n\n", "three", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, n_removed long")
+    out = corpus_pipeline.line_dedup(spark, docs, BASE)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
 def test_run_is_its_stages(spark):
     docs = read(spark, BASE)
     for _, step in corpus_pipeline.STAGES:
