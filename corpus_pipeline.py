@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import read, stage
+from bazaarlens.llm.common import WORD, read, release, stage
 from bazaarlens.llm.lines import dedup_lines
 from bazaarlens.llm.near import keep_one
 from bazaarlens.llm.packing import pack_documents
@@ -27,8 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows are cut; documents made up of nothing else go."""
-    cut = dedup_lines(docs)
-    return _sized(cut.where("n_removed = 0 or length(trim(text)) > 0").select(docs.columns))
+    names = [f"__{i}" for i in range(len(docs.columns))]   # columns of the documents named like the operator's own stay as they are
+    text = names[docs.columns.index("text")]
+    cut = dedup_lines(docs.toDF(*names), id_col=names[docs.columns.index("doc_id")], text_col=text)
+    return _sized(cut.where((F.col("n_removed") == 0) | F.col(text).rlike(WORD)).select(names).toDF(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir)
+    """The packed pieces of all that the stages keep. A stage's table goes as soon as the next one is stored; the last is
+    read by the result, and remove_stored() or the end of Python takes it."""
+    docs, before = read(spark, sf_dir), []
     for k, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stage(docs)
+            release(*before)
+            before = [docs]
     return docs
