@@ -12,7 +12,7 @@ from ..params import MIN_ORDERS_COMPLETE_MONTH
 
 __all__ = ["month_panel", "suggest_min_orders", "complete_window", "within", "month_pairs",
            "daily_customer_panel", "month_states", "daily_dim_panel", "category_month",
-           "month_totals", "dim_month"]
+           "month_totals", "dim_month", "wide"]
 
 
 def _delivered(value: Column) -> Column:
@@ -142,3 +142,21 @@ def month_totals(orders: DataFrame) -> DataFrame:
             .agg(F.coalesce(F.sum("is_delivered"), F.lit(0)).alias("delivered_orders"),
                  *[_delivered(F.col(c)).alias(c) for c in ("item_cnt", "item_amount", "freight_amount")],
                  F.count_if(empty).alias("delivered_no_item")))
+
+
+WIDE_COLUMNS = 1000   # names that a wide table may have
+
+
+def wide(df: DataFrame, index: list[str], column: str, values: list[str], names: list | None = None) -> DataFrame:
+    """Long to wide: a row per ``index`` and, for each name in ``column`` and each value, a column ``<value>_<name>``, or
+    ``<name>`` where there is one value. The first non-null value counts where several rows meet; missing ones are null.
+
+    ``names`` fixes the columns and their order, so no pass is spent on finding them; else they are all distinct names,
+    sorted, null left out, and more than WIDE_COLUMNS are an error, not a cut.
+    """
+    if names is None:
+        names = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(WIDE_COLUMNS + 1).collect())
+        if len(names) > WIDE_COLUMNS:
+            raise ValueError(f"{column} has more than {WIDE_COLUMNS} names")
+    label = lambda v, n: str(n) if len(values) == 1 else f"{v}_{n}"
+    return df.groupBy(*index).agg(*[F.first(F.when(F.col(column) == n, F.col(v)), ignorenulls=True).alias(label(v, n)) for n in names for v in values])

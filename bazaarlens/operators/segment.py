@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..sources.recovery import cut_lineage
 from .ordering import ntile, quantiles
 
 __all__ = ["user_profile", "rfm_code", "rfm_cells", "rfm_summary", "rfm_segments", "log_standardise",
-           "kmeans_sweep", "assign", "silhouette", "silhouettes", "crosstab", "adjusted_rand", "cluster_profile",
+           "kmeans_sweep", "assign", "silhouette", "silhouettes", "euclidean_silhouette", "crosstab", "adjusted_rand", "cluster_profile",
            "RFM_COLUMNS"]
 
 RFM_COLUMNS = ("recency_days", "order_cnt", "monetary")
@@ -208,6 +209,58 @@ def silhouette(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     return df.select(s.alias("s")).agg(F.avg("s").alias("silhouette"))
 
 
+TILE_ROWS = 4096   # distinct points on a side of a tile
+
+
+def _tile_sums(cols: list[str], labels: list):
+    """For each point of the left side, the sums of its distances to the points of each label on the right side."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sums = np.zeros((left.num_rows, len(labels)))
+        if left.num_rows and right.num_rows:
+            x, y = (np.column_stack([t.column(c).to_numpy() for c in cols]).astype(float) for t in (left, right))
+            weight = np.zeros((right.num_rows, len(labels)))
+            weight[np.arange(right.num_rows), right.column("_l").to_numpy()] = right.column("_w").to_numpy()
+            for a in range(0, len(x), 512):
+                d = np.sqrt(((x[a:a + 512, None, :] - y[None]) ** 2).sum(axis=2))
+                sums[a:a + 512] = d @ weight
+        return pa.table({"_id": left.column("_id"), **{f"s{k}": pa.array(sums[:, k]) for k in range(len(labels))}})
+    return run
+
+
+def euclidean_silhouette(df: DataFrame, cols: list[str], label: str) -> DataFrame:
+    """silhouette: the mean over all rows, with Euclidean distances, of (b - a) / max(a, b), where a is a row's mean distance
+    to the others of its label and b the least mean distance to another label.
+
+    Equal points of a label are one with a weight. Points are dealt into tiles of about TILE_ROWS, every tile meets every
+    tile, and each meeting gives one row of sums per point; no table of pairs is made. A row alone in its label counts 0,
+    as does every row when there is one label; a table without rows gives null. Labels must be few; rows with a null
+    label or coordinate are left out.
+    """
+    known = df.where(F.col(label).isNotNull() & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
+    sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
+    labels = sorted(sizes)
+    if len(labels) < 2:
+        return known.agg(F.avg(F.lit(0.0)).alias("silhouette"))
+    number = F.element_at(F.create_map(*[F.lit(v) for k in labels for v in (k, labels.index(k))]), F.col(label))
+    points = known.groupBy(number.alias("_l"), *[F.col(c).cast("double").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("_w"))
+    points = cut_lineage(points.withColumn("_id", F.xxhash64(F.monotonically_increasing_id())))
+    tiles = -(-points.count() // TILE_ROWS)
+    dealt = points.withColumn("_own", F.pmod("_id", F.lit(tiles)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    left = dealt.withColumnsRenamed({"_own": "_x", "_other": "_y"})
+    right = dealt.withColumnsRenamed({"_own": "_y", "_other": "_x"})
+    schema = "_id long, " + ", ".join(f"s{k} double" for k in range(len(labels)))
+    sums = left.groupBy("_x", "_y").cogroup(right.groupBy("_x", "_y")).applyInArrow(_tile_sums(cols, labels), schema)
+    total = sums.groupBy("_id").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(labels))]).join(points, "_id")
+    inf = F.lit(float("inf"))
+    own, other = inf, inf
+    for k, name in enumerate(labels):
+        mine = F.col("_l") == k
+        own = F.when(mine, F.col(f"s{k}") / (sizes[name] - 1) if sizes[name] > 1 else F.lit(None)).otherwise(own)
+        other = F.least(other, F.when(mine, inf).otherwise(F.col(f"s{k}") / sizes[name]))
+    s = F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0))
+    return total.agg((F.sum(s * F.col("_w")) / F.sum("_w")).alias("silhouette"))
+
+
 def silhouettes(df: DataFrame, cols: list[str], models: dict) -> dict[int, float]:
     """The silhouette of each K's clustering."""
     return {k: silhouette(assign(df, cols, m["centres"], "_c"), cols, "_c").first()[0] for k, m in models.items()}

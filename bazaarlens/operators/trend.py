@@ -1,19 +1,22 @@
-"""Trend tests and mean change points on short series, many keys at once.
+"""Trend tests and mean change points, many keys at once.
 
-A series has one point per calendar period, so a key never holds more rows than the
-calendar has periods whatever the size of the fact tables behind it.
+A calendar series has one point per period, so a key never holds more rows than the calendar has periods whatever the size
+of the fact tables behind it. ``mann_kendall_long`` is for series of events, which grow with the facts.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mk_min_p, two_sided_p
 from ..params import ALPHA, MAX_BREAKS, MIN_SEGMENT
 from ..sources.recovery import cut_lineage
+from .ordering import ordered_totals
 
-__all__ = ["mann_kendall", "log_slope", "change_points", "segment_report"]
+__all__ = ["mann_kendall", "mann_kendall_long", "log_slope", "change_points", "segment_report"]
 
 
 def mann_kendall(df: DataFrame, keys: list[str], t: str, y: str, alpha: float = ALPHA) -> DataFrame:
@@ -24,7 +27,7 @@ def mann_kendall(df: DataFrame, keys: list[str], t: str, y: str, alpha: float =
     """
     pts = df.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
     g = pts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(t).alias("t"), F.col(y).cast("double").alias("y")))).alias("_s"))
+        F.col(t).alias("t"), (F.col(y).cast("double") + 0.0).alias("y")))).alias("_s"))   # -0.0 ties with 0.0
     g = g.withColumn("_y", F.transform("_s", lambda p: p["y"])).withColumn("n", F.size("_y"))
     y_ = F.col("_y")
     s = F.when(F.col("n") >= 2, F.aggregate(
@@ -34,8 +37,13 @@ def mann_kendall(df: DataFrame, keys: list[str], t: str, y: str, alpha: float =
     def tie_term(a, v):
         c = F.size(F.filter(y_, lambda x: x == v)).cast("double")
         return a + c * (c - 1) * (2 * c + 5)
-    n = F.col("n").cast("double")
     g = g.withColumns({"s": s, "_ties": F.aggregate(F.array_distinct(y_), F.lit(0.0), tie_term)})
+    return _tested(g, keys, alpha)
+
+
+def _tested(g: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """The test's columns from n, s and the tie term."""
+    n = F.col("n").cast("double")
     var = (n * (n - 1) * (2 * n + 5) - F.col("_ties")) / 18
     enough = F.col("n") >= 4
     g = g.withColumns({
@@ -53,6 +61,51 @@ def mann_kendall(df: DataFrame, keys: list[str], t: str, y: str, alpha: float =
                                                "can_detect", "trend")
 
 
+BLOCK_BITS = 10   # points of a block whose pairs are compared in one task: 2 ** 10
+
+
+def _signs(y: pa.Array) -> pa.Array:
+    """Of each list, the pairs that rise less those that fall."""
+    out = []
+    for values in y:
+        v = np.asarray(values.values.to_numpy(zero_copy_only=False), dtype=float)
+        out.append(int(sum(np.sign(v[i + 1:] - v[i]).sum() for i in range(len(v) - 1))))
+    return pa.array(out, pa.int64())
+
+
+def mann_kendall_long(df: DataFrame, keys: list[str], t: str, y: str, alpha: float = ALPHA) -> DataFrame:
+    """mann_kendall for series of any length: n log n work, no series in one task. Times are numbers and differ within a key.
+
+    Points are numbered by time. Two numbers first differ in some bit; of a pair, the one without the bit is earlier. So for
+    each bit from BLOCK_BITS on, the points that agree above it are two runs, and the pairs across them are counted by
+    adding up the earlier run along the values, as sorted runs are merged. What differs in lower bits only lies in one
+    block and is compared there. Rows with a null or NaN value drop out, as do those without a time.
+    """
+    pts = df.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")) & F.col(t).isNotNull())
+    pts = pts.select(*keys, F.col(t).cast("double").alias("_t"), (F.col(y).cast("double") + 0.0).alias("_y"))
+    placed = cut_lineage(ordered_totals(pts, "_t", {"_i": F.lit(1)}, keys).select(*keys, "_y", F.col("_i_before").cast("long").alias("_i")))
+    same = placed.groupBy(*keys, "_y").agg(F.count(F.lit(1)).alias("c"))
+    c = F.col("c").cast("double")
+    size = same.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(c * (c - 1) * (2 * c + 5)).alias("_ties"))
+    block = F.shiftright("_i", BLOCK_BITS)
+    lists = placed.groupBy(*keys, block.alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_i", "_y"))).alias("_p"))
+    parts = lists.select(*keys, F.arrow_udf(_signs, "long")(F.col("_p._y")).alias("_s"))
+    most = placed.agg(F.max("_i")).first()[0] or 0
+    levels = list(range(BLOCK_BITS, int(most).bit_length()))
+    if levels:
+        bit = placed.withColumn("_bit", F.explode(F.array(*[F.lit(b) for b in levels])))
+        bit = bit.select(*keys, "_y", "_bit", F.expr("shiftright(_i, _bit + 1)").alias("_run"), F.expr("shiftright(_i, _bit) & 1").alias("_late"))
+        runs = bit.groupBy(*keys, "_bit", "_run", "_y").agg(F.sum(1 - F.col("_late")).alias("_l"), F.sum("_late").alias("_r"))
+        group = [*keys, "_bit", "_run"]
+        runs = cut_lineage(runs)
+        all_left = runs.groupBy(*group).agg(F.sum("_l").alias("_all"))
+        below = ordered_totals(runs, "_y", {"_less": F.col("_l")}, group).join(all_left, group)
+        rise = F.col("_less_before") - (F.col("_all") - F.col("_less_before") - F.col("_l"))
+        parts = parts.unionByName(below.select(*keys, (F.col("_r") * rise).cast("long").alias("_s")))
+    s = parts.groupBy(*keys).agg(F.sum("_s").cast("double").alias("s"))
+    return _tested(size.join(s, keys).withColumn("n", F.col("n").cast("int")), keys, alpha)
+
+
 def log_slope(df: DataFrame, keys: list[str], t: str, y: str, out: str = "slope_log") -> DataFrame:
     """OLS slope of ln(y) on 0..k-1 over the positive values; fewer than 3 give NULL."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(t)

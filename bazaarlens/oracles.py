@@ -653,12 +653,20 @@ def build() -> dict[str, str]:
         "st AS (SELECT rfm_code, count(*) AS m, sum(z0) AS s0, sum(z1) AS s1, sum(z2) AS s2, sum(z0 * z0 + z1 * z1 + z2 * z2) AS qq FROM zc GROUP BY 1)",
         "dd AS (SELECT zc.id, zc.rfm_code = st.rfm_code AS own, st.m, (SELECT m FROM st x WHERE x.rfm_code = zc.rfm_code) AS own_n, "
         "st.m * (z0 * z0 + z1 * z1 + z2 * z2) + qq - 2 * (z0 * s0 + z1 * s1 + z2 * s2) AS t FROM zc, st)")
+    o["cell_silhouette_euclidean"] = q(
+        f"SELECT {r('avg(CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END)')} AS silhouette FROM (SELECT id, any_value(own_n) AS n, max(CASE WHEN own THEN t / (own_n - 1) END) AS a, min(CASE WHEN NOT own THEN t / m END) AS b FROM ed GROUP BY id)",
+        f"zc AS MATERIALIZED (SELECT customer_unique_id AS id, rfm_code, {z3} FROM cells)",
+        "ns AS (SELECT rfm_code, count(*) AS m FROM zc GROUP BY 1)",
+        "ed AS (SELECT a.id, a.rfm_code = b.rfm_code AS own, any_value(nb.m) AS m, any_value(na.m) AS own_n, "
+        "sum(sqrt(pow(a.z0 - b.z0, 2) + pow(a.z1 - b.z1, 2) + pow(a.z2 - b.z2, 2))) AS t FROM zc a JOIN ns na ON na.rfm_code = a.rfm_code, zc b JOIN ns nb ON nb.rfm_code = b.rfm_code GROUP BY a.id, a.rfm_code, b.rfm_code)")
     zs = ", ".join(f"{r(f'(ln(1 + greatest(0, CAST({c} AS DOUBLE))) - avg(ln(1 + greatest(0, CAST({c} AS DOUBLE)))) OVER ()) / stddev_pop(ln(1 + greatest(0, CAST({c} AS DOUBLE)))) OVER ()')} AS z_{c}" for c in ("recency_days", "order_cnt", "monetary"))
     o["rfm_standardised"] = q(f"SELECT customer_unique_id, {zs} FROM profile")
     o["price_quartiles_by_category"] = q(f"SELECT category_en, {r('quantile_cont(CAST(price AS DOUBLE), 0.25)', 4)} AS q1, {r('quantile_cont(CAST(price AS DOUBLE), 0.5)', 4)} AS med, {r('quantile_cont(CAST(price AS DOUBLE), 0.75)', 4)} AS q3 FROM items WHERE category_en IS NOT NULL GROUP BY category_en")
     # risk
     dig = {"avg_distance_km": 4, "order_amount": 4}
     o["order_features"] = q(f"SELECT order_id, {m}, {i('is_bad')} AS is_bad, " + ", ".join(f"{r(c, dig.get(c, 6))} AS {c}" for c in RISK_FEATURES) + " FROM feat", FEATURES)
+    checks = ", ".join(f"('{c}')" for c in ("leaf_rows", "small_leaves", "leaf_values", "large_trees", "worse_loss"))
+    o["leafwise_certificate"] = q(f'SELECT v.c AS "check", (SELECT count(*) FROM feat WHERE stat_month < DATE \'{TEST_MONTH}\') AS rows, CAST(0 AS BIGINT) AS violations FROM (VALUES {checks}) v(c)', FEATURES)
     o["average_precision"] = q(f"SELECT {r('sum(pos * cp::DOUBLE / cn) / any_value(pos_all)')} AS average_precision FROM bt", *BY_SCORE)
     o["roc_auc"] = q(f"SELECT {r('sum((n - pos) * ((cp - pos) + 0.5 * pos)) / (any_value(pos_all)::DOUBLE * any_value(neg_all))')} AS roc_auc FROM bt", *BY_SCORE)
     o["brier_score"] = q(f"SELECT {r('avg(pow(score - is_bad, 2))')} AS brier FROM mscore")
@@ -742,6 +750,13 @@ def build() -> dict[str, str]:
                        "FULL JOIN (SELECT ow.stat_month, count(*) AS n, sum(price) AS a FROM items JOIN ow USING (order_id) WHERE is_delivered = 1 AND category_en IS NOT NULL GROUP BY 1) c ON c.stat_month = t.stat_month "
                        "FULL JOIN panel p ON p.stat_month = coalesce(t.stat_month, c.stat_month)")
     o["orders_without_items"] = f"SELECT o_orderkey AS order_id, {d('o_orderdate')} AS purchase_ts FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"
+    side = lambda v, g: f"max(CASE WHEN group_code = '{g}' THEN {v} END) AS {v}_{g}"
+    o["stage_durations_wide"] = (f"SELECT stage_code, {', '.join(side(v, g) for v in ('mean_hours', 'ci_low', 'ci_high') for g in ('late', 'on_time'))} "
+                                 f"FROM ({o['stage_durations']}) GROUP BY stage_code")
+    o["strategy_sensitivity_wide"] = ("SELECT strategy, " + ", ".join(f"max(CASE WHEN abs(rescue_rate - {p}) < 1e-9 THEN roi END) AS p{round(100 * p)}" for p in RESCUE_RATES)
+                                      + f" FROM ({o['strategy_sensitivity']}) WHERE abs(bad_value - {BAD_VALUE}) < 1e-9 GROUP BY strategy")
+    o["event_value_trend"] = f"WITH {', '.join(['es AS (SELECT event_type, event_id AS t, value AS y FROM events)', *mann_kendall('es', 'event_type')])} SELECT event_type, {MK_COLS} FROM mk"
+    o["multi_line_file"] = (f"SELECT {i('event_id % 100 = 0')} AS is_bad, count(*) AS records, count(*) AS whole, count(*) AS numbered FROM events GROUP BY 1")
     o["keyed_update"] = q(f"SELECT {d('f.stat_month')} AS stat_month, f.order_cnt, {r('CASE WHEN p.stat_month IS NULL THEN -1.0 ELSE p.delivered_cnt::DOUBLE / p.order_cnt END')} AS mk_tau, CASE WHEN p.stat_month IS NULL THEN 'stale' ELSE 'fresh' END AS note "
                           "FROM fulfil f LEFT JOIN (SELECT panel.* FROM panel, win WHERE stat_month BETWEEN s AND e AND gmv > gmv_all * 0.66) p ON p.stat_month = f.stat_month")
     o["bound_query"] = q(f"SELECT {m}, {r('gmv', 2)} AS gmv, order_cnt FROM panel2 WHERE is_complete_month = 1 AND stat_month >= DATE '1997-01-01'")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import clipped_log1p, day_of, month_start, rounded
+from .operators import boosting as G
 from .operators import compare as C
 from .operators import decompose as D
 from .operators import marts as M
@@ -26,8 +27,9 @@ from .operators import segment as S
 from .operators import strategy as X
 from .operators import survival as V
 from .operators import trend as E
+from .params import BAD_VALUE, RESCUE_RATES, RISK_FEATURES
 from .plans import customers, delivery, revenue, risk_report
-from .sources import Canonical, cut_lineage, query, read_table, ship_package, update_columns
+from .sources import Canonical, cut_lineage, query, read_csv, store_csv, read_table, ship_package, update_columns
 
 # assumed strategy parameters of the registered what-if queries
 ASSUMED = {"p1_expedite_cost": 8.0, "p2_voucher_face": 15.0, "p2_redeem_rate": 0.6, "p2_contact_cost": 2.0,
@@ -345,6 +347,13 @@ def stage_durations(t):
     return C.stage_durations(v).drop("is_significant")
 
 
+@register(**{f"{v}_{g}": 4 for v in ("mean_hours", "ci_low", "ci_high") for g in ("late", "on_time")})
+def stage_durations_wide(t):
+    """The stage table as it is read: a row per stage, the groups side by side."""
+    v = C.valid_deliveries(t.inside).withColumn("d", day_of("purchase_ts"))
+    return P.wide(C.stage_durations(v), ["stage_code"], "group_code", ["mean_hours", "ci_low", "ci_high"], ["late", "on_time"])
+
+
 # ---------------------------------------------------------------- subject tables
 @register(gmv=4)
 def daily_revenue(t): return M.daily_revenue(t.orders)
@@ -454,6 +463,13 @@ def cell_silhouette(t):
     return S.silhouette(z, [f"z_{c}" for c in S.RFM_COLUMNS], "rfm_code")
 
 
+@register()
+def cell_silhouette_euclidean(t):
+    """The same with Euclidean distances, over all rows."""
+    z = S.log_standardise(S.rfm_cells(t.profile), S.RFM_COLUMNS)
+    return S.euclidean_silhouette(z, [f"z_{c}" for c in S.RFM_COLUMNS], "rfm_code")
+
+
 @register()
 def cluster_evaluation(t): return customers.cluster_evaluation(t.profile)
 
@@ -468,6 +484,30 @@ def price_quartiles_by_category(t):
 def order_features(t): return t.features
 
 
+LEAF_ROUNDS = 10   # of the registered leaf-wise models; the library's default is BOOST_ROUNDS
+
+
+def _leafwise(t):
+    train, test = R.time_split(cut_lineage(t.features), TEST_MONTH)
+    w0, w1 = R.prepare(train).weights
+    train = cut_lineage(train.withColumn("_w", F.when(F.col("is_bad") == 1, w1).otherwise(w0)))
+    return train, test, G.fit_leafwise(train, list(RISK_FEATURES), weight="_w", rounds=LEAF_ROUNDS)
+
+
+@register()
+def leafwise_evaluation(t):
+    """Leaf-wise boosted trees with native missing values: ranking metrics of both time parts."""
+    train, test, model = _leafwise(t)
+    return G.evaluated(model, train, test)
+
+
+@register()
+def leafwise_certificate(t):
+    """What must hold of any such model, counted over its training rows: no violations."""
+    train, _, model = _leafwise(t)
+    return G.certificate(model, train, "is_bad", "_w")
+
+
 @register()
 def average_precision(t): return R.average_precision(t.model_scores)
 
@@ -534,6 +574,14 @@ def strategy_roi(t): return X.roi(X.strategy_coverage(t.pool), t.params)
 def strategy_sensitivity(t): return X.sensitivity(X.strategy_coverage(t.pool), t.params)
 
 
+@register(**{f"p{round(100 * p)}": 5 for p in RESCUE_RATES})
+def strategy_sensitivity_wide(t):
+    """ROI at the middle value of a bad review: a row per strategy, the rescue rates side by side."""
+    s = X.sensitivity(X.strategy_coverage(t.pool), t.params).where(F.abs(F.col("bad_value") - BAD_VALUE) < 1e-9)
+    name = F.concat(F.lit("p"), F.round(F.col("rescue_rate") * 100).cast("int").cast("string"))
+    return P.wide(s.withColumn("rate", name), ["strategy"], "rate", ["roi"], [f"p{round(100 * p)}" for p in RESCUE_RATES])
+
+
 @register(allocated=3, expected_net=2, expected_roi=4, alloc_pct=4)
 def strategy_budget(t): return X.budget_plan(X.roi(X.strategy_coverage(t.pool), t.params))
 
@@ -550,6 +598,28 @@ def shape_report(t):
                               "o_custkey": r"^[0-9]{1,3}$"})
 
 
+@register(z=5, tau=5)
+def event_value_trend(t):
+    """Trend of the values of each event type, event by event: series that grow with the facts."""
+    ev = read_table(t.spark, "events", t.c.base)
+    return E.mann_kendall_long(ev, ["event_type"], "event_id", "value")
+
+
+@register()
+def multi_line_file(t):
+    """Events written as a CSV file with quotes and line breaks in its fields and read back by many tasks: records, those whose
+    text came back whole, the highest record number of a file's, and values that did not fit."""
+    ev = read_table(t.spark, "events", t.c.base)
+    # as a raw export would be: JSON next to free text of several lines; every hundredth value is no number
+    told = ev.select("event_id", F.concat(F.col("event_type"), F.lit("\nsaid \""), F.col("props"), F.lit("\",\n\nthen left")).alias("note"),
+                     F.when(F.col("event_id") % 100 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("value"))
+    path = store_csv(told)
+    back = read_csv(t.spark, path, T.StructType.fromDDL("event_id BIGINT, note STRING, value DOUBLE"), multi_line=True)
+    both = back.join(told.select(F.col("event_id"), F.col("note").alias("was")), "event_id", "left")
+    return both.groupBy(F.col("_bad").isNotNull().alias("is_bad")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("note") == F.col("was")).alias("whole"), F.count_if(F.col("_record") >= 1).alias("numbered"))
+
+
 @register()
 def bad_rows(t):
     o = t.c.raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority")

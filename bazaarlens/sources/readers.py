@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .multiline import read_multi_line
+
 __all__ = ["read_table", "query", "table_exists", "read_csv", "read_raw", "RAW_SCHEMAS", "MULTI_LINE"]
 
 # Raw layer, one file each. Timestamps stay text here and are parsed with a check later.
@@ -71,16 +73,20 @@ def table_exists(spark: SparkSession, name: str, base: str | None = None) -> boo
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, strict_header: bool = True, multi_line: bool = False) -> DataFrame:
-    """Quoted CSV. ``multi_line`` for records that span lines: such a file is read by one task, all others are split.
+    """Quoted CSV. ``multi_line`` for records that span lines and for the number of each record in its file (``_record``, 1 is
+    the first after the header); files are split over tasks either way.
 
     With ``strict_header`` a header that does not match the schema is an error instead
     of a silent column shift. Rows that do not fit the schema keep their text in ``_bad``
     and their file in ``_file``; a trailing carriage return is trimmed from text columns.
     """
+    if multi_line:
+        raw = read_multi_line(spark, path, schema, strict_header)
+        return raw.withColumns({f.name: F.rtrim(F.col(f.name), F.lit("\r")) for f in schema.fields if isinstance(f.dataType, T.StringType)})
     with_bad = T.StructType(list(schema.fields) + [T.StructField("_bad", T.StringType())])
     raw = (spark.read.schema(with_bad)
            .option("header", True).option("quote", '"').option("escape", '"')
-           .option("multiLine", multi_line).option("enforceSchema", not strict_header)
+           .option("enforceSchema", not strict_header)
            .option("encoding", "UTF-8").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_bad")
            .csv(path))

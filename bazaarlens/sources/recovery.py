@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["ensure_checkpoint_dir", "cut_lineage", "remove_stored"]
+__all__ = ["ensure_checkpoint_dir", "cut_lineage", "store_csv", "remove_stored"]
 
 _stored: dict[str, SparkSession] = {}   # by path
 
@@ -39,6 +39,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return frame
 
 
+def store_csv(df: DataFrame) -> str:
+    """Write as quoted CSV with headers to the shared folder; quotes within fields are doubled. Returns the folder, which
+    remove_stored deletes with the others."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    _stored[path] = df.sparkSession
+    return path
+
+
 def remove_stored(*frames: DataFrame) -> None:
     """Remove what cut_lineage has stored: all of it, or the tables behind these frames. What reads from it cannot be used
     any more."""
