@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..sources import ship_package
 from ..sources.recovery import cut_lineage, remove_stored
 
-__all__ = ["read", "stage", "release", "row_key", "SPACE", "WORD", "small_enough", "parts", "text_batches", "tidied", "give_back", "CACHES"]
+__all__ = ["BATCH_BYTES", "read", "stage", "release", "row_key", "SPACE", "WORD", "small_enough", "parts", "text_batches", "tidied", "give_back", "CACHES"]
 
+BATCH_BYTES = 400_000           # of texts whose words or letters are arrays at a time: about a hundred times that in memory
 SPACE = r"[\x20\x09-\x0D]"      # the white space of the contracts
 WORD = r"[^\x20\x09-\x0D]+"     # and what lies between
 
@@ -51,7 +52,7 @@ def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def parts(batch: pa.RecordBatch, text: str, most_bytes: int = 400_000, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, text: str, most_bytes: int = 1_000_000, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of bounded text, so that memory hangs on the longest text and not on the batch."""
     start = total = 0
     for i, size in enumerate(pc.binary_length(batch.column(text)).to_pylist()):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_enough, stage, text_batches, tidied
+from .common import BATCH_BYTES, parts, small_enough, stage, text_batches, tidied
 from .components import connected_components, looked_up
 from .shingles import SKETCH, hash_functions, set_digest, shingle_sets, sketches
 
@@ -61,7 +61,7 @@ def describe_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in parts(batch, "text", BATCH_BYTES):
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), words)
                 some = [s for s in sets if len(s)]
                 sketch = iter(sketches(some) if some else [])
@@ -103,7 +103,7 @@ def deep_forest(sets: DataFrame, level: int, depth: int, trees: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "values"):
+            for part in parts(batch, "values", BATCH_BYTES):
                 m = sketches([np.frombuffer(v, np.uint64) for v in part.column("values").to_pylist()], functions)
                 for t in range(trees):
                     yield pa.RecordBatch.from_arrays([pa.array(_hashed(m, t, np.arange(t * depth, t * depth + depth))), part.column("id")], names=["region", "id"])
@@ -335,7 +335,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in parts(batch, "text", BATCH_BYTES):
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "values"])
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, parts, stage, text_batches, tidied
+from .common import BATCH_BYTES, WORD, parts, stage, text_batches, tidied
 from .shingles import _R, _RI, _power, mixed
 
 __all__ = ["MIN_RUN_WORDS", "split_units", "unit_digests", "repeated_units", "repeated_spans", "dedup_passages", "removed_passages"]
@@ -113,7 +113,7 @@ def unit_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in parts(batch, "text", BATCH_BYTES):
                 row, start, end, words, digests = _units(part.column("text").to_pylist())
                 d0, d1 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
                 take = pa.array(row, pa.int64())

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, text_batches, tidied
+from .common import BATCH_BYTES, parts, text_batches, tidied
 from .shingles import mixed, word_hashes
 
 __all__ = ["LineModel", "analyse", "fit_lines", "viterbi", "fit_on_labels", "measure", "judge", "quality_report", "keep_good"]
 
 TRAIN_ROWS = 1500        # labelled documents that a model is fitted on; the only sample in this module
 TRAIN_LINES = 64         # lines of each that it sees
+TRAIN_BYTES = 200_000    # longer texts are not chosen for the fit
 MIN_WORDS, MAX_REPEAT = 50, 50   # base rule: fewer words, or more than this percentage of words in repeated windows
 CONTENT_SHARE = 0.5      # of a document's words that must stand in content lines
 
@@ -157,12 +158,16 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id
 
     Lines of documents of quality 0 count as boilerplate, those of quality 1 as content. Marking single repeated lines of
     good documents as boilerplate was tried and turned whole good documents, since labels stick from line to line.
+
+    The sample is bounded: one text of each id, texts of more than TRAIN_BYTES are not chosen, and the first TRAIN_LINES lines
+    of each are fitted. Only the fit is; every row is judged by its whole text.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    got = text.join(F.broadcast(sample), "doc_id").collect()
-    got = sorted({(r["doc_id"], r["text"], r["quality"]) for r in got})
+    text = text.where(F.octet_length("text") <= TRAIN_BYTES)
+    got = text.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    got = sorted((r["doc_id"], r["text"], r["quality"]) for r in got)
     quality = np.array([q for _, _, q in got], int)
     _, line_doc, _, x = analyse([t.encode() for _, t, _ in got])
     label = quality[line_doc]
@@ -181,7 +186,7 @@ def measure(docs: DataFrame, model: LineModel | None, keep: list[str], text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, text):
+            for part in parts(batch, text, BATCH_BYTES):
                 n = part.num_rows
                 counts, line_doc, line_words, x = analyse(part.column(text).cast(pa.binary()).to_pylist())
                 content = np.ones(len(x), int) if model is None else viterbi(model, x, line_doc, n)
