@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..params import ALPHA
 
 __all__ = ["z_quantile", "two_sided_p", "chi2_1_tail", "binomial_p", "wilson", "prop_z",
-           "mk_min_p", "bh_fdr"]
+           "mk_min_p", "bh_fdr", "student_t_p", "mann_whitney_exact_p"]
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
@@ -45,6 +45,52 @@ def _binomial_udf(k: pd.Series, n: pd.Series) -> pd.Series:
                      dtype=float)
 
 
+def _incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction, from the end where that converges fast."""
+    lgamma = np.vectorize(math.lgamma, otypes=[float])
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    with np.errstate(divide="ignore"):
+        front = np.exp(p * np.log(z) + q * np.log1p(-z) + lgamma(p + q) - lgamma(p) - lgamma(q)) / p
+    c, d = np.ones_like(z), 1 / (1 - (p + q) * z / (p + 1))
+    h = d.copy()
+    for m in range(1, 400):
+        for step in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 / (1 + step * d), 1 + step / c
+            h = h * c * d
+        if np.all(np.abs(c * d - 1) < 1e-15):
+            break
+    return np.where(flip, 1 - front * h, front * h)
+
+
+@F.pandas_udf(T.DoubleType())
+def _student_udf(t: pd.Series, df: pd.Series) -> pd.Series:
+    if not len(t):
+        return t.astype(float)
+    t, n = t.to_numpy(dtype=float), df.to_numpy(dtype=float)
+    return pd.Series(np.where(np.isinf(t), 0.0, _incomplete_beta(n / 2, 0.5, n / (n + np.where(np.isinf(t), 0.0, t) ** 2))))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_u_udf(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    def tail(u, n, m):
+        if pd.isna(u) or pd.isna(n) or pd.isna(m):
+            return None
+        n, m = int(n), int(m)
+        # ways[j][s]: choices of j among the ranks so far with s pairs won; sizes are small where this is asked for
+        ways = np.zeros((n + 1, n * m + 1))
+        ways[0, 0] = 1
+        for rank in range(n + m):
+            for j in range(min(n, rank + 1), 0, -1):
+                won = rank - (j - 1)   # of the other group below this rank
+                if won <= m:
+                    ways[j, won:] += ways[j - 1, :n * m + 1 - won]
+        p = ways[n] / ways[n].sum()
+        top = math.ceil(max(u, n * m - u))
+        return min(1.0, 2 * float(p[top:].sum()))
+    return pd.Series([tail(*x) for x in zip(u, n, m)], dtype=float)
+
+
 def _nullable(value: Column, out: Column) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value), out)
 
@@ -54,6 +100,18 @@ def two_sided_p(z: Column) -> Column:
     return _nullable(z, _erfc_udf(F.coalesce(F.abs(z), F.lit(0.0)) / math.sqrt(2.0)))
 
 
+def student_t_p(t: Column, freedom: Column) -> Column:
+    """Two-sided p of Student's t with ``freedom`` degrees; NULL where t is or there are none. For result rows."""
+    t, n = t.cast("double"), freedom.cast("double")
+    known = t.isNotNull() & ~F.isnan(t) & (n > 0)
+    return F.when(known, _student_udf(F.when(known, t).otherwise(0.0), F.when(known, n).otherwise(1.0)))
+
+
+def mann_whitney_exact_p(u: Column, n: Column, m: Column) -> Column:
+    """Exact two-sided p of the U statistic of groups of n and m values without ties. For result rows of small groups."""
+    return F.when((n > 0) & (m > 0), _exact_u_udf(u.cast("double"), n.cast("long"), m.cast("long")))
+
+
 def chi2_1_tail(x: Column) -> Column:
     """Upper tail of the chi-square distribution with one degree of freedom."""
     x = x.cast("double")

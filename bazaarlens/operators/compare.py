@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import (bh_fdr, hours_between, interval_bucket, prop_z, ratio, two_sided_p, wilson,
-                         z_quantile)
+from ..functions import (bh_fdr, hours_between, interval_bucket, mann_whitney_exact_p, prop_z, ratio, student_t_p,
+                         two_sided_p, wilson, z_quantile)
 from ..params import (ALPHA, B_DELIVERY, DELAY_BUCKETS, DELAY_CONTROL, MIN_CUSTOMERS_DIM,
                       MIN_ORDERS_DIM, SEED, STAGES)
 from ..sources.recovery import cut_lineage
@@ -38,9 +38,14 @@ def with_delay(orders: DataFrame, buckets=DELAY_BUCKETS) -> DataFrame:
             .withColumn("bucket_code", interval_bucket(F.col("delay_hours"), [(c, lo, hi) for c, _, lo, hi in buckets])))
 
 
+EXACT_GROUP = 8     # a U test whose smaller group has at most so many values, and no ties, is exact
+EXACT_PAIRS = 40_000   # and whose groups make at most so many pairs
+
+
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Two-sided U test of group 0 against group 1: U of group 0, tie and continuity corrected
-    normal p; z and p are NULL for an empty group or where all values are tied. Works on counts per distinct value, with average ranks."""
+    """Two-sided U test of group 0 against group 1: U of group 0, tie and continuity corrected normal p, or the exact p where
+    a group is small and nothing is tied; z and p are NULL for an empty group or where all values are tied. Works on counts
+    per distinct value, with average ranks."""
     v = (df.where(F.col(value).isNotNull() & F.col(group).isin(0, 1))
          .groupBy(F.col(value).cast("double").alias("v"))
          .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group) == 0).alias("n0")))
@@ -52,15 +57,18 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     u = F.col("_r") - n0 * (n0 + 1) / 2
     sd = F.sqrt(n0 * n1 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
     z = (F.greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / F.when(sd > 0, sd)
+    few = (F.least("n_0", "n_1") <= EXACT_GROUP) & (F.col("n_0") * F.col("n_1") <= EXACT_PAIRS)
+    exact = F.col("z").isNotNull() & few & (F.col("tie_term") == 0)
     return (g.select(n0.cast("long").alias("n_0"), n1.cast("long").alias("n_1"), u.alias("u_statistic"),
                      "tie_term", z.alias("z"))
-            .withColumn("p_value", F.when(F.col("z").isNotNull(), F.least(
-                F.when(F.col("z") < 0, F.lit(1.0)).otherwise(two_sided_p(F.col("z"))), F.lit(1.0)))))
+            .withColumn("p_value", F.when(exact, mann_whitney_exact_p(F.when(exact, F.col("u_statistic")), F.col("n_0"), F.col("n_1")))
+                        .when(F.col("z").isNotNull(), F.least(
+                            F.when(F.col("z") < 0, F.lit(1.0)).otherwise(two_sided_p(F.col("z"))), F.lit(1.0)))))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks on (x, y) counts. p is the normal approximation of the
-    t statistic, meant for thousands of rows."""
+def spearman(df: DataFrame, x: str, y: str, normal: bool = False) -> DataFrame:
+    """Rank correlation with average ranks on (x, y) counts. p is Student's with n - 2 degrees of freedom; with ``normal``
+    its normal approximation, for thousands of rows."""
     pairs = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
                         .groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
                         .agg(F.count(F.lit(1)).alias("n")))
@@ -76,7 +84,11 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     rho = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
     m = F.col("n").cast("double")
     t = F.col("rho") * F.sqrt(F.try_divide(m - 2, 1 - F.col("rho") * F.col("rho")))
-    return g.select("n", rho.alias("rho")).withColumn("p_value", two_sided_p(t))
+    out = g.select("n", rho.alias("rho"))
+    if normal:
+        return out.withColumn("p_value", two_sided_p(t))
+    t = F.when(F.abs(F.col("rho")) < 1, t).when(F.abs(F.col("rho")) >= 1, F.lit(float("inf")))
+    return out.withColumn("p_value", student_t_p(t, F.col("n") - 2))
 
 
 def dose_response(df: DataFrame, bucket: str = "bucket_code", value: str = "review_score",
@@ -109,7 +121,7 @@ def score_difference(df: DataFrame, group: str = "is_late", value: str = "review
                F.avg(F.when(F.col(group) == 0, v)).alias("mean_score_on_time"),
                F.avg(F.when(F.col(group) == 1, v)).alias("mean_score_late"))
     ci = block_mean_diff_ci(df, block, group, value, b, seed)
-    u, r = mann_whitney(df, group, value), spearman(df, delay, value)
+    u, r = mann_whitney(df, group, value), spearman(df, delay, value, normal=True)
     c = lambda n: F.col(n).cast("double")
     head = stack(s, "metric", "value", {
         "n_on_time": c("n_on_time"), "n_late": c("n_late"), "mean_score_on_time": c("mean_score_on_time"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["salted_lookup", "prior_totals", "prior_rates"]
+from .ordering import ordered_totals
+
+__all__ = ["salted_lookup", "prior_totals", "prior_rates", "answered_totals", "answered_rates"]
 
 
 MAX_HOT_KEYS = 10_000   # keys that may be hot, so that their list can be broadcast
@@ -56,3 +58,38 @@ def prior_rates(pairs: DataFrame, key: str, order_id: str, ts: str, bad: str, pr
     g = j.groupBy(order_id).agg(F.sum("_n_prior").alias(f"{prefix}_hist_cnt"), F.sum("_b_prior").alias("_b"))
     return g.withColumn(f"{prefix}_hist_bad_rate",
                         F.try_divide(F.col("_b").cast("double"), F.col(f"{prefix}_hist_cnt"))).drop("_b")
+
+
+def _second(ts: str):
+    """Seconds of a timestamp without a zone, as a number that orders them."""
+    c = F.col(ts)
+    return (F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c))).cast("double")
+
+
+def answered_totals(asked: DataFrame, answered: DataFrame, key: str, asked_ts: str, answered_ts: str, sums: list[str]) -> DataFrame:
+    """(key, second, <sum>_prior) for each key and second of ``asked``: totals of the rows of ``answered`` whose own time lies
+    strictly before it.
+
+    Both kinds of event are put in one time order, added up by key and second. The order is cut into ranges of time with
+    offsets per key, so the events of a hot seller spread over tasks; no window holds a seller. Rows without a key or a
+    time take no part.
+    """
+    zero = [F.lit(0).cast("long").alias(c) for c in sums]
+    events = (answered.select(key, _second(answered_ts).alias("second"), F.lit(0).alias("_asks"), *[F.col(c).cast("long").alias(c) for c in sums])
+              .unionByName(asked.select(key, _second(asked_ts).alias("second"), F.lit(1).alias("_asks"), *zero)))
+    events = events.where(F.col(key).isNotNull() & F.col("second").isNotNull())
+    seconds = events.groupBy(key, "second").agg(F.max("_asks").alias("_asks"), *[F.sum(c).alias(c) for c in sums])
+    placed = ordered_totals(seconds, "second", {c: F.col(c) for c in sums}, [key])
+    return placed.where("_asks = 1").select(key, "second", *[F.col(f"{c}_before").cast("long").alias(f"{c}_prior") for c in sums])
+
+
+def answered_rates(pairs: DataFrame, key: str, order_id: str, ts: str, answered_ts: str, bad: str, prefix: str) -> DataFrame:
+    """prior_rates as they could be known at the purchase: an earlier order's review counts only if it was answered before.
+
+    ``pairs`` has one row per order and key; a review without an answer time never counts.
+    """
+    marked = pairs.withColumns({"_n": F.lit(1), "_b": F.col(bad).cast("long")})
+    hist = answered_totals(pairs, marked, key, ts, answered_ts, ["_n", "_b"])
+    j = salted_lookup(pairs.select(order_id, key, _second(ts).alias("second")), hist, [key, "second"], order_id)
+    g = j.groupBy(order_id).agg(F.coalesce(F.sum("_n_prior"), F.lit(0)).alias(f"{prefix}_hist_cnt"), F.sum("_b_prior").alias("_b"))
+    return g.withColumn(f"{prefix}_hist_bad_rate", F.try_divide(F.col("_b").cast("double"), F.col(f"{prefix}_hist_cnt"))).drop("_b")

@@ -35,6 +35,14 @@ def p2(z: str) -> str:
             f"ELSE 2 END) * exp(-0.5 * pow({a} * k / 1200.0, 2)))) / sqrt(2 * pi())) END)")
 
 
+def pt(t: str, freedom: str) -> str:
+    """Two-sided Student p by Simpson's rule over the density."""
+    a, n = f"abs({t})", f"({freedom})"
+    return (f"(CASE WHEN {t} IS NULL THEN NULL ELSE greatest(0.0, 1 - 2 * ({a} / 6000.0) * exp(lgamma(({n} + 1) / 2.0) - lgamma({n} / 2.0)) / sqrt({n} * pi()) * "
+            f"list_sum(list_transform(range(0, 2001), lambda k: (CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) "
+            f"* pow(1 + pow({a} * k / 2000.0, 2) / {n}, -({n} + 1) / 2.0)))) END)")
+
+
 def bucket(hours: str) -> str:
     out = "CASE"
     for code, _, lo, hi in DELAY_BUCKETS:
@@ -413,8 +421,9 @@ def naive(hz: int) -> str:
               WHERE tenure_days >= {hz} AND first_is_late IS NOT NULL)))""")
 
 
-def spearman(src: str, x: str, y: str) -> str:
-    return q(f"""SELECT {i('n')} AS n, {r('rho')} AS rho, {r(p2('rho * sqrt((n - 2) / (1 - rho * rho))'))} AS p_value
+def spearman(src: str, x: str, y: str, student: bool = False) -> str:
+    t = "rho * sqrt((n - 2) / (1 - rho * rho))"
+    return q(f"""SELECT {i('n')} AS n, {r('rho')} AS rho, {r(pt(t, 'n - 2') if student else p2(t))} AS p_value
       FROM (SELECT count(*) AS n, corr(rx, ry) AS rho FROM (
         SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
                rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry
@@ -574,6 +583,7 @@ def build() -> dict[str, str]:
     o["mann_whitney_score"] = q(f"SELECT {i('n0')} AS n_0, {i('n1')} AS n_1, {r('u', 1)} AS u_statistic, {r('tie', 0)} AS tie_term, {r('z', 5)} AS z, {r(p2('z'))} AS p_value FROM mw", *MWU)
     o["spearman_delay_score"] = spearman("scored", "delay_hours", "review_score")
     o["spearman_distance_lastmile"] = spearman("(SELECT * FROM inside WHERE is_delivered = 1)", "round(avg_distance_km, 3)", "lastmile_hours")
+    o["spearman_month_late_rate"] = spearman("(SELECT * FROM fulfil WHERE valid_cnt > 0)", "valid_cnt", "late_rate", student=True)
     o["score_difference"] = q(
         f"SELECT metric, {r('value', 5)} AS value FROM (SELECT 'n_on_time' AS metric, sum(1 - is_late)::DOUBLE AS value FROM scored UNION ALL SELECT 'n_late', sum(is_late) FROM scored "
         "UNION ALL SELECT 'mean_score_on_time', avg(CASE WHEN is_late = 0 THEN review_score END) FROM scored UNION ALL SELECT 'mean_score_late', avg(CASE WHEN is_late = 1 THEN review_score END) FROM scored "
@@ -667,6 +677,10 @@ def build() -> dict[str, str]:
     o["order_features"] = q(f"SELECT order_id, {m}, {i('is_bad')} AS is_bad, " + ", ".join(f"{r(c, dig.get(c, 6))} AS {c}" for c in RISK_FEATURES) + " FROM feat", FEATURES)
     checks = ", ".join(f"('{c}')" for c in ("leaf_rows", "small_leaves", "leaf_values", "large_trees", "worse_loss"))
     o["leafwise_certificate"] = q(f'SELECT v.c AS "check", (SELECT count(*) FROM feat WHERE stat_month < DATE \'{TEST_MONTH}\') AS rows, CAST(0 AS BIGINT) AS violations FROM (VALUES {checks}) v(c)', FEATURES)
+    o["seller_history_answered"] = q(
+        "SELECT p.order_id, count(a.order_id) AS seller_hist_cnt, round(sum(a.is_bad)::DOUBLE / nullif(count(a.order_id), 0), 6) + 0.0 AS seller_hist_bad_rate FROM sa p LEFT JOIN sa a ON a.seller_id = p.seller_id AND a.answered_ts < p.purchase_ts GROUP BY p.order_id",
+        "sa AS (SELECT DISTINCT order_id, items.seller_id, v.purchase_ts, v.customer_delivered_ts + to_days(CAST(order_id % 40 AS INT)) AS answered_ts, CASE WHEN review_score <= 2 THEN 1 ELSE 0 END AS is_bad "
+        "FROM items JOIN valid_all v USING (order_id) WHERE review_score IS NOT NULL)")
     o["average_precision"] = q(f"SELECT {r('sum(pos * cp::DOUBLE / cn) / any_value(pos_all)')} AS average_precision FROM bt", *BY_SCORE)
     o["roc_auc"] = q(f"SELECT {r('sum((n - pos) * ((cp - pos) + 0.5 * pos)) / (any_value(pos_all)::DOUBLE * any_value(neg_all))')} AS roc_auc FROM bt", *BY_SCORE)
     o["brier_score"] = q(f"SELECT {r('avg(pow(score - is_bad, 2))')} AS brier FROM mscore")

@@ -16,6 +16,7 @@ from .functions import clipped_log1p, day_of, month_start, rounded
 from .operators import boosting as G
 from .operators import compare as C
 from .operators import decompose as D
+from .operators import history as H
 from .operators import marts as M
 from .operators import matching as PM
 from .operators import ordering as O
@@ -320,13 +321,19 @@ def mann_whitney_score(t): return C.mann_whitney(t.scored, "is_late", "review_sc
 
 
 @register(rho=6)
-def spearman_delay_score(t): return C.spearman(t.scored, "delay_hours", "review_score")
+def spearman_delay_score(t): return C.spearman(t.scored, "delay_hours", "review_score", normal=True)
 
 
 @register(rho=6)
 def spearman_distance_lastmile(t):
     v = t.inside_detail.where("is_delivered = 1").withColumn("avg_distance_km", F.round("avg_distance_km", 3))
-    return C.spearman(v, "avg_distance_km", "lastmile_hours")
+    return C.spearman(v, "avg_distance_km", "lastmile_hours", normal=True)
+
+
+@register(rho=6)
+def spearman_month_late_rate(t):
+    """Busy months and late rates: a few points, so the exact Student tail."""
+    return C.spearman(M.fulfilment_monthly(t.orders), "valid_cnt", "late_rate")
 
 
 @register(value=5)
@@ -484,6 +491,16 @@ def price_quartiles_by_category(t):
 def order_features(t): return t.features
 
 
+@register()
+def seller_history_answered(t):
+    """Earlier reviews of an order's sellers that were answered by then: assumed at 0 to 39 days after delivery."""
+    v = C.valid_deliveries(t.orders).where(F.col("review_score").isNotNull())
+    days = F.make_interval(days=(F.col("order_id") % 40).cast("int"))
+    reviews = v.select("order_id", "purchase_ts", (F.col("customer_delivered_ts") + days).alias("answered_ts"), (F.col("review_score") <= 2).cast("int").alias("is_bad"))
+    pairs = cut_lineage(t.c.order_sellers().join(reviews, "order_id"))
+    return H.answered_rates(pairs, "seller_id", "order_id", "purchase_ts", "answered_ts", "is_bad", "seller")
+
+
 LEAF_ROUNDS = 10   # of the registered leaf-wise models; the library's default is BOOST_ROUNDS
 
 

@@ -193,3 +193,50 @@ def test_rfm_code_bounds(spark):
     df = spark.createDataFrame([(180, 2, 10.0), (181, 1, 10.1)], "r int, n int, m double")
     got = [x[0] for x in df.select(S.rfm_code(F.col("r"), F.col("n"), F.col("m"), F.lit(180), F.lit(10.0))).collect()]
     assert got == ["110", "001"]
+
+
+def test_student_tail(spark):
+    """Two-sided tails from tables and closed forms (1, 2 and 3 degrees of freedom)."""
+    from bazaarlens.functions import student_t_p
+    x3 = 40 / math.sqrt(3)
+    rows = [(2.0, 10.0, 0.07338803477074), (1.0, 1.0, 0.5), (3.0, 2.0, 0.09546596626670), (0.0, 5.0, 1.0), (12.706204736, 1.0, 0.05), (2.7764451052, 4.0, 0.05),
+            (1.96, 1e6, 0.04999606757), (40.0, 3.0, 1 - 2 / math.pi * (x3 / (1 + x3 * x3) + math.atan(x3))), (float("inf"), 3.0, 0.0)]
+    df = spark.createDataFrame(rows, "t double, n double, want double")
+    for r in df.withColumn("p", student_t_p(F.col("t"), F.col("n"))).collect():
+        assert r.p == pytest.approx(r.want, rel=1e-6, abs=1e-9)
+    one = [(x / 7, 1.0) for x in range(-60, 61)]
+    for r in spark.createDataFrame(one, "t double, n double").withColumn("p", student_t_p(F.col("t"), F.col("n"))).collect():
+        assert r.p == pytest.approx(1 - 2 * math.atan(abs(r.t)) / math.pi, abs=1e-12)
+    assert spark.createDataFrame([(None, 3.0), (1.0, 0.0)], "t double, n double").where(student_t_p(F.col("t"), F.col("n")).isNotNull()).isEmpty()
+
+
+def test_exact_u_of_small_groups(spark):
+    from itertools import combinations
+    for x, y in (([1.0, 5.0, 9.0], [2.0, 3.0, 4.0, 11.0]), ([1.0, 2.0], [3.0, 4.0, 5.0]), ([7.5], [1.0, 2.0, 3.0, 4.0, 9.0])):
+        pool = sorted(x + y)
+        u = lambda a: sum(p > q for p in a for q in pool if q not in a)
+        mid, own = len(x) * len(y) / 2, sum(p > q for p in x for q in y)
+        every = [u(c) for c in combinations(pool, len(x))]
+        want = min(1.0, 2 * sum(k >= max(own, 2 * mid - own) for k in every) / len(every))
+        df = spark.createDataFrame([(0, v) for v in x] + [(1, v) for v in y], "g int, v double")
+        r = C.mann_whitney(df, "g", "v").first()
+        assert r.u_statistic == own and r.p_value == pytest.approx(want, abs=1e-12)
+    tied = spark.createDataFrame([(0, 1.0), (0, 2.0), (1, 2.0), (1, 3.0)], "g int, v double")
+    assert 0 < C.mann_whitney(tied, "g", "v").first().p_value <= 1
+
+
+def test_history_knows_only_what_was_answered(spark):
+    import datetime as dt
+    import random
+
+    from bazaarlens.operators import history as H
+    r, start = random.Random(9), dt.datetime(2020, 1, 1)
+    rows = []
+    for i in range(600):
+        bought = start + dt.timedelta(seconds=r.randrange(40_000) * 60)
+        rows.append((i, r.choice(["hot"] * 5 + ["a", "b", None]), bought, None if i % 9 == 0 else bought + dt.timedelta(days=r.randrange(20)), int(r.random() < 0.3)))
+    df = spark.createDataFrame(rows, "order_id long, seller string, bought timestamp_ntz, answered timestamp_ntz, bad int")
+    got = {x["order_id"]: (x["s_hist_cnt"], x["s_hist_bad_rate"]) for x in H.answered_rates(df, "seller", "order_id", "bought", "answered", "bad", "s").collect()}
+    for i, seller, bought, _, _ in rows:
+        known = [b for _, s, _, a, b in rows if seller is not None and s == seller and a is not None and a < bought]
+        assert got[i] == (len(known), pytest.approx(sum(known) / len(known)) if known else None)
