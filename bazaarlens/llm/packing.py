@@ -152,28 +152,30 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return plan
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, row: str | None = None) -> DataFrame:
     """pieces (doc_id, piece, length and any more) with sequence_id and offset.
 
     The lengths are counted over all pieces (at most ``capacity`` counts), the plan is made from the counts, and pieces
     take its places by their rank among those of their length. Ranks are dealt within hash groups of a length, so
-    neither a common length nor the whole table meets in one task. ``pieces`` is read twice: pass a stored table.
+    neither a common length nor the whole table meets in one task. ``pieces`` is read twice: pass a stored table. ``row``
+    names a stored number of each row, dropped here, which tells repeated rows apart; without it they are numbered together.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    key = ["doc_id", "piece"] + ([row] if row else [])
     group = max(250, sum(counts.values()) // 50_000)   # rows numbered together
     plan = spark.createDataFrame(packing_plan(counts, capacity), "length long, lo long, hi long, first long, each long, at long")
     salts = spark.createDataFrame([(n, -(-c // group)) for n, c in counts.items()], "length long, salts long")
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(*key), F.col("salts"))).drop("salts")
     before = Window.partitionBy("length").orderBy("salt")
     starts = salted.groupBy("length", "salt").count().select("length", "salt", (F.sum("count").over(before) - F.col("count")).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "salt").orderBy(*key)
     ranked = salted.withColumn("own", F.row_number().over(own) - 1).join(starts, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
     placed = ranked.join(F.broadcast(plan), "length").where("rank >= lo AND rank < hi")
     step = F.col("rank") - F.col("lo")
     return placed.withColumns({"sequence_id": (F.col("first") + F.floor(step / F.col("each"))).cast("long"),
                                "offset": (F.col("at") + F.pmod(step, F.col("each")) * F.col("length")).cast("long")}).drop(
-        "salt", "own", "before", "rank", "lo", "hi", "first", "each", "at")
+        "salt", "own", "before", "rank", "lo", "hi", "first", "each", "at", *([row] if row else []))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **columns) -> DataFrame:
@@ -184,4 +186,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **columns) -> Data
     empty result. Token ids themselves come from encode_pieces; pack_pieces keeps whatever columns it is given.
     """
     digest = encode_pieces(docs, capacity=capacity, **columns).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack_pieces(stage(digest), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_pieces(stage(digest.withColumn("row", F.monotonically_increasing_id())), capacity, "row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -110,7 +110,8 @@ def kd_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_co
 
     A k-d tree over metadata (log size, language, source, smallest doc_id of equal texts): a node that owns s shards is
     cut at the weighted median (share s//2 of s) of its widest dimension until a leaf owns one shard. Equal texts are
-    one item and stay together unless they outweigh 1/16 of a shard; such groups are cut by the hash of doc_id.
+    one item and stay together unless they outweigh 1/16 of a shard; such groups are cut by the hash of a stored row number,
+    so rows that repeat in id and text, or have no id, are cut like others.
 
     Size is the UTF-8 bytes of the text (null: none) plus 16. Null metadata sorts first. Rows equal in all columns get
     slots of their own. Only the named columns are read, so clashing extra columns do no harm; a missing metadata column
@@ -120,7 +121,7 @@ def kd_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stage(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("text_key"), spare[lang_col].alias("lang"), spare[source_col].alias("source")))
+        F.xxhash64(text).alias("text_key"), F.monotonically_increasing_id().alias("row"), spare[lang_col].alias("lang"), spare[source_col].alias("source")))
     total = rows.agg(F.sum("size").alias("w"), F.max("size").alias("m"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"),
                      F.max("doc_id").alias("hi"), F.log(F.min("size")).alias("l0"), F.log(F.max("size")).alias("l1")).first()
     limit = max((total["w"] or 0) / shards / PIECE, total["m"] or 0, 1)
@@ -128,7 +129,7 @@ def kd_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_co
     heavy = rows.groupBy("text_key").agg(F.sum("size").alias("w")).where(F.col("w") > limit).select(
         "text_key", F.ceil(F.col("w") / limit * 2).alias("parts"))
     keyed = stage(rows.join(F.broadcast(heavy), "text_key", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0))).drop("parts"))
+        "part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))).drop("parts"))
     grouped = keyed.groupBy("text_key", "part").agg(
         F.sum("size").alias("weight"), F.max("size").alias("size"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("doc_id").alias("doc_id"))
     tie = _hash_bits("text_key", "part", bits=TIE_BITS)
@@ -138,8 +139,8 @@ def kd_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_co
     tree = kd_tree(items, shards)
     groups = max(16, -(-total["n"] // shards // ROWS_PER_SLOT_GROUP))
     placed = items.select("text_key", "part", _leaf(tree).cast("int").alias("shard"))
-    owned = stage(keyed.join(placed, ["text_key", "part"]).select("doc_id", "size", "text_crc32", "shard", F.pmod(
-        F.xxhash64("doc_id", "text_key"), F.lit(groups)).cast("int").alias("sub")))
+    owned = stage(keyed.join(placed, ["text_key", "part"]).select("doc_id", "size", "text_crc32", "shard", "row", F.pmod(
+        F.xxhash64("row"), F.lit(groups)).cast("int").alias("sub")))
     return with_slots(owned).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -147,6 +148,6 @@ def with_slots(owned: DataFrame) -> DataFrame:
     """slot: gapless from 0 in each shard, numbered within the shard's hash groups (sub) plus what comes before them."""
     w = Window.partitionBy("shard").orderBy("sub")
     before = owned.groupBy("shard", "sub").count().select("shard", "sub", (F.sum("count").over(w) - F.col("count")).alias("before"))
-    own = Window.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32", "size")
+    own = Window.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32", "size", "row")
     ranked = owned.withColumn("rank", F.row_number().over(own) - 1)
     return ranked.join(before, ["shard", "sub"]).withColumn("slot", (F.col("rank") + F.col("before")).cast("long")).drop("rank", "before")

@@ -297,6 +297,23 @@ def test_lines_on_nothing(empty):
 
 # sharding and exact dedup
 
+def test_shards_of_rows_that_repeat(spark):
+    """Half the rows have no id and one text: their bytes are spread like all others."""
+    df = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("text "), F.col("id"))).otherwise("the same text").alias("text"))
+    got = collections.defaultdict(int)
+    for r in kd_shards(df, shards=40).collect():
+        got[r["shard"]] += r["size"]
+    assert len(got) == 40 and max(got.values()) < 1.25 * min(got.values())
+
+
+def test_packing_of_rows_that_repeat(spark):
+    """Twelve hundred equal rows without ids: each has its own place."""
+    df = spark.range(1200).select(F.lit(None).cast("long").alias("doc_id"), F.lit("seven words stand here in each row").alias("text"))
+    got = pack_documents(df).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in got}
+    assert len(got) == len(places) == 1200 and len({s for s, _ in places}) == -(-1200 * got[0]["length"] // 4096)
+
+
 def test_shards(spark, edge, empty):
     for docs in tables(spark, edge):
         rows, got = rows_of(docs), kd_shards(docs, shards=8).collect()
