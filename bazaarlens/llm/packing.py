@@ -35,6 +35,8 @@ class _WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        # a special token stands between words that are encoded as one string, and is found among the ids again
+        self.mark = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")), None)
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -47,14 +49,22 @@ class _WordTokenizer:
         return (text if "<|" in text else STOP.sub(r" \1", text.lower() + " ")).split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         split = [self._words(t or "") for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.cache))
-        for a in range(0, len(new), 2000):
-            part = new[a:a + 2000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        seen = set().union(*split)
+        if len(self.cache) > CACHE_WORDS:   # what is in use stays
+            self.cache = {w: self.cache[w] for w in seen if w in self.cache}
+        new = list(seen.difference(self.cache))
+        plain = [w for w in new if "<|" not in w] if self.mark else []
+        for a in range(0, len(plain), 2000):
+            part = plain[a:a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, [*np.flatnonzero(ids == self.mark[1]).tolist(), len(ids)]):
+                self.cache[w] = raw[4 * start:4 * end]
+                start = end + 1
+        rest = [w for w in new if "<|" in w] if self.mark else new
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.cache[w] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(self.cache.__getitem__, words)) for words in split]
 
 
