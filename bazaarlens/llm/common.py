@@ -15,7 +15,7 @@ from ..sources.recovery import cut_lineage, remove_stored
 
 __all__ = ["BATCH_BYTES", "read", "stage", "release", "row_key", "SPACE", "WORD", "small_enough", "parts", "text_batches", "tidied", "give_back", "CACHES"]
 
-BATCH_BYTES = 400_000           # of texts whose words or letters are arrays at a time: about a hundred times that in memory
+BATCH_BYTES = 200_000           # of texts whose words or letters are arrays at a time: about a hundred times that in memory
 SPACE = r"[\x20\x09-\x0D]"      # the white space of the contracts
 WORD = r"[^\x20\x09-\x0D]+"     # and what lies between
 

@@ -71,7 +71,7 @@ def test_stages_on_edge_rows_and_nothing(spark, edge, empty):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{BASE}/{t}.parquet'")
     df, rel = QUERIES[name](spark, BASE), con.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(rel.columns)
@@ -86,5 +86,5 @@ def test_matches_sql(spark, name):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
     assert set(ORACLES) <= set(names)
