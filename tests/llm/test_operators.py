@@ -407,6 +407,44 @@ def test_names_of_paragraphs_and_headings():
     assert page_text(page, None) == "Title\nThe story is told here in some words.\nIt goes on.\nand ends\nat last."
 
 
+BODY = "".join(f"<p>This is paragraph {i} of the article, long enough to be real text.</p>" for i in range(5))
+STORY = "Title\n" + "\n".join(f"This is paragraph {i} of the article, long enough to be real text." for i in range(5))
+READERS = "".join(f"<div class=comment><p>A reader, the {i}th of them, says this and that at length and goes on.</p></div>" for i in range(20))
+
+
+@pytest.mark.parametrize("tag", ["div class='article-with-comments'", "div class='post share-page'", "div class='search-article content'",
+                                 "article class='article notice-board'", "article class='notice-board'", "div class='sidebar-layout'"])
+def test_a_name_alone_discards_no_article(spark, tag):
+    """Nor do the readers' comments in it, or beside it and longer than it, make it one."""
+    end, inner = tag.split()[0], f"<h1>Title</h1>{BODY}"
+    side = "<div class=sidebar><a href=x>one</a> side</div>"
+    shapes = [f"<body>{side}<{tag}>{inner}</{end}><footer>f</footer></body>",
+              f"<body>{side}<{tag}>{inner}<div id=comments>{READERS}</div></{end}></body>"]
+    assert [page_text(page, None) for page in shapes] == [STORY] * 2
+    rows = [(i, f"http://h.net/{i}", page) for i, page in enumerate(shapes * 2)]
+    assert {r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {STORY}
+
+
+def test_asides_stay_out_whatever_their_share():
+    inner = f"<h1>Title</h1>{BODY}"
+    for name in ("adBox", "cookieBar", "reader-responses", "postComments", "article-footer", "content-sidebar"):
+        assert page_text(f"<body><div class=x>{inner}<div class='{name}'><p>Some text that is long enough to be real text here.</p></div></div></body>", None) == STORY
+    assert page_text(f"<body><div class=post>{inner}</div><div id=comments>{READERS}</div></body>", None) == STORY
+    assert page_text("<body><nav>x</nav><div class=ad>Just an advert of some length and nothing else</div></body>", None) == ""
+    assert page_text(f"<body><div class=sidebar><a href=x>not closed</a><article>{inner}</article></body>", None) == STORY
+    assert page_text("<body><article><p><a href=x>all of it in a link</a></p></article></body>", None) == "all of it in a link"
+    assert page_text("<div class=ad>" * 20000 + "deep", None) == ""
+
+
+def test_a_winning_path_is_no_aside(spark):
+    """A short article in a container of a doubtful name, with more text beside it, follows the host's other pages."""
+    def page(story, beside):
+        return f"<html><body><div class='share-page'><h1>Title</h1><p>{story}</p></div><div class='box'><p>{beside}</p></div></body></html>"
+    rows = [(i, f"http://h.net/{i}", page("word " * 60, "short")) for i in range(9)] + [(9, "http://h.net/9", page("a brief story", "word " * 90))]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "Title\na brief story"
+
+
 def test_consensus_overrules_a_page(spark):
     """A page whose side column is longer than its story follows the host's path."""
     def page(story, side):
