@@ -773,5 +773,12 @@ def build() -> dict[str, str]:
     o["multi_line_file"] = (f"SELECT {i('event_id % 100 = 0')} AS is_bad, count(*) AS records, count(*) AS whole, count(*) AS numbered FROM events GROUP BY 1")
     o["keyed_update"] = q(f"SELECT {d('f.stat_month')} AS stat_month, f.order_cnt, {r('CASE WHEN p.stat_month IS NULL THEN -1.0 ELSE p.delivered_cnt::DOUBLE / p.order_cnt END')} AS mk_tau, CASE WHEN p.stat_month IS NULL THEN 'stale' ELSE 'fresh' END AS note "
                           "FROM fulfil f LEFT JOIN (SELECT panel.* FROM panel, win WHERE stat_month BETWEEN s AND e AND gmv > gmv_all * 0.66) p ON p.stat_month = f.stat_month")
+    o["published_events"] = (
+        "WITH v1 AS (SELECT event_id, CAST(value AS DECIMAL(18,4)) AS value, event_type FROM events), "
+        "v2 AS (SELECT * FROM v1 WHERE event_type <> 'purchase' UNION ALL SELECT event_id, CAST(value * 2 AS DECIMAL(18,4)), event_type FROM v1 WHERE event_type = 'purchase' AND event_id % 5 > 0), "
+        "v3 AS (SELECT * FROM v2 UNION ALL SELECT event_id, value, 'incident' FROM v1 WHERE event_type = 'error'), "
+        "v4 AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(1 AS DECIMAL(18,4)) ELSE value END AS value, event_type FROM v3), "
+        "a AS (SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3 UNION ALL SELECT 4, * FROM v4) "
+        f"SELECT {i('version')} AS version, event_type, count(*) AS events, {r('sum(value)', 2)} AS value FROM a GROUP BY version, event_type")
     o["bound_query"] = q(f"SELECT {m}, {r('gmv', 2)} AS gmv, order_cnt FROM panel2 WHERE is_complete_month = 1 AND stat_month >= DATE '1997-01-01'")
     return o

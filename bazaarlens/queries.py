@@ -30,7 +30,8 @@ from .operators import survival as V
 from .operators import trend as E
 from .params import BAD_VALUE, RESCUE_RATES, RISK_FEATURES
 from .plans import customers, delivery, revenue, risk_report
-from .sources import Canonical, cut_lineage, query, read_csv, store_csv, read_table, ship_package, update_columns
+from .sources import Canonical, cut_lineage, query, read_csv, store_csv, read_table, scratch_table, ship_package, union_branches, update_columns
+from .sources import versions as PV
 
 # assumed strategy parameters of the registered what-if queries
 ASSUMED = {"p1_expedite_cost": 8.0, "p2_voucher_face": 15.0, "p2_redeem_rate": 0.6, "p2_contact_cost": 2.0,
@@ -714,6 +715,21 @@ def keyed_update(t):
     return update_columns(target, fresh, "stat_month", ["mk_tau", "note"])
 
 
+@register(value=2)
+def published_events(t):
+    """Events published by type, purchases replaced by corrected ones, errors added once more as another type, users' values
+    updated by event: rows and values by type in each version."""
+    path = scratch_table(t.spark)
+    ev = read_table(t.spark, "events", t.c.base).select("event_id", F.col("value").cast("decimal(18,4)").alias("value"), "event_type")
+    PV.publish(ev, path, partition_cols=["event_type"])
+    PV.publish(ev.where("event_type = 'purchase' AND event_id % 5 > 0").withColumn("value", (F.col("value") * 2).cast("decimal(18,4)")), path, "partitions")
+    PV.publish(ev.where("event_type = 'error'").withColumn("event_type", F.lit("incident")), path, "append")
+    PV.publish_update(t.spark, ev.where("event_id % 3 = 0").select("event_id", F.lit(1).cast("decimal(18,4)").alias("value")), path, "event_id", ["value"])
+    parts = [PV.published(t.spark, path, n).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
+             .select(F.lit(n).alias("version"), "*") for n in PV.published_versions(t.spark, path)]
+    return union_branches(*parts)
+
+
 @register(gmv=2)
 def bound_query(t):
     """A SQL text with bound parameters over the month panel."""

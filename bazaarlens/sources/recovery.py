@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["ensure_checkpoint_dir", "cut_lineage", "store_csv", "remove_stored"]
+__all__ = ["ensure_checkpoint_dir", "cut_lineage", "store_csv", "scratch_table", "remove_stored"]
 
 _stored: dict[str, SparkSession] = {}   # by path
 
@@ -49,6 +49,14 @@ def store_csv(df: DataFrame) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession) -> str:
+    """A path of its own in the shared folder for a table that a caller writes; remove_stored deletes it with the others."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    _stored[path] = spark
+    return path
+
+
 def remove_stored(*frames: DataFrame) -> None:
     """Remove what cut_lineage has stored: all of it, or the tables behind these frames. What reads from it cannot be used
     any more."""

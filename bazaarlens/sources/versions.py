@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import nan_to_null
 from .writers import _files, _partitions, update_columns
 
-__all__ = ["publish", "published", "publish_update", "versions", "prune"]
+__all__ = ["publish", "published", "publish_update", "published_versions", "prune"]
 
 _BATCH = "written_in"     # the partition level that holds one write's folders; readers drop it
 
@@ -31,7 +31,7 @@ def _manifests(spark: SparkSession, target: str):
     return fs, path, folder, sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
 
-def versions(spark: SparkSession, target: str) -> list[int]:
+def published_versions(spark: SparkSession, target: str) -> list[int]:
     """Numbers of the published versions that are still there, oldest first; none for a table never published."""
     return _manifests(spark, target)[3]
 
@@ -87,7 +87,7 @@ def publish(df: DataFrame, target: str, mode: str = "replace", partition_cols: l
     if _BATCH in df.columns:
         raise ValueError(f"a column may not be called {_BATCH}")
     spark = df.sparkSession
-    numbers = versions(spark, target)
+    numbers = published_versions(spark, target)
     last = numbers[-1] if numbers else 0
     old = _read(spark, target, last) if numbers else None
     keep = old is not None and mode != "replace"

@@ -11,7 +11,7 @@ BASE = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 QUICK = ["month_panel", "revenue_factors", "revenue_factor_intervals", "structure_by_category", "aov_effects", "trend_by_state",
          "dose_response", "bottleneck_table", "stage_durations", "survival_curves", "repeat_rate_table", "rfm_segments", "order_features",
-         "gain_table", "strategy_budget", "keyed_update", "change_points_by_category"]
+         "gain_table", "strategy_budget", "keyed_update", "published_events", "change_points_by_category"]
 ORACLES = entry.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("BAZAARLENS_ALL") else QUICK
 

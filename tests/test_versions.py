@@ -29,7 +29,7 @@ def test_three_modes_and_old_versions(spark, table):
     fresh = spark.createDataFrame([(1, "z", 9.0), (7, "y", 7.0), (None, "x", 0.0)], df.schema)
     assert V.publish(fresh, t, "partitions") == 3
     assert rows(spark, t) == sorted([(1, "z", 9.0), (7, "y", 7.0), (None, "x", 0.0), (2, "b", None), (2, "b", None)], key=str)
-    assert rows(spark, t, 1) == first and V.versions(spark, t) == [1, 2, 3]
+    assert rows(spark, t, 1) == first and V.published_versions(spark, t) == [1, 2, 3]
     assert V.publish(df.where("false"), t, "partitions") == 3 and V.publish(df.where("false"), t) == 3
     assert V.publish(V.published(spark, t).where("m = 7"), t, partition_cols=["m"]) == 4     # reads what it replaces
     assert rows(spark, t) == [(7, "y", 7.0)]
@@ -48,7 +48,7 @@ def test_other_columns_are_refused(spark, table):
         V.publish(df, t, "partitions", ["k"])
     with pytest.raises(ValueError):
         V.publish(df.withColumn("written_in", F.lit(1)), t)
-    assert V.versions(spark, t) == [1]
+    assert V.published_versions(spark, t) == [1]
 
 
 @pytest.mark.parametrize("writer", ["replace", "append", "partitions", "update"])
@@ -65,7 +65,7 @@ def test_a_job_that_dies_leaves_the_old_version(spark, table, writer, monkeypatc
 
     with pytest.raises(Exception, match="lost"):     # tasks fail while rows are written
         run(broken)
-    assert rows(spark, t) == before and V.versions(spark, t) == [1]
+    assert rows(spark, t) == before and V.published_versions(spark, t) == [1]
 
     def dies(*_):
         raise KeyboardInterrupt
@@ -90,7 +90,7 @@ def test_second_writer_at_once_is_told(spark, table, monkeypatch):
     monkeypatch.setattr(V, "_commit", late)
     with pytest.raises(FileExistsError):
         V.publish(df.where("m = 2"), t)
-    assert {r[0] for r in rows(spark, t)} == {1} and V.versions(spark, t) == [1, 2]
+    assert {r[0] for r in rows(spark, t)} == {1} and V.published_versions(spark, t) == [1, 2]
 
 
 def test_update_and_prune(spark, table, tmp_path):
