@@ -112,3 +112,16 @@ def test_wide(spark):
     assert P.wide(df, ["k"], "name", ["a"], ["m2"]).columns == ["k", "m2"]
     with pytest.raises(ValueError):
         P.wide(spark.range(2000).select(F.lit(1).alias("k"), "id"), ["k"], "id", ["id"])
+
+
+def test_any_two_tiles_meet_once(spark):
+    """So the distance of two points is found once and serves both."""
+    points = spark.range(40).select(F.col("id").alias("_id"))
+    met = S._met(points, 4)
+    assert met.select("_x", "_y").distinct().count() == 10 and met.where("_x > _y").isEmpty()
+    assert {r["count"] for r in met.groupBy("_id").count().collect()} == {4}
+    r = np.random.default_rng(3)
+    x, y, wx, wy = r.normal(size=(130, 3)), r.normal(size=(1100, 3)), r.random((130, 2)), r.random((1100, 2))
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    sx, sy = S._distance_sums(x, y, wx, wy)
+    assert np.allclose(sx, d @ wy) and np.allclose(sy, d.T @ wx)
