@@ -20,21 +20,30 @@ __all__ = ["CAPACITY", "END_ID", "encode_pieces", "packing_plan", "pack_pieces",
 
 CAPACITY, END_ID = 4096, 1
 CACHE_WORDS = 250_000     # words a Python worker remembers; then it starts anew
-STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= )")
+SIGNS = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-zß-öø-ÿ].)[!-&(-/:-@\[-`{-~]*(?= )")   # signs after a letter; no apostrophe, which may begin a run with letters
+PLAIN = re.compile(r"^[a-zß-öø-ÿ]+$", re.MULTILINE)
 
 
 class _WordTokenizer:
     """Ids of whole texts, word by word: the vocabulary's pre-tokenizer drops white space and never joins across it.
 
     In Latin-1 texts, where lower-casing goes character by character, words are also remembered in lower case and
-    without the stop or comma after a letter, which is a token run of its own.
+    without the signs after their last letter, which are a token run of their own.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        # words of lower-case letters need no normalising and are one run: the model takes them as they are, and a run's last token is told by its end
+        self.runs, suffix = None, getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.runs = Tokenizer(self.tokenizer.model)
+            self.runs.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
         # a special token stands between words that are encoded as one string, and is found among the ids again
         self.mark = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")), None)
 
@@ -46,14 +55,26 @@ class _WordTokenizer:
         except UnicodeEncodeError:
             return text.split(" ")
         # "<|" may begin a special token, which is told by its case
-        return (text if "<|" in text else STOP.sub(r" \1", text.lower() + " ")).split(" ")
+        return (text if "<|" in text else SIGNS.sub(r" \g<0>", text.lower() + " ")).split(" ")
+
+    def _add_runs(self, new: set[str]) -> list[str]:
+        """Remember the new words of lower-case letters alone; returns the others."""
+        runs = PLAIN.findall("\n".join(new)) if self.runs else []
+        for a in range(0, len(runs), 2000):
+            part = runs[a:a + 2000]
+            ids = np.array(self.runs.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), strict=True):
+                self.cache[w] = raw[start:end]
+                start = end
+        return list(new.difference(runs))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._words(t or "") for t in texts]
         seen = set().union(*split)
         if len(self.cache) > CACHE_WORDS:   # what is in use stays
             self.cache = {w: self.cache[w] for w in seen if w in self.cache}
-        new = list(seen.difference(self.cache))
+        new = self._add_runs(seen.difference(self.cache))
         plain = [w for w in new if "<|" not in w] if self.mark else []
         for a in range(0, len(plain), 2000):
             part = plain[a:a + 2000]

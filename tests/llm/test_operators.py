@@ -504,6 +504,28 @@ def test_packing(spark, edge, empty):
     assert pack_documents(empty).collect() == [] and encode_pieces(empty).collect() == []
 
 
+def test_plain_words_skip_the_normaliser():
+    """Words of lower-case letters go to the model itself, signs after a letter are a word of their own, ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    from bazaarlens.llm.packing import _WordTokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, ours = Tokenizer.from_file(path), _WordTokenizer(path)
+    texts = ["The größte thing&&& isn't it's. a-b?! x²; ''. end", "stra\u00dfe,### l'eau <|endoftext|> He said:", "", "ÀÉ été... 12,5 a"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ours.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert "thing&&&" not in ours.cache and "&&&" in ours.cache
+
+    class Counted:
+        words = []
+
+        def encode_batch_fast(self, texts, **how):
+            self.words += texts
+            return whole.encode_batch_fast(texts, **how)
+    ours.tokenizer = Counted()
+    ours.encode(["plain größte words, anew"])
+    assert "".join(Counted.words).strip() in ("", ",")
+
+
 def test_packing_plan_fills_sequences():
     rng = random.Random(4)
     for most in (40, 1400, 4096):
