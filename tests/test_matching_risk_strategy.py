@@ -145,3 +145,16 @@ def test_a_key_with_half_the_rows_is_split(spark):
     assert got.count() == 4000 and got.where("v = k * 10").count() == 4000
     size = got.withColumn("task", F.spark_partition_id()).where("k = 0").groupBy("task").count().agg(F.count("*"), F.max("count")).first()
     assert size[0] > 1 and size[1] < 1900
+
+
+def test_boosted_trees_skip_columns_without_a_split(spark):
+    """Constant columns never split, so the trees are the same without them."""
+    rows = [(i, float((i * 37) % 101), None if i % 7 == 0 else float((i * 11) % 13), 4.0, int((i * 37) % 101 > 60 or i % 7 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "order_id long, a double, b double, same double, is_bad int").coalesce(1)
+    prep = R.prepare(df, ["a", "b", "same"])
+    assert prep.boosted_columns() == ["a", "b", "_gap_b"]
+    few = R.fit_boosted(df, prep, rounds=4)
+    assert few.numFeatures == 3 and R._used_features(few, prep) == ["a", "b"]
+    got = R.score(few, df, prep, True, ["order_id"]).orderBy("order_id").collect()
+    prep.varied = None
+    assert got == R.score(R.fit_boosted(df, prep, rounds=4), df, prep, True, ["order_id"]).orderBy("order_id").collect()
