@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bazaarlens.operators import ordering as O
 from bazaarlens.operators import panels as P
 from bazaarlens.operators import segment as S
 from bazaarlens.operators import trend as E
@@ -125,3 +126,9 @@ def test_any_two_tiles_meet_once(spark):
     d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
     sx, sy = S._distance_sums(x, y, wx, wy)
     assert np.allclose(sx, d @ wy) and np.allclose(sy, d.T @ wx)
+
+
+def test_quantiles_read_their_rows_once(spark):
+    out = O.quantiles(spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("x")), "x", {"m": 0.5}, ["k"])
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["k"]: r["m"] for r in out.collect()} == {0: 49.5, 1: 49.0, 2: 50.0}
