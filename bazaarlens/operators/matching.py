@@ -21,6 +21,9 @@ and counted as unmatched. This keeps a block bounded when many units share one s
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -40,6 +43,7 @@ __all__ = ["horizon_outcome", "naive_effect", "top_values", "propensity_features
            "match_nearest", "balance", "experience_effects"]
 
 BLOCK = 4096
+AT_ONCE = 2     # horizons worked on at a time
 
 
 def horizon_outcome(first: DataFrame, horizon: int) -> DataFrame:
@@ -254,33 +258,37 @@ def experience_effects(first: DataFrame, horizons=REPEAT_HORIZONS, caliper: floa
                        min_arm: int = MIN_ARM, balance_limit: float | None = BALANCE_LIMIT) -> DataFrame:
     """Naive and matched effect of a late first order on repeat purchase, per horizon."""
     states = top_values(first, "first_state")
-    out = None
-    for h in horizons:
+    cols = ["outcome", "method", "n_treat", "n_control", "treat_value", "control_value", "diff", "ci_low",
+            "ci_high", "p_value", "is_significant", "smd_max_before", "smd_max_after", "n_unmatched"]
+    null = lambda t: F.lit(None).cast(t)
+
+    def effects(h: int) -> DataFrame:
         sub = cut_lineage(horizon_outcome(first, h))
-        cols = ["outcome", "method", "n_treat", "n_control", "treat_value", "control_value", "diff", "ci_low",
-                "ci_high", "p_value", "is_significant", "smd_max_before", "smd_max_after", "n_unmatched"]
-        null = lambda t: F.lit(None).cast(t)
         rows = naive_effect(sub).withColumns({
             "outcome": F.lit(f"repeat_{h}"), "method": F.lit("naive"), "smd_max_before": null("double"),
             "smd_max_after": null("double"), "n_unmatched": null("long")}).select(cols)
         arms = sub.agg(F.count_if(F.col("treat") == 1).alias("t"), F.count_if(F.col("treat") == 0).alias("c")).first()
-        if min(arms["t"], arms["c"]) >= min_arm:
-            x, names = propensity_features(sub, states)
-            x = cut_lineage(propensity_scores(x, names))
-            pairs = cut_lineage(match_nearest(x, caliper=caliper, neighbours=neighbours, seed=seed))
-            if not pairs.isEmpty():
-                ids = pairs.select(F.inline(F.array(F.struct(F.col("treat_id").alias("id")),
-                                                    F.struct(F.col("control_id").alias("id")))))
-                kept = x.join(ids, x["customer_unique_id"].cast("string") == F.col("id"), "left_semi")
-                before = balance(x, names).agg(F.max(F.abs("smd"))).first()[0]
-                after = balance(kept, names).agg(F.max(F.abs("smd"))).first()[0]
-                if balance_limit is not None and after > balance_limit:
-                    raise AssertionError(f"covariates are not balanced after matching: {after:.4f}")
-                m = matched_effect(pairs, b, seed).withColumns({
-                    "outcome": F.lit(f"repeat_{h}"), "method": F.lit("matched_1to1"),
-                    "n_treat": F.col("n_pairs"), "n_control": F.col("n_pairs"),
-                    "smd_max_before": F.lit(before), "smd_max_after": F.lit(after),
-                    "n_unmatched": F.lit(int(arms["t"])) - F.col("n_pairs")}).select(cols)
-                rows = rows.unionByName(m)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        if min(arms["t"], arms["c"]) < min_arm:
+            return rows
+        x, names = propensity_features(sub, states)
+        x = cut_lineage(propensity_scores(x, names))
+        pairs = cut_lineage(match_nearest(x, caliper=caliper, neighbours=neighbours, seed=seed))
+        if pairs.isEmpty():
+            return rows
+        ids = pairs.select(F.inline(F.array(F.struct(F.col("treat_id").alias("id")),
+                                            F.struct(F.col("control_id").alias("id")))))
+        kept = x.join(ids, x["customer_unique_id"].cast("string") == F.col("id"), "left_semi")
+        before = balance(x, names).agg(F.max(F.abs("smd"))).first()[0]
+        after = balance(kept, names).agg(F.max(F.abs("smd"))).first()[0]
+        if balance_limit is not None and after > balance_limit:
+            raise AssertionError(f"covariates are not balanced after matching: {after:.4f}")
+        m = matched_effect(pairs, b, seed).withColumns({
+            "outcome": F.lit(f"repeat_{h}"), "method": F.lit("matched_1to1"),
+            "n_treat": F.col("n_pairs"), "n_control": F.col("n_pairs"),
+            "smd_max_before": F.lit(before), "smd_max_after": F.lit(after),
+            "n_unmatched": F.lit(int(arms["t"])) - F.col("n_pairs")}).select(cols)
+        return rows.unionByName(m)
+
+    # the horizons do not need each other: the many short jobs of one run while the other's leave cores free
+    with ThreadPoolExecutor(max_workers=AT_ONCE) as pool:
+        return reduce(lambda one, other: one.unionByName(other), pool.map(effects, horizons))

@@ -1,11 +1,13 @@
 """Lines stored in buckets by order, and history that shuffles each row once."""
 import datetime
+import threading
 from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import history as H
+from bazaarlens.operators import matching as PM
 from bazaarlens.sources import Canonical, remove_stored, store_by_key
 from bazaarlens.sources.recovery import _tables
 
@@ -45,7 +47,7 @@ def test_stored_lines_give_the_totals_of_the_raw_lines(spark, folder):
     want = plain.order_items().groupBy("order_id", "category_en").agg(F.sum("price").alias("p"), F.sum("freight_value").alias("f"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert sorted(map(tuple, one.order_sellers().collect())) == sorted(map(tuple, plain.order_sellers().collect()))
-    # a row per part row, as before
+    # a line comes once for each row of its part
     three = [r.item_cnt for r in one.lines.where("product_id = 3").collect()]
     assert sum(three) == plain.order_items().where("product_id = 3").count()
     got, want = one.orders_detail().drop("item_amount", "freight_amount", "order_amount", "item_cnt"), plain.orders_detail()
@@ -78,3 +80,16 @@ def test_lookup_counts_only_keys_that_may_be_hot(spark):
     got = H.salted_lookup(rows, table, ["k", "t"], "id", part_rows=40)
     want = rows.join(table, ["k", "t"], "left")
     assert sorted(map(tuple, got.select("id", "k", "t", "v").collect())) == sorted(map(tuple, want.select("id", "k", "t", "v").collect()))
+
+
+def test_horizons_are_worked_on_at_the_same_time(spark, monkeypatch):
+    """Each horizon waits for the other one; one after the other they would never meet. Rows keep the order of the horizons."""
+    rows = [(f"u{i}", i % 2, 200 + i, i % 3 % 2, 100 + i) for i in range(40)]
+    first = spark.createDataFrame(rows, "customer_unique_id string, first_is_late int, tenure_days int, event int, days_to_repeat int").withColumn("first_state", F.lit("S"))
+    meet, plain = threading.Barrier(2, timeout=60), PM.horizon_outcome
+    monkeypatch.setattr(PM, "horizon_outcome", lambda df, h: (meet.wait(), plain(df, h))[1])
+    got = PM.experience_effects(first, horizons=(180, 120), min_arm=100).collect()
+    monkeypatch.undo()
+    for r, h in zip(got, (180, 120), strict=True):
+        naive = PM.naive_effect(plain(first, h)).first()
+        assert (r.outcome, r.method, r.n_treat, r["diff"]) == (f"repeat_{h}", "naive", naive.n_treat, naive["diff"])
