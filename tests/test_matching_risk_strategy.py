@@ -158,3 +158,23 @@ def test_boosted_trees_skip_columns_without_a_split(spark):
     got = R.score(few, df, prep, True, ["order_id"]).orderBy("order_id").collect()
     prep.varied = None
     assert got == R.score(R.fit_boosted(df, prep, rounds=4), df, prep, True, ["order_id"]).orderBy("order_id").collect()
+
+
+def test_swapped_scores_are_the_models_own(spark, monkeypatch):
+    """To the last bit, so that equal scores tie as in the model; trees without the feature are asked once for all features."""
+    rows = [(i, float((i * 37) % 101), None if i % 7 == 0 else float((i * 11) % 13), float(i % 3), int((i * 37) % 101 > 60 or i % 7 == 0 or (i * 13) % 29 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "order_id long, a double, b double, c double, is_bad int").coalesce(1)
+    feats = ["a", "b", "c"]
+    prep = R.prepare(df, feats)
+    model = R.fit_boosted(df, prep, rounds=20)
+    other = df.select((F.col("order_id") - 1).alias("order_id"), F.struct(*feats).alias("_other"))
+    pairs = df.join(other, "order_id").withColumn("_rep", F.lit(1)).withColumn("is_bad", F.col("order_id"))   # the label tells rows apart
+    trees, lost = R._trees(model, prep)
+    got = R._swapped_scores(pairs, trees, lost, prep, feats, "is_bad").collect()
+    for f in feats:
+        want = R.score(model, pairs.withColumn(f, F.col(f"_other.{f}")), prep, True, ["order_id"]).collect()
+        assert {r["is_bad"]: r["score"] for r in got if r["_f"] == f} == {r["order_id"]: r["score"] for r in want}
+    calls = []
+    monkeypatch.setattr(R, "score", lambda m, d, *a, real=R.score: calls.append(d.columns) or real(m, d, *a))
+    R.permutation_importance(model, df, prep, True, 2).collect()
+    assert len(calls) == 1 and "_rep" not in calls[0]
