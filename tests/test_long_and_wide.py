@@ -128,6 +128,20 @@ def test_any_two_tiles_meet_once(spark):
     assert np.allclose(sx, d @ wy) and np.allclose(sy, d.T @ wx)
 
 
+def test_points_are_copied_to_few_tiles(spark, monkeypatch):
+    """Each copy is shuffled, and so are its sums."""
+    assert [S._tiles(n) for n in (0, 1, 10_000, 70_000, 262_144, 900_000, 5_400_000)] == [0, 1, 3, 16, 16, 16, 21]
+    monkeypatch.setattr(S, "TILE_ROWS", 8)
+    monkeypatch.setattr(S, "MOST_TILE_ROWS", 64)
+    copied = []
+    monkeypatch.setattr(S, "_met", lambda points, tiles, real=S._met: copied.append(tiles) or real(points, tiles))
+    df = spark.range(500).select(F.concat(F.lit("l"), F.col("id") % 3).alias("l"), F.col("id").cast("double").alias("p"), (F.col("id") * 7 % 31).cast("double").alias("q"))
+    few = S.euclidean_silhouette(df, ["p", "q"], "l").first()[0]
+    monkeypatch.setattr(S, "TILE_ROWS", 16_384)
+    monkeypatch.setattr(S, "MOST_TILE_ROWS", 262_144)
+    assert few == pytest.approx(S.euclidean_silhouette(df, ["p", "q"], "l").first()[0], abs=1e-12) and copied == [16, 1]
+
+
 def test_quantiles_read_their_rows_once(spark):
     out = O.quantiles(spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("x")), "x", {"m": 0.5}, ["k"])
     assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
